@@ -39,7 +39,7 @@ def _family(dt: T.DataType) -> T.DataType:
 
 
 def typed_values(df: DataFrame, cols: Sequence[str] | None = None, compact: bool = False) -> list[DataFrame]:
-    """One frame (position, value) per type family, missing values left out."""
+    """One frame (position, value) per type family, missing values included."""
     families: dict[str, tuple[T.DataType, list]] = {}
     for position, field in fields_of(df, cols):
         family = _family(field.dataType)
@@ -61,13 +61,17 @@ def typed_values(df: DataFrame, cols: Sequence[str] | None = None, compact: bool
             names = [str(p) for p, _ in members]
             long = wide.unpivot([], [col(n) for n in names], "position", "value")
             long = long.select(F.col("position").cast("int").alias("position"), "value")
-        frames.append(long.filter(F.col("value").isNotNull()))
+        frames.append(long)
     return frames
 
 
-def typed_frequencies(df: DataFrame, cols: Sequence[str] | None = None, compact: bool = False) -> list[DataFrame]:
+def _counted(values: DataFrame) -> DataFrame:
+    return values.groupBy("position", "value").agg(F.count("*").alias("cnt"))
+
+
+def typed_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> list[DataFrame]:
     """One frame (position, value, cnt) per type family, values keep their type."""
-    return [v.groupBy("position", "value").agg(F.count("*").alias("cnt")) for v in typed_values(df, cols, compact)]
+    return [_counted(v.filter(F.col("value").isNotNull())) for v in typed_values(df, cols)]
 
 
 def value_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -93,35 +97,30 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
 
 
 def column_counts(df: DataFrame, cols: Sequence[str] | None = None, dates: bool = False) -> DataFrame:
-    """(position, n_rows, non_null, n_unique, date_hits) per column.
+    """(position, n_rows, non_null, n_unique, date_hits) per column, in one pass.
 
-    Distinct and non-missing counts come out of the same frequency table; the row
-    count is answered from file metadata. `date_hits` counts, per datetime format,
-    the values of a string column that parse; it is evaluated once per distinct value.
+    Missing values are counted as one more value, so rows, non-missing and distinct
+    values all come out of the same frequency table. `date_hits` counts, per datetime
+    format, the values of a string column that parse; it is evaluated once per
+    distinct value.
     """
     wanted = fields_of(df, cols)
-    strings = {p for p, f in wanted if is_string(f.dataType)}
-    no_hits = F.lit(None).cast("array<bigint>").alias("date_hits")
-    rows = df.agg(F.count("*").alias("n_rows")).select(
-        F.explode(F.array(*[F.lit(p) for p, _ in wanted])).alias("position"),
-        "n_rows",
-        F.lit(0).cast("bigint").alias("non_null"),
-        F.lit(0).cast("bigint").alias("n_unique"),
-        no_hits,
-    )
-    out = rows
-    for freq in typed_frequencies(df, cols, compact=True):
-        hits = no_hits
-        if dates and strings and is_string(freq.schema["value"].dataType):
-            hits = F.array(*format_hits(F.col("value"), F.col("cnt"))).alias("date_hits")
-        out = out.unionByName(
-            freq.groupBy("position").agg(
-                F.lit(0).cast("bigint").alias("n_rows"),
-                F.sum("cnt").alias("non_null"),
-                F.count("*").alias("n_unique"),
-                hits,
-            )
+    strings = [p for p, f in wanted if is_string(f.dataType)]
+    zeros = [(p, 0, 0, 0, [0] * len(DATETIME_FORMATS) if p in strings else None) for p, _ in wanted]
+    schema = "position int, n_rows bigint, non_null bigint, n_unique bigint, date_hits array<bigint>"
+    out = df.sparkSession.createDataFrame(zeros, schema)
+    filled = F.col("value").isNotNull()
+    for values in typed_values(df, cols, compact=True):
+        hits = F.lit(None).cast("array<bigint>")
+        if dates and strings and is_string(values.schema["value"].dataType):
+            hits = F.array(*format_hits(F.col("value"), F.col("cnt")))
+        counts = _counted(values).groupBy("position").agg(
+            F.sum("cnt").alias("n_rows"),
+            F.sum(F.when(filled, F.col("cnt")).otherwise(F.lit(0))).alias("non_null"),
+            F.count("value").alias("n_unique"),
+            hits.alias("date_hits"),
         )
+        out = out.unionByName(counts)
     merged = out.groupBy("position").agg(
         F.max("n_rows").alias("n_rows"),
         F.max("non_null").alias("non_null"),
@@ -130,20 +129,34 @@ def column_counts(df: DataFrame, cols: Sequence[str] | None = None, dates: bool
     )
     if not dates:
         return merged.drop("date_hits")
-    empty = F.array(*[F.lit(0).cast("bigint") for _ in DATETIME_FORMATS])
-    is_text = F.col("position").isin([*strings]) if strings else F.lit(False)
-    return merged.withColumn("date_hits", F.when(is_text, F.coalesce("date_hits", empty)))
+    return merged.withColumn("date_hits", F.when(F.col("position").isin(strings), F.col("date_hits")))
 
 
-def n_unique(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, rsd: float = 0.01) -> DataFrame:
-    """(column, n_unique): exact, or a HyperLogLog estimate on request."""
-    from insight_spark.functions.columns import per_column
-
+def n_unique(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+    """(column, n_unique): exact, or a sketch estimate (about 1 % off) on request."""
     df = normalize_missing(df)
     if approx:
-        stats = {"n_unique": lambda c: F.approx_count_distinct(c, rsd)}
-        wanted = [(p, f.name, col(f.name)) for p, f in fields_of(df, cols)]
-        # an estimate at 1 % keeps a register array of a few hundred buffer fields
-        return per_column(df, wanted, stats, fields=45).select("column", "n_unique")
+        return _n_unique_estimate(df, cols)
     counts = column_counts(df, cols)
     return counts.select(name_at(F.col("position"), df.columns).alias("column"), "n_unique")
+
+
+SKETCH_SIZE = 14
+SKETCH_GROUPS = 64
+
+
+def _n_unique_estimate(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
+    """One pass without moving values: a sketch per task, merged in two steps."""
+    wanted = [f.name for _, f in fields_of(df, cols)]
+    hashes = df.select(
+        F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"),
+        *[F.when(col(c).isNotNull(), F.xxhash64(col(c))).alias(f"h{i}") for i, c in enumerate(wanted)],
+    )
+    some = hashes.groupBy("g").agg(
+        *[F.hll_sketch_agg(f"h{i}", F.lit(SKETCH_SIZE)).alias(f"s{i}") for i in range(len(wanted))]
+    )
+    one = some.agg(
+        *[F.hll_sketch_estimate(F.hll_union_agg(f"s{i}")).alias(f"e{i}") for i in range(len(wanted))]
+    )
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"e{i}").alias("n_unique")) for i, c in enumerate(wanted)]
+    return one.select(F.inline(F.array(*rows)))

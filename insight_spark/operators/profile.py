@@ -177,15 +177,18 @@ def id_like_categorical(df: DataFrame) -> DataFrame:
     )
 
 
-def dataset_type(roles: DataFrame) -> DataFrame:
-    """timeseries with datetime and numeric columns, else tabular, else unknown."""
-    has = {r: F.coalesce(F.bool_or(r), F.lit(False)) for r in ("datetime", "numeric", "categorical")}
-    kind = (
+def dataset_type_of(has: dict[str, Column]) -> Column:
+    return (
         F.when(has["datetime"] & has["numeric"], F.lit("timeseries"))
         .when(has["numeric"] | has["categorical"], F.lit("tabular"))
         .otherwise(F.lit("unknown"))
     )
-    return roles.agg(kind.alias("dataset_type"))
+
+
+def dataset_type(roles: DataFrame) -> DataFrame:
+    """timeseries with datetime and numeric columns, else tabular, else unknown."""
+    has = {r: F.coalesce(F.bool_or(r), F.lit(False)) for r in ("datetime", "numeric", "categorical")}
+    return roles.agg(dataset_type_of(has).alias("dataset_type"))
 
 
 def top_categoricals(df: DataFrame, cols: Sequence[str], k: int = 5, max_cols: int = 8) -> DataFrame:
