@@ -262,7 +262,7 @@ def daily_tail(spark: SparkSession, sf: str) -> DataFrame:
 
 def daily_line(spark: SparkSession, sf: str) -> DataFrame:
     daily = ts.daily_mean(table(spark, sf, "orders"), "o_orderdate", ["o_totalprice"])
-    return rounded(ts.daily_line(daily, "o_totalprice"), "value", digits=4)
+    return rounded(ts.daily_line(daily, "o_totalprice"), "value")
 
 
 def rolling_7d(spark: SparkSession, sf: str) -> DataFrame:
@@ -372,7 +372,7 @@ def _flat(df: DataFrame) -> DataFrame:
         F.col("evidence.type").alias("evidence_type"),
         F.col("evidence.source_pack").alias("source_pack"),
         F.concat_ws(",", "evidence.columns").alias("columns"),
-        F.to_json("evidence.metrics").alias("metrics"),
+        F.to_json(F.map_from_entries(F.array_sort(F.map_entries("evidence.metrics")))).alias("metrics"),
     )
     return plain.drop("evidence")
 
@@ -514,9 +514,11 @@ def _one_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"value": ["["]})
     mark = ""
     for batch in batches:
-        for text in batch["value"]:
-            yield pd.DataFrame({"value": [mark + text]})
+        lines = "," + batch["value"]
+        if len(lines):
+            lines.iloc[0] = mark + batch["value"].iloc[0]
             mark = ","
+        yield lines.to_frame("value")
     yield pd.DataFrame({"value": ["]"]})
 
 

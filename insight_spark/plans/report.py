@@ -51,7 +51,7 @@ def _fixed(datasets: DataFrame, number: int, entry: int, *lines: Column) -> Data
 
 
 def report_lines(overview: DataFrame, insights: DataFrame, notes: DataFrame, errors: DataFrame,
-                 generated: str | None = None) -> DataFrame:
+                 generated: str | None = None, profile_path: str | None = None) -> DataFrame:
     """(dataset, section_no, line_no, line) in a fixed section order with entry caps.
 
     Risks and opportunities are the insights of that severity; next steps are the
@@ -103,6 +103,8 @@ def report_lines(overview: DataFrame, insights: DataFrame, notes: DataFrame, err
     head = [F.lit("# Analytics Report")]
     if generated:
         head.append(F.lit(f"- Generated: {generated}"))
+    if profile_path:
+        head.append(F.lit(f"- Profiling: {profile_path}"))
     parts = [
         _fixed(datasets, 1, 0, *head, F.lit("")),
         _fixed(
