@@ -753,9 +753,9 @@ def _deep_oracles() -> dict[str, str]:
             f"SELECT '{c}' AS \"column\", count({c}) AS count, count(*) - count({c}) AS missing, "
             f"count(DISTINCT {c}) AS n_unique, CAST(0 AS BIGINT) AS n_infinite, "
             f"count(*) FILTER ({c} = 0) AS n_zeros, count(*) FILTER ({c} < 0) AS n_negative, "
-            f"round(avg({d}), 4) AS mean, round(stddev_samp({d}), 4) AS std, round(var_samp({d}), 4) AS variance, "
+            f"round(avg({d}), 4) AS mean, round(stddev_samp({d}), 4) AS std, round(var_samp({d}), 2) AS variance, "
             f"round(stddev_samp({d}) / avg({d}), 4) AS cv, round(min({d}), 4) AS min, round(max({d}), 4) AS max, "
-            f"round(max({d}) - min({d}), 4) AS range, round(sum({d}), 4) AS sum, round({q[0.05]}, 4) AS p5, "
+            f"round(max({d}) - min({d}), 4) AS range, round(sum({d}), 2) AS sum, round({q[0.05]}, 4) AS p5, "
             f"round({q[0.25]}, 4) AS p25, round({q[0.5]}, 4) AS median, round({q[0.75]}, 4) AS p75, "
             f"round({q[0.95]}, 4) AS p95, round({q[0.75]} - {q[0.25]}, 4) AS iqr, "
             f"round((SELECT quantile_cont(abs({d} - (SELECT {q[0.5]} FROM lineitem_nulls)), 0.5) FROM lineitem_nulls), 4) "

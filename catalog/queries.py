@@ -613,7 +613,8 @@ def deep_variable_types(spark: SparkSession, sf: str) -> DataFrame:
 def deep_numeric(spark: SparkSession, sf: str) -> DataFrame:
     out = deep.numeric_profile(lineitem_nulls(spark, sf), NUMBERS)
     floats = [f.name for f in out.schema.fields if f.dataType.simpleString() == "double"]
-    return rounded(out, *floats, digits=4)
+    large = ["sum", "variance"]
+    return rounded(rounded(out, *[c for c in floats if c not in large], digits=4), *large, digits=2)
 
 
 def deep_histogram(spark: SparkSession, sf: str) -> DataFrame:

@@ -26,6 +26,12 @@ def _used(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [f.name for _, f in fields_of(df, list(cols)[:MAX_COLS])]
 
 
+def _ranked(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+    """Top values of the used columns with totals and the identifier flag."""
+    top = top_values(df, _used(df, cols), k)
+    return top.withColumn("id_like", id_like_any_size(F.col("n_unique"), F.col("n_rows")))
+
+
 def _counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, position, n_rows, non_null, n_unique, id_like); one row per used column."""
     used = _used(df, cols)
@@ -42,10 +48,7 @@ def _counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def categorical_top(df: DataFrame, cols: Sequence[str], k: int = TOP_VALUES) -> DataFrame:
     """(column, n_unique, value, cnt, rank) of the first columns."""
-    top = top_values(df, _used(df, cols), k).select("column", "value", "cnt", "rank")
-    counts = _counts(df, cols).select("column", "n_unique")
-    # both sides have at most columns x k rows
-    return counts.join(top, "column", "left").select("column", "n_unique", "value", "cnt", "rank")
+    return _ranked(df, cols, k).select("column", "n_unique", "value", "cnt", "rank")
 
 
 def categorical_id_insights(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -74,11 +77,12 @@ def categorical_distribution(df: DataFrame, cols: Sequence[str], k: int = TOP_VA
 
     `pct` is the share among the values kept, `pct_of_non_null` among all values.
     """
-    charts = categorical_chart_columns(df, cols).select("column", "non_null")
-    # at most CHART_COLS rows, so the small side is broadcast by its own limit
-    top = top_values(df, _used(df, cols), k).join(F.broadcast(charts), "column")
-    total = F.sum("cnt").over(Window.partitionBy("column"))
-    return top.select(
+    # at most MAX_COLS x k rows from here on
+    kept = _ranked(df, cols, k).filter("not id_like and rank is not null")
+    place = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("position"))
+    kept = kept.withColumn("place", place).filter(F.col("place") <= CHART_COLS)
+    total = F.sum("cnt").over(Window.partitionBy("position"))
+    return kept.select(
         "column",
         "value",
         "cnt",

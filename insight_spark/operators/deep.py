@@ -34,6 +34,7 @@ from insight_spark.operators.numeric import (
 )
 from insight_spark.operators.profile import column_roles, duplicate_rows, sample_rows
 from insight_spark.operators.quantiles import RANGE_STATS, exact_quantiles
+from insight_spark.sources.scratch import ensure_checkpoint_dir
 
 BINS = 50
 INTERACTION_BINS = 20
@@ -216,10 +217,9 @@ def extreme_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10
 def common_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """(column, value, cnt, share): most frequent values and their share of the non-missing ones."""
     cols = list(df.columns if cols is None else cols)
-    totals = column_counts(normalize_missing(df), cols).select("position", "non_null")
     return (
         top_values(df, cols, k)
-        .join(totals, "position")
+        .filter("rank is not null")
         .select("column", "value", "cnt", (F.col("cnt") / F.col("non_null")).alias("share"), "rank")
     )
 
@@ -317,22 +317,19 @@ HOT_SHARE = 1000
 
 
 def _average_ranks(freq: DataFrame) -> DataFrame:
-    """(key, value, rank, hot): average rank of each distinct value within its key.
+    """(key, value, cnt, rank, total, hot): average rank of each distinct value of a key.
 
     Values are range-partitioned, so no key is sorted in one task; each partition
-    adds the row count of the partitions before it. The checkpoint fixes which
-    partition a value is in. `hot` marks values holding over 1/1000 of a key's rows,
-    fewer than 1000 per key.
+    adds the row count of the partitions before it. The first checkpoint fixes which
+    partition a value is in, the second keeps the ranks for their several readers.
+    `hot` marks values holding over 1/1000 of a key's rows, fewer than 1000 per key.
     """
-    # imported here: sources depend on functions only, operators need it for this alone
-    from insight_spark.sources.scratch import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(freq.sparkSession)
     placed = (
         freq.repartitionByRange("key", "value").withColumn("part", F.spark_partition_id()).checkpoint()
     )
     parts = placed.groupBy("key", "part").agg(F.sum("cnt").alias("rows"))
-    by_key = Window.partitionBy("key")
+    by_key = Window.partitionBy("key")  # one row per partition
     before = by_key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
         "key",
@@ -342,38 +339,25 @@ def _average_ranks(freq: DataFrame) -> DataFrame:
     )
     inside = Window.partitionBy("key", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("offset") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))
-    return placed.join(offsets, ["key", "part"]).select(
+    ranks = placed.join(offsets, ["key", "part"]).select(
         "key",
         "value",
+        "cnt",
         (below + (F.col("cnt") + 1) / 2.0).alias("rank"),
-        (F.col("cnt") * HOT_SHARE > F.col("total")).alias("hot"),
         "total",
+        (F.col("cnt") * HOT_SHARE > F.col("total")).alias("hot"),
     )
-
-
-def _with_rank(cells: DataFrame, ranks: DataFrame, side: int, value: str) -> DataFrame:
-    """Attach the rank of one side; hot values by broadcast, the rest by shuffle.
-
-    A hot value may pair with a large part of the table; fewer than 1000 such values
-    exist per key, so they are joined without moving the cells.
-    """
-    own = ranks.filter(F.col("key") % 2 == side).select(
-        F.floor(F.col("key") / 2).cast("int").alias("pair"),
-        F.col("value").alias(value),
-        F.col("rank").alias(f"rank_{value}"),
-        F.col("hot"),
-        F.col("total").alias(f"total_{value}"),
-    )
-    hot = F.broadcast(own.filter("hot").drop("hot"))
-    cold = own.filter("not hot").drop("hot")
-    keys = ["pair", value]
-    return cells.join(hot, keys).unionByName(cells.join(hot, keys, "left_anti").join(cold, keys))
+    return ranks.checkpoint()
 
 
 def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x, y, corr, n): rank correlation of every pair over its complete rows.
 
-    Rows are first folded to distinct (x, y) cells. Ties take the average rank.
+    Ties take the average rank. With centred ranks a(x) and b(y) the wanted sum of
+    a(x) b(y) over the rows is the sum over distinct x of a(x) times the sum of its
+    b(y): rows meet only the ranks of y and fold to one row per x before they meet
+    those of x. A y value holding a large part of the rows is joined by broadcast,
+    fewer than 1000 such values per pair, so it never gathers in one task.
     """
     df = normalize_missing(df)
     fields = numeric_fields(df, cols)
@@ -390,26 +374,38 @@ def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     rows = values.select(F.inline(F.array(*[cell(n, i, j) for n, (i, j) in enumerate(pairs)])))
     rows = rows.filter("x is not null and y is not null")
-    cells = rows.groupBy("pair", "x", "y").agg(F.count("*").alias("cnt"))
+    # even keys rank the x of a pair, odd keys its y
     both = F.array(
         F.struct((F.col("pair") * 2).alias("key"), F.col("x").alias("value")),
         F.struct((F.col("pair") * 2 + 1).alias("key"), F.col("y").alias("value")),
     )
     freq = rows.select(F.inline(both)).groupBy("key", "value").agg(F.count("*").alias("cnt"))
-    ranks = _average_ranks(freq)
-    ranked = _with_rank(_with_rank(cells, ranks, 0, "x"), ranks, 1, "y")
-    n = F.col("total_x")
-    # centred and scaled to -0.5 .. 0.5
-    a = (F.col("rank_x") - (n + 1) / 2.0) / n
-    b = (F.col("rank_y") - (n + 1) / 2.0) / n
-    w = F.col("cnt")
-    sums = ranked.groupBy("pair").agg(
-        F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"),
-        F.sum(w).alias("n"),
+    n = F.col("total")
+    ranks = _average_ranks(freq).select(
+        F.shiftright("key", 1).alias("pair"),
+        (F.col("key") % 2).alias("side"),
+        "value",
+        "cnt",
+        "total",
+        "hot",
+        ((F.col("rank") - (n + 1) / 2.0) / n).alias("z"),  # -0.5 .. 0.5
     )
+    of_x = ranks.filter("side = 0").select("pair", F.col("value").alias("x"), F.col("z").alias("a"))
+    of_y = ranks.filter("side = 1").select("pair", F.col("value").alias("y"), F.col("z").alias("b"), "hot")
+    hot = F.broadcast(of_y.filter("hot").drop("hot"))
+    cold = of_y.filter("not hot").drop("hot")
+    keys = ["pair", "y"]
+    scored = rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys))
+    per_x = scored.groupBy("pair", "x").agg(F.sum("b").alias("b"))
+    crossed = per_x.join(of_x, ["pair", "x"]).groupBy("pair").agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
+
+    def squares(side: int) -> Column:
+        return F.sum(F.when(F.col("side") == side, F.col("cnt") * F.col("z") * F.col("z")))
+
+    own = ranks.groupBy("pair").agg(squares(0).alias("aa"), squares(1).alias("bb"), F.max("total").alias("n"))
     names = [(fields[i][1].name, fields[j][1].name) for i, j in pairs]
     corr = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / (F.sqrt("aa") * F.sqrt("bb")))
-    return sums.select(
+    return own.join(crossed, "pair").select(
         name_at(F.col("pair"), [x for x, _ in names]).alias("x"),
         name_at(F.col("pair"), [y for _, y in names]).alias("y"),
         corr.alias("corr"),

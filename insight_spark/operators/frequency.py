@@ -74,25 +74,94 @@ def typed_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> list[
     return [_counted(v.filter(F.col("value").isNotNull())) for v in typed_values(df, cols)]
 
 
-def value_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, cnt) of every non-missing value, values as text."""
-    df = normalize_missing(df)
+def _as_text(frames: list[DataFrame]) -> DataFrame:
     out = None
-    for freq in typed_frequencies(df, cols):
+    for freq in frames:
         part = freq.select("position", F.col("value").cast("string").alias("value"), "cnt")
         out = part if out is None else out.unionByName(part)
-    if out is None:
+    return out
+
+
+def value_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column, position, value, cnt) of every non-missing value, values as text."""
+    df = normalize_missing(df)
+    if not fields_of(df, cols):
         return df.sparkSession.createDataFrame([], "column string, position int, value string, cnt bigint")
-    return out.select(name_at(F.col("position"), df.columns).alias("column"), "position", "value", "cnt")
+    freq = _as_text(typed_frequencies(df, cols))
+    return freq.select(name_at(F.col("position"), df.columns).alias("column"), "position", "value", "cnt")
+
+
+TOP_SCHEMA = (
+    "column string, position int, n_rows bigint, non_null bigint, n_unique bigint, "
+    "value string, cnt bigint, rank int"
+)
 
 
 def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
-    """The k most frequent values per column, ties by value."""
-    order = Window.partitionBy("column").orderBy(F.col("cnt").desc(), F.col("value"))
-    return (
-        value_frequencies(df, cols)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
+    """The k most frequent values per column, ties by value, with the column's totals.
+
+    (column, position, n_rows, non_null, n_unique, value, cnt, rank); a column without
+    values keeps one row. Totals and ranks read the same shuffled frequency table, and
+    only the best k rows per task reach the final ranking.
+    """
+    df = normalize_missing(df)
+    wanted = fields_of(df, cols)
+    if not wanted:
+        return df.sparkSession.createDataFrame([], TOP_SCHEMA)
+    freq = _as_text([_counted(v) for v in typed_values(df, cols)])
+    # Both readers of `freq` take all its rows and columns, and a union instead of a
+    # join pushes no filter below it, so Spark shuffles the frequency table once.
+    order = Window.partitionBy("position").orderBy(
+        F.col("value").isNull(), F.col("cnt").desc(), F.col("value")
+    )
+    best = freq.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    totals = _zeros(df, [p for p, _ in wanted]).unionByName(
+        freq.groupBy("position").agg(*_totals()), allowMissingColumns=True
+    )
+    both = totals.unionByName(best, allowMissingColumns=True)
+    column = Window.partitionBy("position")  # at most k + 2 rows each
+    ranked = F.when(F.col("value").isNotNull(), F.col("rank"))
+    both = both.select(
+        name_at(F.col("position"), df.columns).alias("column"),
+        "position",
+        *[F.coalesce(F.max(c).over(column), F.lit(0)).alias(c) for c in ("n_rows", "non_null", "n_unique")],
+        "value",
+        "cnt",
+        ranked.alias("rank"),
+        F.count("value").over(column).alias("listed"),
+        F.row_number().over(column.orderBy(F.col("value").isNull(), "rank")).alias("line"),
+    )
+    kept = F.col("rank").isNotNull() | ((F.col("listed") == 0) & (F.col("line") == 1))
+    return both.filter(kept).select(
+        "column", "position", "n_rows", "non_null", "n_unique", "value",
+        F.when(F.col("rank").isNotNull(), F.col("cnt")).alias("cnt"), "rank",
+    )
+
+
+def _totals() -> list[Column]:
+    filled = F.col("value").isNotNull()
+    return [
+        F.sum("cnt").alias("n_rows"),
+        F.sum(F.when(filled, F.col("cnt")).otherwise(F.lit(0))).alias("non_null"),
+        F.count("value").alias("n_unique"),
+    ]
+
+
+def _zeros(df: DataFrame, positions: list[int]) -> DataFrame:
+    """One row per column, so that the columns of an empty table are listed too."""
+    rows = F.array(*[F.struct(F.lit(p).alias("position")) for p in positions])
+    return df.sparkSession.range(1).select(F.inline(rows))
+
+
+def _with_zeros(df: DataFrame, positions: list[int], counts: DataFrame) -> DataFrame:
+    """Counts per column, 0 for the columns of an empty table."""
+    both = _zeros(df, positions).unionByName(counts, allowMissingColumns=True)
+    return both.groupBy("position").agg(
+        *[
+            F.max(c).alias(c) if c == "date_hits" else F.coalesce(F.max(c), F.lit(0)).alias(c)
+            for c in counts.columns
+            if c != "position"
+        ]
     )
 
 
@@ -106,30 +175,20 @@ def column_counts(df: DataFrame, cols: Sequence[str] | None = None, dates: bool
     """
     wanted = fields_of(df, cols)
     strings = [p for p, f in wanted if is_string(f.dataType)]
-    zeros = [(p, 0, 0, 0, [0] * len(DATETIME_FORMATS) if p in strings else None) for p, _ in wanted]
-    schema = "position int, n_rows bigint, non_null bigint, n_unique bigint, date_hits array<bigint>"
-    out = df.sparkSession.createDataFrame(zeros, schema)
-    filled = F.col("value").isNotNull()
+    no_hits = F.lit(None).cast("array<bigint>")
+    out = None
     for values in typed_values(df, cols, compact=True):
-        hits = F.lit(None).cast("array<bigint>")
-        if dates and strings and is_string(values.schema["value"].dataType):
+        hits = no_hits
+        if dates and is_string(values.schema["value"].dataType):
             hits = F.array(*format_hits(F.col("value"), F.col("cnt")))
-        counts = _counted(values).groupBy("position").agg(
-            F.sum("cnt").alias("n_rows"),
-            F.sum(F.when(filled, F.col("cnt")).otherwise(F.lit(0))).alias("non_null"),
-            F.count("value").alias("n_unique"),
-            hits.alias("date_hits"),
-        )
-        out = out.unionByName(counts)
-    merged = out.groupBy("position").agg(
-        F.max("n_rows").alias("n_rows"),
-        F.max("non_null").alias("non_null"),
-        F.max("n_unique").alias("n_unique"),
-        F.max("date_hits").alias("date_hits"),
-    )
+        counts = _counted(values).groupBy("position").agg(*_totals(), hits.alias("date_hits"))
+        out = counts if out is None else out.unionByName(counts)
+    merged = _with_zeros(df, [p for p, _ in wanted], out)
     if not dates:
         return merged.drop("date_hits")
-    return merged.withColumn("date_hits", F.when(F.col("position").isin(strings), F.col("date_hits")))
+    none = F.array(*[F.lit(0).cast("bigint")] * len(DATETIME_FORMATS))
+    found = F.when(F.col("position").isin(strings), F.coalesce("date_hits", none))
+    return merged.withColumn("date_hits", found)
 
 
 def n_unique(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:

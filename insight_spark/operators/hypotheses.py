@@ -7,13 +7,15 @@ size; the evidence of each kind comes from one distributed pass over the columns
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from insight_spark.functions.columns import as_double, col, fields_of, is_numeric, normalize_missing, per_column
-from insight_spark.operators.frequency import column_counts, top_values
-from insight_spark.operators.numeric import MAX_CORR_COLS, correlation_matrix, numeric_fields, pair_moments
+from insight_spark.operators.frequency import top_values
+from insight_spark.operators.numeric import MAX_CORR_COLS, pair_moments
 
 MAX_CHECKED = 10
 MAX_PROPOSED = 8
@@ -32,23 +34,33 @@ def _first(hyps: DataFrame | Sequence[dict]) -> list[dict]:
     return [{"hyp_id": i, **h} for i, h in enumerate(hyps, start=1)][:MAX_CHECKED]
 
 
+@dataclass
+class Evidence:
+    """Evidence already at hand, so that no pass over the data is made twice."""
+
+    missing_rate: dict[str, float | None] = field(default_factory=dict)
+    correlation: dict[tuple[str, str], tuple[float | None, int]] = field(default_factory=dict)
+
+
 def missing_rates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, missing_rate); NULL on an empty table."""
+    df = normalize_missing(df)
     wanted = [(p, f.name, col(f.name)) for p, f in fields_of(df, cols)]
     rate = {"missing_rate": lambda c: F.avg(c.isNull().cast("double"))}
-    return per_column(normalize_missing(df), wanted, rate, fields=2).select("column", "missing_rate")
+    return per_column(df, wanted, rate, fields=2).select("column", "missing_rate")
 
 
 def dominance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, top_value, top_share) over the non-missing values."""
-    top = top_values(df, cols, 1).select("position", "column", "value", "cnt")
-    totals = column_counts(normalize_missing(df), cols).select("position", "non_null")
-    return top.join(totals, "position").select(
+    top = top_values(df, cols, 1).filter("rank = 1")
+    return top.select(
         "column", F.col("value").alias("top_value"), (F.col("cnt") / F.col("non_null")).alias("top_share")
     )
 
 
-def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], tuple[float | None, int]]:
+def pair_correlations(
+    df: DataFrame, pairs: Sequence[tuple[str, str]]
+) -> dict[tuple[str, str], tuple[float | None, int]]:
     """(Pearson, complete rows) per pair of numeric columns."""
     df = normalize_missing(df)
     fields = {f.name: (p, f) for p, f in fields_of(df)}
@@ -58,34 +70,38 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[t
     return {pair: found[positions] for pair, positions in by_position.items()}
 
 
-def verify_hypotheses(df: DataFrame, hyps: DataFrame | Sequence[dict]) -> DataFrame:
+def verify_hypotheses(df: DataFrame, hyps: DataFrame | Sequence[dict], known: Evidence | None = None) -> DataFrame:
     """The first ten hypotheses with `verified` and the evidence of their kind.
 
     An unknown kind, a missing column or fewer than 10 complete pairs leave a
     hypothesis unverified; a pair that is not numeric also sets `verify_error`.
     """
     df = normalize_missing(df)
+    known = known or Evidence()
     types = {f.name: f.dataType for f in df.schema.fields}
     rows = _first(hyps)
 
-    def known(kind: str, *keys: str) -> list[dict]:
+    def about(kind: str, *keys: str) -> list[dict]:
         return [h for h in rows if h.get("kind") == kind and all(h.get(k) in types for k in keys)]
 
-    missing = known("missingness", "col")
-    dominant = known("category_dominance", "col")
-    paired = known("correlation", "x", "y")
-    rates = _lookup(missing_rates, df, {h["col"] for h in missing})
-    tops = _lookup(dominance, df, {h["col"] for h in dominant})
-    numeric_pairs = [(h["x"], h["y"]) for h in paired if is_numeric(types[h["x"]]) and is_numeric(types[h["y"]])]
-    corrs = pair_correlations(df, list(dict.fromkeys(numeric_pairs)))
-    others = list(dict.fromkeys((h["x"], h["y"]) for h in paired if (h["x"], h["y"]) not in corrs))
-    complete = _complete_rows(df, others)
+    missing = about("missingness", "col")
+    dominant = about("category_dominance", "col")
+    paired = about("correlation", "x", "y")
+
+    rates = dict(known.missing_rate)
+    rates |= {r.column: r.missing_rate for r in _rows(missing_rates, df, {h["col"] for h in missing} - set(rates))}
+    tops = {r.column: r for r in _rows(dominance, df, {h["col"] for h in dominant})}
+    pairs = list(dict.fromkeys((h["x"], h["y"]) for h in paired))
+    numeric = [(x, y) for x, y in pairs if is_numeric(types[x]) and is_numeric(types[y])]
+    corrs = {pair: known.correlation[pair] for pair in numeric if pair in known.correlation}
+    corrs |= pair_correlations(df, [pair for pair in numeric if pair not in corrs])
+    complete = _complete_rows(df, [pair for pair in pairs if pair not in corrs])
 
     out = []
     for h in rows:
         verified, rate, value, share, corr, n, error = False, None, None, None, None, None, None
         if h in missing:
-            rate = rates[h["col"]].missing_rate
+            rate = rates[h["col"]]
             verified = True
         elif h in dominant and h["col"] in tops:
             value, share = tops[h["col"]].top_value, tops[h["col"]].top_share
@@ -106,10 +122,9 @@ def verify_hypotheses(df: DataFrame, hyps: DataFrame | Sequence[dict]) -> DataFr
     return df.sparkSession.createDataFrame(out, RESULT_SCHEMA)
 
 
-def _lookup(evidence, df: DataFrame, cols: set[str]) -> dict:
-    if not cols:
-        return {}
-    return {r.column: r for r in evidence(df, [c for c in df.columns if c in cols]).collect()}
+def _rows(evidence, df: DataFrame, cols: set[str]) -> list:
+    """Evidence of at most ten columns, on the driver."""
+    return evidence(df, [c for c in df.columns if c in cols]).collect() if cols else []
 
 
 def _complete_rows(df: DataFrame, pairs: list[tuple[str, str]]) -> dict:
@@ -142,26 +157,29 @@ def hypothesis_candidates(df: DataFrame, roles: DataFrame, k: int = MAX_PROPOSED
     Columns with missing values (most first), then categorical columns, then pairs
     of usable numeric columns by absolute correlation.
     """
-    table = roles.orderBy("position").collect()  # one row per column
+    rows, _ = propose(df, roles.orderBy("position").collect(), k)  # one role row per column
+    return df.sparkSession.createDataFrame(rows, CANDIDATE_SCHEMA)
+
+
+def propose(df: DataFrame, roles: Sequence[Row], k: int = MAX_PROPOSED) -> tuple[list[tuple], Evidence]:
+    """Candidate rows and the evidence that choosing them took."""
+    known = Evidence({r.column: r.missing / r.n_rows if r.n_rows else None for r in roles})
     out = [
         ("missingness", f"Column '{r.column}' has missing values.", r.column, None, None)
-        for r in sorted(table, key=lambda r: -r.missing)
+        for r in sorted(roles, key=lambda r: -r.missing)
         if r.missing > 0
     ]
     out += [
         ("category_dominance", f"One value dominates column '{r.column}'.", r.column, None, None)
-        for r in table
+        for r in roles
         if r.categorical
     ]
-    if len(out) < k:
-        usable = [r.column for r in table if r.numeric and not r.id_like]
-        usable = [f.name for _, f in numeric_fields(df, usable)]
-        ranked = sorted((r for r in table if r.column in usable), key=lambda r: r.missing)
-        names = [r.column for r in ranked[:MAX_CORR_COLS]]
-        at = {r.column: r.position for r in table}
-        cells = correlation_matrix(df, names, undefined=None).collect() if len(names) > 1 else []
-        pairs = [c for c in cells if at[c.x] < at[c.y] and c["corr"] is not None]
-        pairs.sort(key=lambda c: (-abs(c["corr"]), at[c.x], at[c.y]))
-        out += [("correlation", f"'{c.x}' and '{c.y}' are correlated.", None, c.x, c.y) for c in pairs]
-    rows = [(i, *h) for i, h in enumerate(out[:k], start=1)]
-    return df.sparkSession.createDataFrame(rows, CANDIDATE_SCHEMA)
+    usable = sorted((r for r in roles if r.numeric and not r.id_like), key=lambda r: r.missing)[:MAX_CORR_COLS]
+    if len(out) < k and len(usable) > 1:
+        names = [r.column for r in sorted(usable, key=lambda r: r.position)]
+        known.correlation = pair_correlations(df, list(combinations(names, 2)))
+        at = {c: i for i, c in enumerate(names)}
+        found = [(pair, corr) for pair, (corr, _) in known.correlation.items() if corr is not None]
+        found.sort(key=lambda f: (-abs(f[1]), at[f[0][0]], at[f[0][1]]))
+        out += [("correlation", f"'{x}' and '{y}' are correlated.", None, x, y) for (x, y), _ in found]
+    return [(i, *h) for i, h in enumerate(out[:k], start=1)], known

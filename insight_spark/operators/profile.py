@@ -193,7 +193,8 @@ def dataset_type(roles: DataFrame) -> DataFrame:
 
 def top_categoricals(df: DataFrame, cols: Sequence[str], k: int = 5, max_cols: int = 8) -> DataFrame:
     """Top values of the first categorical columns."""
-    return top_values(df, list(cols)[:max_cols], k).select("column", "value", "cnt", "rank")
+    top = top_values(df, list(cols)[:max_cols], k).filter("rank is not null")
+    return top.select("column", "value", "cnt", "rank")
 
 
 def snapshot(df: DataFrame, order_by: Sequence[str] | None = None, k: int = 20) -> dict[str, DataFrame]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from insight_spark.operators.categorical import ID_ADVICE, MAX_COLS, NO_CHART_ADVICE, NO_CHART_EVIDENCE
-from insight_spark.operators.hypotheses import hypothesis_candidates, verify_hypotheses
+from insight_spark.operators.hypotheses import propose, verify_hypotheses
 from insight_spark.operators.profile import duplicate_rows
 from insight_spark.operators.timeseries import daily_mean, trend_first_last, trend_insight
 from insight_spark.plans.packs import TableProfile, skip_reason
@@ -27,7 +29,7 @@ def confidence_of(n: int) -> float:
     return 0.3 if n < 30 else 0.6 if n < 1000 else 0.9
 
 
-def insights_table(profile: TableProfile, candidates: DataFrame | None = None) -> DataFrame:
+def insights_table(profile: TableProfile, candidates: DataFrame | Sequence[dict] | None = None) -> DataFrame:
     """Evidence-backed insights of one table, numbered I1, I2, ...
 
     Sources: identifier hints and notes on categorical columns, the daily trend, and
@@ -60,9 +62,11 @@ def insights_table(profile: TableProfile, candidates: DataFrame | None = None) -
             add(r.title, r.evidence, r.severity, first.n_rows - first.missing, "trend", "timeseries",
                 [first.column, r.col], {"direction": r.direction}, r.recommendation)
 
+    known = None
     if candidates is None:
-        candidates = hypothesis_candidates(profile.df, profile.roles)
-    for h in verify_hypotheses(profile.df, candidates).orderBy("hyp_id").collect():  # ten rows at most
+        proposed, known = propose(profile.df, profile.columns)
+        candidates = [dict(zip(("hyp_id", "kind", "statement", "col", "x", "y"), h)) for h in proposed]
+    for h in verify_hypotheses(profile.df, candidates, known).orderBy("hyp_id").collect():  # ten rows at most
         if not h.verified:
             continue
         if h.kind == "missingness":
