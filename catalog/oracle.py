@@ -774,6 +774,18 @@ def _deep_oracles() -> dict[str, str]:
         "CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 10",
         f=_frequencies("lineitem_nulls", ["l_returnflag", "l_linestatus", "l_linenumber"]), r=RANKED,
     )
+    key = "CASE WHEN strlen({c}) > 64 THEN '#' || sha256({c}) ELSE {c} END"
+    out["deep_common_texts"] = _union([
+        f"(SELECT '{c}' AS \"column\", {c} AS value, count(*) AS cnt, "
+        f"round(count(*) / (SELECT count({c}) FROM documents), 6) AS share, CAST(row_number() OVER "
+        f"(ORDER BY count(*) DESC, {key.format(c=c)}) AS INTEGER) AS rank FROM documents WHERE {c} IS NOT NULL "
+        f"GROUP BY {c} QUALIFY rank <= 5)"
+        for c in ("text", "lang")
+    ])
+    out["deep_duplicate_texts"] = (
+        "SELECT text, lang, count(*) AS n_duplicates FROM documents GROUP BY text, lang HAVING count(*) > 1 "
+        f"ORDER BY 3 DESC, {key.format(c='text')}, lang LIMIT 10"
+    )
     extremes = []
     for c in ("l_quantity", "l_extendedprice", "l_tax"):
         for side, order in (("smallest", "ASC"), ("largest", "DESC")):

@@ -627,6 +627,15 @@ def deep_common_values(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "share")
 
 
+def deep_common_texts(spark: SparkSession, sf: str) -> DataFrame:
+    out = deep.common_values(table(spark, sf, "documents"), ["text", "lang"], k=5)
+    return rounded(out, "share")
+
+
+def deep_duplicate_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return deep.duplicate_groups(table(spark, sf, "documents").select("text", "lang"))
+
+
 def deep_extreme_values(spark: SparkSession, sf: str) -> DataFrame:
     return deep.extreme_values(lineitem_nulls(spark, sf), ["l_quantity", "l_extendedprice", "l_tax"])
 
@@ -713,6 +722,7 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     load_dispatch, scan_csv, scan_csv_latin1, scan_parquet, scan_jsonl, scan_json_document,
     csv_na_tokens, normalize_columns, normalize_missing_values, sanitize_json, chart_csv, write_profile,
     deep_overview, deep_variable_types, deep_numeric, deep_histogram, deep_common_values,
+    deep_common_texts, deep_duplicate_texts,
     deep_extreme_values, deep_text_length, deep_word_counts, deep_char_counts, deep_datetime,
     deep_datetime_histogram, deep_url_parts, deep_spearman, deep_cramers_v, deep_interactions,
     deep_nullity_corr, deep_nullity_patterns, deep_samples, deep_duplicate_groups, deep_alerts,

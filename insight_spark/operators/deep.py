@@ -23,6 +23,7 @@ from insight_spark.functions.columns import (
     name_at,
     normalize_missing,
     per_column,
+    row_key,
 )
 from insight_spark.operators.frequency import column_counts, top_values, typed_frequencies, value_frequencies
 from insight_spark.operators.numeric import (
@@ -553,12 +554,28 @@ def samples(df: DataFrame, order_by: Sequence[str], k: int = 10) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent repeated rows with their count."""
+    """The k most frequent repeated rows with their count.
+
+    Rows are counted by key, with long texts as digests; a table with text columns is
+    scanned once more for the rows of the k keys, so whole rows are not shuffled.
+    Ties go by key.
+    """
     df = normalize_missing(df)
-    keys = [col(c) for c in df.columns]
-    groups = df.groupBy(*keys).agg(F.count("*").alias("n_duplicates")).filter("n_duplicates > 1")
-    order = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    return groups.orderBy(F.col("n_duplicates").desc(), *order).limit(k)
+    keys = row_key(df)
+    names = [f"k{i}" for i in range(len(keys))]
+    # maps can be grouped but not sorted
+    order = [n for n, f in zip(names, df.schema.fields) if not isinstance(f.dataType, T.MapType)]
+    groups = df.select(*keys).groupBy(*names).agg(F.count("*").alias("n_duplicates")).filter("n_duplicates > 1")
+    top = groups.orderBy(F.col("n_duplicates").desc(), *order).limit(k)
+    if not any(is_string(f.dataType) for f in df.schema.fields):
+        return top.toDF(*df.columns, "n_duplicates")
+    keyed = df.select(*[col(c).alias(f"v{i}") for i, c in enumerate(df.columns)], *keys)
+    same = reduce(lambda a, b: a & b, [F.col(f"t.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names])
+    rows = keyed.alias("r").join(F.broadcast(top.alias("t")), same)  # k rows at most
+    whole = rows.groupBy(*[F.col(f"t.{n}") for n in names]).agg(
+        *[F.first(f"v{i}").alias(f"v{i}") for i in range(len(names))], F.first("n_duplicates").alias("n_duplicates")
+    )
+    return whole.select(*[F.col(f"v{i}").alias(c) for i, c in enumerate(df.columns)], "n_duplicates")
 
 
 # --- alerts -----------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from insight_spark.functions.columns import (
     FLOATING,
     INTEGRAL,
+    KEY_BYTES,
     col,
     compact_key,
     fields_of,
@@ -98,17 +99,19 @@ TOP_SCHEMA = (
 
 
 def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
-    """The k most frequent values per column, ties by value, with the column's totals.
+    """The k most frequent values per column, with the column's totals.
 
     (column, position, n_rows, non_null, n_unique, value, cnt, rank); a column without
-    values keeps one row. Totals and ranks read the same shuffled frequency table, and
-    only the best k rows per task reach the final ranking.
+    values keeps one row. Ties go by value, among long texts by digest: long texts are
+    counted by digest and only the ones listed are looked up, so whole texts are never
+    shuffled. Totals and ranks read the same shuffled frequency table, and only the
+    best k rows per task reach the final ranking.
     """
     df = normalize_missing(df)
     wanted = fields_of(df, cols)
     if not wanted:
         return df.sparkSession.createDataFrame([], TOP_SCHEMA)
-    freq = _as_text([_counted(v) for v in typed_values(df, cols)])
+    freq = _as_text([_counted(v) for v in typed_values(df, cols, compact=True)])
     # Both readers of `freq` take all its rows and columns, and a union instead of a
     # join pushes no filter below it, so Spark shuffles the frequency table once.
     order = Window.partitionBy("position").orderBy(
@@ -122,7 +125,6 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
     column = Window.partitionBy("position")  # at most k + 2 rows each
     ranked = F.when(F.col("value").isNotNull(), F.col("rank"))
     both = both.select(
-        name_at(F.col("position"), df.columns).alias("column"),
         "position",
         *[F.coalesce(F.max(c).over(column), F.lit(0)).alias(c) for c in ("n_rows", "non_null", "n_unique")],
         "value",
@@ -132,10 +134,37 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
         F.row_number().over(column.orderBy(F.col("value").isNull(), "rank")).alias("line"),
     )
     kept = F.col("rank").isNotNull() | ((F.col("listed") == 0) & (F.col("line") == 1))
-    return both.filter(kept).select(
-        "column", "position", "n_rows", "non_null", "n_unique", "value",
+    top = both.filter(kept).select(
+        "position", "n_rows", "non_null", "n_unique", "value",
         F.when(F.col("rank").isNotNull(), F.col("cnt")).alias("cnt"), "rank",
     )
+    top = _with_texts(df, [(p, f) for p, f in wanted if is_string(f.dataType)], top)
+    return top.select(name_at(F.col("position"), df.columns).alias("column"), *top.columns)
+
+
+def _with_texts(df: DataFrame, texts: list[tuple[int, T.StructField]], top: DataFrame) -> DataFrame:
+    """Put the text back in place of each listed digest.
+
+    The digests are at most a few rows per column, so they are broadcast to one more
+    scan of the text columns; without any digest Spark drops that scan at run time.
+    """
+    if not texts:
+        return top
+    is_digest = F.octet_length("value") > KEY_BYTES
+    digests = top.filter(is_digest).select("position", F.col("value").alias("key"))
+    raw = None
+    for p, f in texts:
+        part = df.select(F.lit(p).alias("position"), col(f.name).alias("text"))
+        raw = part if raw is None else raw.unionByName(part)
+    long = raw.filter(F.octet_length("text") > KEY_BYTES).withColumn("key", compact_key(F.col("text")))
+    found = long.join(F.broadcast(digests), ["position", "key"]).groupBy("position", "key").agg(
+        F.first("text").alias("text")
+    )
+    found = found.select("position", F.col("key").alias("value"), "text")
+    joined = top.join(found, ["position", "value"], "left")
+    return joined.select(
+        *[F.coalesce("text", "value").alias(c) if c == "value" else F.col(c) for c in top.columns]
+    )
 
 
 def _totals() -> list[Column]:
