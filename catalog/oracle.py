@@ -216,10 +216,10 @@ def _numeric_oracles() -> dict[str, str]:
         f"SELECT '{x}' AS x, '{y}' AS y, round(coalesce({_corr(x, y)}, 0.0), 8) AS corr FROM lineitem_const"
         for x in columns for y in columns
     ]))
-    # span 49 of 1..50 allows steps of 2 within 30 bins
+    # span 49 of 1..50 allows steps of 2 within 30 bins; 50 belongs to the last of 25
     out["numeric_histogram"] = (
         "SELECT 'l_quantity' AS \"column\", b * 2.0::DOUBLE AS bin_start, (b + 1) * 2.0::DOUBLE AS bin_end, "
-        "count(*) AS cnt FROM (SELECT floor(l_quantity / 2) AS b FROM lineitem) GROUP BY b"
+        "count(*) AS cnt FROM (SELECT least(floor(l_quantity / 2), 24) AS b FROM lineitem) GROUP BY b"
     )
     return out
 

@@ -128,9 +128,14 @@ def per_column(df: DataFrame, cols: Sequence[tuple[int, str, Column]], stats: di
 
 
 def significant(c: Column, digits: int = 4) -> Column:
-    """Text with at most `digits` significant digits and no padding zeros."""
+    """Text with at most `digits` significant digits and no padding zeros.
+
+    Ties round to the even digit; the formatter alone would round them up.
+    """
     x = c.cast("double")
-    text = F.format_string(f"%.{digits}g", x)
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - (digits - 1))
+    even = F.bround(F.try_divide(x, unit)) * unit
+    text = F.format_string(f"%.{digits}g", F.coalesce(even, x))
     text = F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2")
     text = F.regexp_replace(text, r"\.(e|$)", "$1")
     return (

@@ -17,7 +17,6 @@ from insight_spark.functions.columns import (
     chunks,
     col,
     fields_of,
-    finite,
     is_datetime,
     is_string,
     name_at,
@@ -27,6 +26,7 @@ from insight_spark.functions.columns import (
 )
 from insight_spark.operators.frequency import column_counts, top_values, typed_frequencies, value_frequencies
 from insight_spark.operators.numeric import (
+    bin_number,
     binned_counts,
     correlation_matrix,
     describe_fields,
@@ -184,7 +184,7 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = BINS
     df = normalize_missing(df)
     columns = [(p, f.name, as_double(f)) for p, f in numeric_fields(df, cols)]
     edges = _equal_edges(df, columns, bins)
-    return binned_counts(df, [c for c in columns if c[0] in edges], edges, bins)
+    return binned_counts(df, [c for c in columns if c[0] in edges], edges)
 
 
 def _equal_edges(df: DataFrame, columns: Sequence[tuple[int, str, Column]], bins: int) -> dict:
@@ -192,7 +192,7 @@ def _equal_edges(df: DataFrame, columns: Sequence[tuple[int, str, Column]], bins
     for r in value_ranges(df, columns):
         if r.low is not None:
             low, high = (r.low, r.high) if r.low < r.high else (r.low - 0.5, r.high + 0.5)
-            edges[r.position] = low, (high - low) / bins
+            edges[r.position] = low, (high - low) / bins, bins
     return edges
 
 
@@ -479,16 +479,11 @@ def interactions(df: DataFrame, cols: Sequence[str], bins: int = INTERACTION_BIN
     schema = "x string, y string, x_start double, y_start double, cnt bigint"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    numbers = []
-    for i, (p, _, c) in enumerate(columns):
-        start, step = edges[p]
-        number = F.floor((finite(c) - start) / F.lit(step)).cast("int")
-        numbers.append(F.least(number, F.lit(bins - 1)).alias(f"b{i}"))
+    binned = df.select(*[bin_number(c, *edges[p]).alias(f"b{i}") for i, (p, _, c) in enumerate(columns)])
     cells = [
         F.struct(F.lit(n).alias("pair"), F.col(f"b{i}").alias("bx"), F.col(f"b{j}").alias("by"))
         for n, (i, j) in enumerate(pairs)
     ]
-    binned = df.select(*[F.when(finite(c).isNotNull(), b).alias(f"b{i}") for i, ((_, _, c), b) in enumerate(zip(columns, numbers))])
     counts = (
         binned.select(F.inline(F.array(*cells)))
         .filter("bx is not null and by is not null")

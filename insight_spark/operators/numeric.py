@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -229,21 +230,31 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], undefined: float | No
 # --- histograms -------------------------------------------------------------
 
 
-def nice_bins(low: float, high: float, max_bins: int = MAX_BINS) -> tuple[float, float]:
-    """(start, step) of at most max_bins bins whose step is 1, 2 or 5 times a power of ten."""
-    span = high - low or abs(low) or 1.0
+EDGE = 1e-14
+
+
+def nice_bins(low: float, high: float, max_bins: int = MAX_BINS) -> tuple[float, float, int]:
+    """(start, step, number) of at most max_bins bins whose step is 1, 2 or 5 times a power of ten."""
+    span = min(high - low, sys.float_info.max) or abs(low) or 1.0
     level = math.ceil(math.log10(max_bins))
-    step = 10.0 ** (round(math.log10(span)) - level)
+    step = 10.0 ** (math.floor(math.log10(span) + 0.5) - level)
     while math.ceil(span / step) > max_bins:
         step *= 10
     for part in (5, 2):
         if span / (step / part) <= max_bins:
             step /= part
-    return math.floor(low / step) * step, step
+    digits = 0 if step >= 1 else int(-math.log10(step)) + 1
+    first = math.floor(low / step + 10.0 ** (-digits - 1)) * step
+    start = first - step if low < first else first
+    stop = math.ceil(high / step) * step
+    return start, step, max(1, round((stop - start) / step))
 
 
 def numeric_histogram(df: DataFrame, cols: Sequence[str], max_bins: int = MAX_BINS) -> DataFrame:
-    """(column, bin_start, bin_end, cnt) of the non-empty bins, over all finite values."""
+    """(column, bin_start, bin_end, cnt) of the non-empty bins, over all finite values.
+
+    A value on the right edge belongs to the last bin.
+    """
     df = normalize_missing(df)
     columns = _doubles(numeric_fields(df, cols))
     edges = {
@@ -260,19 +271,21 @@ def value_ranges(df: DataFrame, columns: Sequence[tuple[int, str, Column]]) -> l
     return per_column(df, columns, stats, fields=2).collect()
 
 
-def binned_counts(df: DataFrame, columns: Sequence[tuple[int, str, Column]], edges: dict,
-                  bins: int | None = None) -> DataFrame:
-    """Count finite values per bin of width `step` from `start`; `bins` closes the last one."""
+def bin_number(c: Column, start: float, step: float, bins: int) -> Column:
+    """0-based bin of a finite value, NULL for others; the last bin includes its right edge."""
+    place = (finite(c) - start) / F.lit(step) + EDGE
+    return F.when(place.isNotNull(), F.floor(F.least(place, F.lit(bins - 1.0))).cast("int"))
+
+
+def binned_counts(df: DataFrame, columns: Sequence[tuple[int, str, Column]],
+                  edges: dict[int, tuple[float, float, int]]) -> DataFrame:
+    """Count finite values per bin; `edges` holds start, step and number of bins."""
     schema = "column string, bin_start double, bin_end double, cnt bigint"
     if not columns:
         return df.sparkSession.createDataFrame([], schema)
-    numbers = []
-    for i, (p, _, c) in enumerate(columns):
-        start, step = edges[p]
-        number = F.floor((finite(c) - start) / F.lit(step)).cast("bigint")
-        if bins is not None:
-            number = F.least(number, F.lit(bins - 1).cast("bigint"))
-        numbers.append(F.struct(F.lit(i).alias("i"), number.alias("bin")))
+    numbers = [
+        F.struct(F.lit(i).alias("i"), bin_number(c, *edges[p]).alias("bin")) for i, (p, _, c) in enumerate(columns)
+    ]
     counts = (
         df.select(F.inline(F.array(*numbers)))
         .filter(F.col("bin").isNotNull())
