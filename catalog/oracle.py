@@ -609,6 +609,7 @@ def _catalogue_oracles() -> dict[str, str]:
         "SELECT CAST(hyp AS INTEGER) AS hyp_id, kind, statement, col, x, y FROM cand WHERE dataset = 'lineitem'",
         pairs=ctes["pairs"], cand=CANDIDATES,
     )
+    out["hypotheses_from_json"] = out["hypothesis_candidates"]
     out["insights_table"] = _catalogue(
         "SELECT dataset, seq, 'I' || seq AS id, title, description, severity, confidence, "
         "action AS recommended_action, evidence_type, source_pack, columns, metrics FROM i", **ctes,

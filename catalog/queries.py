@@ -226,6 +226,15 @@ def hypothesis_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return hypotheses.hypothesis_candidates(df, profile.column_roles(df))
 
 
+def hypotheses_from_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates written as one JSON array and read back."""
+    df = lineitem_nulls(spark, sf)
+    found = hypotheses.hypothesis_candidates(df, profile.column_roles(df))
+    item = F.struct("hyp_id", "kind", "statement", "col", "x", "y")
+    texts = found.agg(F.to_json(F.array_sort(F.collect_list(item))).alias("json"))  # eight items at most
+    return hypotheses.hypotheses_from_json(texts)
+
+
 # --- time series ------------------------------------------------------------
 
 
@@ -713,7 +722,7 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     categorical_chart_columns, categorical_distribution, categorical_summary, categorical_notes,
     numeric_usable_columns, numeric_basic_stats, corr_columns, variance_rank, correlation_matrix,
     numeric_histogram, sample_rows_n, hyp_missingness, hyp_category_dominance, hyp_correlation,
-    verify_hypotheses, hypothesis_candidates, ts_valid_rows, ts_points, daily_mean, daily_mean_by_key,
+    verify_hypotheses, hypothesis_candidates, hypotheses_from_json, ts_valid_rows, ts_points, daily_mean, daily_mean_by_key,
     daily_head, daily_tail, daily_line, rolling_7d, trend_first_last, trend_insight, analysis_plan,
     pack_run_log, skipped_reasons, run_packs, charts_normalize, charts_flatten, charts_top3_per_pack,
     charts_top12, charts_by_tag, insights_table, insights_normalize, insights_by_confidence,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from insight_spark.functions.columns import fields_of, name_at, normalize_missing
-from insight_spark.operators.frequency import column_counts, top_values
+from insight_spark.operators.frequency import TOP_SCHEMA, column_counts, top_values
 from insight_spark.operators.profile import id_like_any_size
 
 MAX_COLS = 8
@@ -52,7 +52,11 @@ def categorical_top(df: DataFrame, cols: Sequence[str], k: int = TOP_VALUES) ->
 
 
 def categorical_id_insights(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return _counts(df, cols).filter("id_like").select(
+    return _id_insights(_counts(df, cols))
+
+
+def _id_insights(counts: DataFrame) -> DataFrame:
+    return counts.filter("id_like").select(
         "column",
         F.lit("info").alias("severity"),
         F.concat(F.lit("Column '"), "column", F.lit("' looks like an identifier")).alias("title"),
@@ -77,8 +81,12 @@ def categorical_distribution(df: DataFrame, cols: Sequence[str], k: int = TOP_VA
 
     `pct` is the share among the values kept, `pct_of_non_null` among all values.
     """
-    # at most MAX_COLS x k rows from here on
-    kept = _ranked(df, cols, k).filter("not id_like and rank is not null")
+    return _distribution(_ranked(df, cols, k))
+
+
+def _distribution(ranked: DataFrame) -> DataFrame:
+    # at most MAX_COLS x k rows
+    kept = ranked.filter("not id_like and rank is not null")
     place = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("position"))
     kept = kept.withColumn("place", place).filter(F.col("place") <= CHART_COLS)
     total = F.sum("cnt").over(Window.partitionBy("position"))
@@ -93,7 +101,10 @@ def categorical_distribution(df: DataFrame, cols: Sequence[str], k: int = TOP_VA
 
 def categorical_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(n_cols, cols_used, n_charts)."""
-    counts = _counts(df, cols)
+    return _summary(_counts(df, cols))
+
+
+def _summary(counts: DataFrame) -> DataFrame:
     names = F.transform(F.sort_array(F.collect_list(F.struct("position", "column"))), lambda s: s["column"])
     return counts.agg(
         F.count("*").alias("n_cols"),
@@ -104,7 +115,10 @@ def categorical_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def categorical_notes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Info rows for a table without categorical columns or without charts."""
-    summary = categorical_summary(df, cols)
+    return _notes(categorical_summary(df, cols))
+
+
+def _notes(summary: DataFrame) -> DataFrame:
     none = F.col("n_cols") == 0
     return summary.filter(none | (F.col("n_charts") == 0)).select(
         F.lit("info").alias("severity"),
@@ -114,16 +128,29 @@ def categorical_notes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def categorical(df: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
-    """Categorical pack."""
-    tables = {"summary": categorical_summary(df, cols), "notes": categorical_notes(df, cols)}
+def ranked_values(df: DataFrame, cols: Sequence[str], k: int = TOP_VALUES) -> list[Row]:
+    """Top values of the used columns on the driver: at most MAX_COLS x k rows."""
+    return _ranked(df, cols, k).orderBy("position", "rank").collect() if _used(df, cols) else []
+
+
+RANKED_SCHEMA = TOP_SCHEMA + ", id_like boolean"
+
+
+def categorical(df: DataFrame, cols: Sequence[str], ranked: Sequence[Row] | None = None) -> dict[str, DataFrame]:
+    """Categorical pack; one pass serves all its tables."""
+    spark = df.sparkSession
+    rows = ranked_values(df, cols) if ranked is None else ranked
+    top = spark.createDataFrame([tuple(r) for r in rows], RANKED_SCHEMA)
+    counts = top.select("column", "position", "n_rows", "non_null", "n_unique", "id_like").distinct()
+    summary = _summary(counts)
+    tables = {"summary": summary, "notes": _notes(summary)}
     if not _used(df, cols):
-        tables["skip"] = df.sparkSession.createDataFrame(
+        tables["skip"] = spark.createDataFrame(
             [("categorical", "No categorical columns.")], "pack string, skipped string"
         )
         return tables
     return tables | {
-        "top_values": categorical_top(df, cols),
-        "insights": categorical_id_insights(df, cols),
-        "distribution": categorical_distribution(df, cols),
+        "top_values": top.select("column", "n_unique", "value", "cnt", "rank"),
+        "insights": _id_insights(counts),
+        "distribution": _distribution(top),
     }

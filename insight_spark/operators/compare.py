@@ -11,7 +11,10 @@ TOP_MISSING = 10
 
 
 def metric_table(df: DataFrame, insights: int = 0) -> DataFrame:
-    """(metric, value): rows, cols, duplicate_rows, insights_count."""
+    """(metric, value): rows, cols, duplicate_rows, insights_count.
+
+    Duplicates need one pass; rows come from file metadata.
+    """
     size = shape(df).select(F.inline(F.array(
         F.struct(F.lit("rows").alias("metric"), F.col("rows").alias("value")),
         F.struct(F.lit("cols").alias("metric"), F.col("cols").alias("value")),

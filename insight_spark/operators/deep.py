@@ -53,6 +53,9 @@ def _text_columns(df: DataFrame, cols: Sequence[str] | None) -> list[tuple[int,
 # --- overview and types -----------------------------------------------------
 
 
+TYPE_SCHEMA = "column string, position int, n_rows bigint, missing bigint, n_unique bigint, type string"
+
+
 def variable_types(df: DataFrame) -> DataFrame:
     """(column, position, n_rows, missing, n_unique, type) per column.
 
@@ -88,16 +91,19 @@ def variable_types(df: DataFrame) -> DataFrame:
 TYPES = ("numeric", "boolean", "datetime", "categorical", "text", "url", "unsupported")
 
 
-def overview(df: DataFrame) -> DataFrame:
-    """One row: size, missing cells, duplicate rows, number of columns by type."""
-    types = variable_types(df).agg(
+def overview(df: DataFrame, types: DataFrame | None = None, copies: DataFrame | None = None) -> DataFrame:
+    """One row: size, missing cells, duplicate rows, number of columns by type.
+
+    `types` and `copies` at hand save their passes.
+    """
+    types = (variable_types(df) if types is None else types).agg(
         F.max("n_rows").alias("rows"),
         F.count("*").alias("columns"),
         F.sum("missing").alias("missing_cells"),
         *[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in TYPES],
     )
     # two one-row tables side by side, without a join
-    both = types.unionByName(duplicate_rows(df), allowMissingColumns=True)
+    both = types.unionByName(duplicate_rows(df) if copies is None else copies, allowMissingColumns=True)
     both = both.agg(*[F.max(c).alias(c) for c in both.columns])
     cells = F.greatest(F.col("rows") * F.col("columns"), F.lit(1))
     return both.select(
@@ -596,12 +602,16 @@ def imbalance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return sums.filter("k > 1").select("column", (1 - entropy / F.ln("k")).alias("imbalance"))
 
 
-def alerts(df: DataFrame, thresholds: dict | None = None) -> DataFrame:
-    """(column, alert, value) from rules over the profile tables."""
+def alerts(df: DataFrame, thresholds: dict | None = None, types: DataFrame | None = None,
+           copies: DataFrame | None = None) -> DataFrame:
+    """(column, alert, value) from rules over the profile tables.
+
+    `types` and `copies` at hand save their passes.
+    """
     limit = THRESHOLDS | (thresholds or {})
     df = normalize_missing(df)
     spark = df.sparkSession
-    types = variable_types(df).collect()  # one row per column
+    types = (variable_types(df) if types is None else types).collect()  # one row per column
     rows: list[tuple] = []
     for r in types:
         if r.n_unique == 1:
@@ -639,28 +649,32 @@ def alerts(df: DataFrame, thresholds: dict | None = None) -> DataFrame:
         for r in correlation_matrix(df, numeric_cols, undefined=None).collect():
             if r.x < r.y and r["corr"] is not None and abs(r["corr"]) > limit["correlation"]:
                 rows.append((f"{r.x},{r.y}", "high_correlation", r["corr"]))
-    copies = duplicate_rows(df).first().duplicate_rows
-    if copies:
-        rows.append((None, "duplicates", float(copies)))
+    repeated = (duplicate_rows(df) if copies is None else copies).first().duplicate_rows
+    if repeated:
+        rows.append((None, "duplicates", float(repeated)))
     return spark.createDataFrame(rows, "column string, alert string, value double")
 
 
 def deep_profile(df: DataFrame, order_by: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """All tables of the deep profile that apply to the columns of a table."""
     df = normalize_missing(df)
-    types = variable_types(df)
-    kinds = {r.column: r.type for r in types.collect()}  # one row per column
+    spark = df.sparkSession
+    # one row per column and one number, read once for all tables that need them
+    listed = variable_types(df).orderBy("position").collect()
+    types = spark.createDataFrame([tuple(r) for r in listed], TYPE_SCHEMA)
+    copies = spark.createDataFrame([tuple(duplicate_rows(df).first())], "duplicate_rows bigint")
+    kinds = {r.column: r.type for r in listed}
 
     def of(*wanted: str) -> list[str]:
         return [c for c in df.columns if kinds[c] in wanted]
 
     tables = {
-        "overview": overview(df),
+        "overview": overview(df, types, copies),
         "variable_types": types,
         "nullity_correlation": nullity_correlation(df),
         "nullity_patterns": nullity_patterns(df),
         "duplicate_groups": duplicate_groups(df),
-        "alerts": alerts(df),
+        "alerts": alerts(df, types=types, copies=copies),
     }
     if order_by:
         tables["samples"] = samples(df, order_by)

@@ -6,16 +6,16 @@ size; the evidence of each kind comes from one distributed pass over the columns
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from insight_spark.functions.columns import as_double, col, fields_of, is_numeric, normalize_missing, per_column
+from insight_spark.functions.columns import col, fields_of, is_numeric, normalize_missing, per_column
 from insight_spark.operators.frequency import top_values
-from insight_spark.operators.numeric import MAX_CORR_COLS, pair_moments
+from insight_spark.operators.numeric import MAX_CORR_COLS, pair_correlations
 
 MAX_CHECKED = 10
 MAX_PROPOSED = 8
@@ -39,6 +39,7 @@ class Evidence:
     """Evidence already at hand, so that no pass over the data is made twice."""
 
     missing_rate: dict[str, float | None] = field(default_factory=dict)
+    dominance: dict[str, tuple[str, float]] = field(default_factory=dict)
     correlation: dict[tuple[str, str], tuple[float | None, int]] = field(default_factory=dict)
 
 
@@ -58,18 +59,6 @@ def dominance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def pair_correlations(
-    df: DataFrame, pairs: Sequence[tuple[str, str]]
-) -> dict[tuple[str, str], tuple[float | None, int]]:
-    """(Pearson, complete rows) per pair of numeric columns."""
-    df = normalize_missing(df)
-    fields = {f.name: (p, f) for p, f in fields_of(df)}
-    exprs = {fields[c][0]: as_double(fields[c][1]) for pair in pairs for c in pair}
-    by_position = {pair: (fields[pair[0]][0], fields[pair[1]][0]) for pair in pairs}
-    found = pair_moments(df, list(dict.fromkeys(by_position.values())), exprs) if pairs else {}
-    return {pair: found[positions] for pair, positions in by_position.items()}
-
-
 def verify_hypotheses(df: DataFrame, hyps: DataFrame | Sequence[dict], known: Evidence | None = None) -> DataFrame:
     """The first ten hypotheses with `verified` and the evidence of their kind.
 
@@ -90,7 +79,10 @@ def verify_hypotheses(df: DataFrame, hyps: DataFrame | Sequence[dict], known: Ev
 
     rates = dict(known.missing_rate)
     rates |= {r.column: r.missing_rate for r in _rows(missing_rates, df, {h["col"] for h in missing} - set(rates))}
-    tops = {r.column: r for r in _rows(dominance, df, {h["col"] for h in dominant})}
+    tops = dict(known.dominance)
+    tops |= {
+        r.column: (r.top_value, r.top_share) for r in _rows(dominance, df, {h["col"] for h in dominant} - set(tops))
+    }
     pairs = list(dict.fromkeys((h["x"], h["y"]) for h in paired))
     numeric = [(x, y) for x, y in pairs if is_numeric(types[x]) and is_numeric(types[y])]
     corrs = {pair: known.correlation[pair] for pair in numeric if pair in known.correlation}
@@ -104,7 +96,7 @@ def verify_hypotheses(df: DataFrame, hyps: DataFrame | Sequence[dict], known: Ev
             rate = rates[h["col"]]
             verified = True
         elif h in dominant and h["col"] in tops:
-            value, share = tops[h["col"]].top_value, tops[h["col"]].top_share
+            value, share = tops[h["col"]]
             verified = True
         elif h in paired:
             pair = h["x"], h["y"]
@@ -157,12 +149,24 @@ def hypothesis_candidates(df: DataFrame, roles: DataFrame, k: int = MAX_PROPOSED
     Columns with missing values (most first), then categorical columns, then pairs
     of usable numeric columns by absolute correlation.
     """
-    rows, _ = propose(df, roles.orderBy("position").collect(), k)  # one role row per column
+    table = roles.orderBy("position").collect()  # one row per column
+    rows, _ = propose(table, lambda names: pair_correlations(df, list(combinations(names, 2))), k)
     return df.sparkSession.createDataFrame(rows, CANDIDATE_SCHEMA)
 
 
-def propose(df: DataFrame, roles: Sequence[Row], k: int = MAX_PROPOSED) -> tuple[list[tuple], Evidence]:
-    """Candidate rows and the evidence that choosing them took."""
+def corr_candidates(roles: Sequence[Row]) -> list[str]:
+    """Usable numeric columns with most values, in schema order."""
+    usable = sorted((r for r in roles if r.numeric and not r.id_like), key=lambda r: r.missing)[:MAX_CORR_COLS]
+    return [r.column for r in sorted(usable, key=lambda r: r.position)]
+
+
+def propose(roles: Sequence[Row], correlate: Callable[[list[str]], dict],
+            k: int = MAX_PROPOSED) -> tuple[list[tuple], Evidence]:
+    """Candidate rows and the evidence that choosing them took.
+
+    `correlate` gives (Pearson, rows) per pair of the named columns and is only
+    called when pairs can still be among the first k.
+    """
     known = Evidence({r.column: r.missing / r.n_rows if r.n_rows else None for r in roles})
     out = [
         ("missingness", f"Column '{r.column}' has missing values.", r.column, None, None)
@@ -174,12 +178,20 @@ def propose(df: DataFrame, roles: Sequence[Row], k: int = MAX_PROPOSED) -> tuple
         for r in roles
         if r.categorical
     ]
-    usable = sorted((r for r in roles if r.numeric and not r.id_like), key=lambda r: r.missing)[:MAX_CORR_COLS]
-    if len(out) < k and len(usable) > 1:
-        names = [r.column for r in sorted(usable, key=lambda r: r.position)]
-        known.correlation = pair_correlations(df, list(combinations(names, 2)))
+    names = corr_candidates(roles)
+    if len(out) < k and len(names) > 1:
+        known.correlation = correlate(names)
         at = {c: i for i, c in enumerate(names)}
-        found = [(pair, corr) for pair, (corr, _) in known.correlation.items() if corr is not None]
+        found = [(pair, corr) for pair, (corr, _) in known.correlation.items() if corr is not None and pair[0] != pair[1]]
         found.sort(key=lambda f: (-abs(f[1]), at[f[0][0]], at[f[0][1]]))
         out += [("correlation", f"'{x}' and '{y}' are correlated.", None, x, y) for (x, y), _ in found]
     return [(i, *h) for i, h in enumerate(out[:k], start=1)], known
+
+
+JSON_ITEM = "array<struct<kind: string, statement: string, col: string, x: string, y: string>>"
+
+
+def hypotheses_from_json(texts: DataFrame, column: str = "json") -> DataFrame:
+    """Hypotheses of JSON arrays, one array per row, numbered in order; other text gives none."""
+    items = texts.select(F.posexplode(F.from_json(col(column), JSON_ITEM)).alias("at", "h"))
+    return items.select((F.col("at") + 1).alias("hyp_id"), "h.kind", "h.statement", "h.col", "h.x", "h.y")

@@ -7,7 +7,7 @@ import sys
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,10 +87,38 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
         (r.column, r["count"], r["mean"], r["std"], r["min"], *quantiles[r.position], r["max"])
         for r in basics
     ]
-    schema = "column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+    schema = (
+        "column string, count bigint, mean double, std double, min double, "
+        "p25 double, p50 double, p75 double, max double"
+    )
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+MOMENTS = {
+    "rows": lambda c: F.count("*"),
+    "n": F.count,
+    "mean": F.avg,
+    "std": F.stddev_samp,
+    "variance": F.var_samp,
+    "min": F.min,
+    "max": F.max,
+    "low": lambda c: F.min(finite(c)),
+    "high": lambda c: F.max(finite(c)),
+}
+
+
+def column_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, Row]:
+    """Basic statistics per column from one pass, on the driver (one row per column).
+
+    They choose columns, centre correlations and place histogram bins, so that these
+    need no pass of their own.
+    """
+    df = normalize_missing(df)
+    columns = _doubles(numeric_fields(df, cols))
+    rows = per_column(df, columns, MOMENTS, fields=14).collect() if columns else []
+    return {r.column: r for r in rows}
+
+
 def numeric_basic_stats(df: DataFrame, cols: Sequence[str], k: int = MAX_STAT_COLS) -> DataFrame:
     """mean, std, min and max, rounded to 4 digits, of the first k usable columns."""
     df = normalize_missing(df)
@@ -131,23 +159,21 @@ def sample_rows_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 # --- correlation ------------------------------------------------------------
 
 
-def pair_moments(df: DataFrame, pairs: Sequence[tuple[int, int]], exprs: dict[int, Column]) -> dict:
+def pair_moments(df: DataFrame, pairs: Sequence[tuple[int, int]], exprs: dict[int, Column],
+                 moments: dict[int, Row] | None = None) -> dict:
     """Pairwise-complete Pearson correlation of many pairs: {(x, y): (corr, n)}.
 
-    A first pass takes count, mean, min and max of every column. Values are then
-    centred, which makes plain sums numerically safe, and each pair is reduced to
+    A first pass takes count, mean, min and max of every column, unless `moments`
+    brings them. Values are then centred, which makes plain sums numerically safe, and each pair is reduced to
     sums. A column without missing values needs no per-pair count, sum or square
     sum, so a complete table costs one sum per pair: 12 columns fit in one pass.
     Only sums leave a task, whatever the data looks like.
     """
     used = sorted({p for pair in pairs for p in pair})
-    basics = per_column(
-        df,
-        [(p, str(p), exprs[p]) for p in used],
-        {"n": F.count, "mean": F.avg, "low": F.min, "high": F.max, "rows": lambda c: F.count("*")},
-        fields=6,
-    ).collect()
-    own = {r.position: r for r in basics}
+    own = moments
+    if own is None:
+        stats = {k: MOMENTS[k] for k in ("rows", "n", "mean", "min", "max")}
+        own = {r.position: r for r in per_column(df, [(p, str(p), exprs[p]) for p in used], stats, fields=6).collect()}
     centred = {p: exprs[p] - F.lit(_centre(own[p])) for p in used}
     full = {p: own[p].n == own[p].rows for p in used}
 
@@ -186,7 +212,7 @@ def _centre(row) -> float:
     """Mean of a column; its only value when it is constant."""
     if row.n == 0:
         return 0.0
-    return row.low if row.low == row.high else row.mean
+    return row.min if row.min == row.max else row.mean
 
 
 def _pearson(values: dict, own: dict, full: dict, x: int, y: int, n: int) -> float | None:
@@ -196,8 +222,8 @@ def _pearson(values: dict, own: dict, full: dict, x: int, y: int, n: int) -> flo
     sums = {}
     for p, q in ((x, y), (y, x)):
         given = q if not full[q] and p != q else p
-        low = values.get(f"lo_{p}_{given}", own[p].low)
-        high = values.get(f"hi_{p}_{given}", own[p].high)
+        low = values.get(f"lo_{p}_{given}", own[p].min)
+        high = values.get(f"hi_{p}_{given}", own[p].max)
         if low == high:
             return None
         sums[p] = values[f"s_{p}_{given}"]
@@ -210,21 +236,42 @@ def _pearson(values: dict, own: dict, full: dict, x: int, y: int, n: int) -> flo
     return None if math.isnan(corr) else max(-1.0, min(1.0, corr))
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str], undefined: float | None = 0.0) -> DataFrame:
-    """All cells (x, y, corr) of the Pearson matrix; undefined cells become 0."""
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]],
+                      moments: dict[str, Row] | None = None) -> dict[tuple[str, str], tuple[float | None, int]]:
+    """(Pearson, complete rows) per pair of numeric columns, on the driver."""
+    if not pairs:
+        return {}
     df = normalize_missing(df)
-    fields = numeric_fields(df, cols)
-    exprs = {p: as_double(f) for p, f in fields}
-    order = [p for p, _ in fields]
-    pairs = [(p, p) for p in order] + list(combinations(order, 2))
-    found = pair_moments(df, pairs, exprs)
-    names = {p: f.name for p, f in fields}
+    fields = {f.name: (p, f) for p, f in fields_of(df)}
+    at = {c: fields[c][0] for pair in pairs for c in pair}
+    exprs = {p: as_double(fields[c][1]) for c, p in at.items()}
+    known = None if moments is None else {p: moments[c] for c, p in at.items()}
+    found = pair_moments(df, list(dict.fromkeys((at[x], at[y]) for x, y in pairs)), exprs, known)
+    return {(x, y): found[at[x], at[y]] for x, y in pairs}
+
+
+def matrix_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
+    """Diagonal and upper triangle."""
+    return [(c, c) for c in cols] + list(combinations(cols, 2))
+
+
+def matrix_rows(cols: Sequence[str], found: dict, undefined: float | None) -> list[tuple]:
     rows = []
-    for x in order:
-        for y in order:
+    for x in cols:
+        for y in cols:
             corr = found[(x, y) if (x, y) in found else (y, x)][0]
-            rows.append((names[x], names[y], undefined if corr is None else corr))
-    return df.sparkSession.createDataFrame(rows, "x string, y string, corr double")
+            rows.append((x, y, undefined if corr is None else corr))
+    return rows
+
+
+MATRIX_SCHEMA = "x string, y string, corr double"
+
+
+def correlation_matrix(df: DataFrame, cols: Sequence[str], undefined: float | None = 0.0) -> DataFrame:
+    """All cells (x, y, corr) of the Pearson matrix; undefined cells become 0."""
+    names = [f.name for _, f in numeric_fields(df, cols)]
+    found = pair_correlations(df, matrix_pairs(names))
+    return df.sparkSession.createDataFrame(matrix_rows(names, found, undefined), MATRIX_SCHEMA)
 
 
 # --- histograms -------------------------------------------------------------
@@ -250,18 +297,16 @@ def nice_bins(low: float, high: float, max_bins: int = MAX_BINS) -> tuple[float,
     return start, step, max(1, round((stop - start) / step))
 
 
-def numeric_histogram(df: DataFrame, cols: Sequence[str], max_bins: int = MAX_BINS) -> DataFrame:
+def numeric_histogram(df: DataFrame, cols: Sequence[str], max_bins: int = MAX_BINS,
+                      moments: dict[str, Row] | None = None) -> DataFrame:
     """(column, bin_start, bin_end, cnt) of the non-empty bins, over all finite values.
 
     A value on the right edge belongs to the last bin.
     """
     df = normalize_missing(df)
     columns = _doubles(numeric_fields(df, cols))
-    edges = {
-        r.position: nice_bins(r.low, r.high, max_bins)
-        for r in value_ranges(df, columns)
-        if r.low is not None
-    }
+    ranges = value_ranges(df, columns) if moments is None else [moments[name] for _, name, _ in columns]
+    edges = {r.position: nice_bins(r.low, r.high, max_bins) for r in ranges if r.low is not None}
     return binned_counts(df, [c for c in columns if c[0] in edges], edges)
 
 
@@ -306,8 +351,28 @@ def binned_counts(df: DataFrame, columns: Sequence[tuple[int, str, Column]],
     )
 
 
-def numeric(df: DataFrame, cols: Sequence[str], id_like: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Numeric pack: basic stats, correlation matrix, histograms of the widest columns."""
+def by_count(moments: dict[str, Row], cols: Sequence[str], k: int = MAX_CORR_COLS) -> list[str]:
+    """The k columns with most values, ties in schema order."""
+    return sorted(cols, key=lambda c: (-moments[c].n, moments[c].position))[:k]
+
+
+def by_variance(moments: dict[str, Row], cols: Sequence[str], k: int = MAX_HISTOGRAMS) -> list[str]:
+    """The k columns with largest variance, undefined ones last."""
+
+    def spread(c: str) -> float:
+        v = moments[c].variance
+        return -math.inf if v is None or math.isnan(v) else v
+
+    return sorted(cols, key=lambda c: (-spread(c), moments[c].position))[:k]
+
+
+def numeric(df: DataFrame, cols: Sequence[str], id_like: Sequence[str] = (),
+            moments: dict[str, Row] | None = None, correlations: dict | None = None) -> dict[str, DataFrame]:
+    """Numeric pack: basic stats, correlation matrix, histograms of the widest columns.
+
+    One pass for the moments, one for the correlations and one when the histogram is
+    read; `moments` and `correlations` at hand save theirs.
+    """
     spark = df.sparkSession
     df = normalize_missing(df)
     if not cols:
@@ -315,19 +380,17 @@ def numeric(df: DataFrame, cols: Sequence[str], id_like: Sequence[str] = ()) ->
     usable = usable_columns(df, cols, id_like)
     if not usable:
         return {"skip": _skip(spark, "No usable numeric columns (numeric columns look like IDs).")}
-    fields = numeric_fields(df, usable)
-    ranks = per_column(df, _doubles(fields), {"non_null": F.count, "variance": F.var_samp}, fields=4).collect()
-    by_count = sorted(ranks, key=lambda r: (-r.non_null, r.position))
-
-    def spread(r) -> float:
-        return -math.inf if r.variance is None or math.isnan(r.variance) else r.variance
-
-    by_variance = sorted(ranks, key=lambda r: (-spread(r), r.position))
+    moments = column_moments(df, usable) if moments is None else moments
+    chosen = by_count(moments, usable)
+    if correlations is None:
+        correlations = pair_correlations(df, matrix_pairs(chosen), moments)
+    stats = [(c, *[moments[c][k] for k in ("mean", "std", "min", "max")]) for c in usable[:MAX_STAT_COLS]]
+    table = spark.createDataFrame(stats, "column string, mean double, std double, min double, max double")
     return {
         "numeric_cols": spark.createDataFrame([(c,) for c in usable[:MAX_CORR_COLS]], "column string"),
-        "basic_stats": numeric_basic_stats(df, usable),
-        "correlation_matrix": correlation_matrix(df, [r.column for r in by_count[:MAX_CORR_COLS]]),
-        "histogram": numeric_histogram(df, [r.column for r in by_variance[:MAX_HISTOGRAMS]]),
+        "basic_stats": table.withColumns({c: F.round(c, 4) for c in ("mean", "std", "min", "max")}),
+        "correlation_matrix": spark.createDataFrame(matrix_rows(chosen, correlations, 0.0), MATRIX_SCHEMA),
+        "histogram": numeric_histogram(df, by_variance(moments, usable), moments=moments),
     }
 
 

@@ -61,10 +61,13 @@ def missing_percent(missing: DataFrame) -> DataFrame:
     return missing.withColumn("percent", percent)
 
 
+def most_missing(percent: DataFrame, k: int = 20) -> DataFrame:
+    return percent.orderBy(F.col("missing").desc(), "position").limit(k).select("column", "missing", "percent")
+
+
 def missing_top(df: DataFrame, k: int = 20) -> DataFrame:
     """The k columns with most missing values, ties in schema order."""
-    table = missing_percent(missing_by_column(df))
-    return table.orderBy(F.col("missing").desc(), "position").limit(k).select("column", "missing", "percent")
+    return most_missing(missing_percent(missing_by_column(df)), k)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from insight_spark.functions.columns import (
 )
 from insight_spark.functions.datetimes import as_timestamp
 from insight_spark.operators.frequency import column_counts
+from insight_spark.sources.scratch import ensure_checkpoint_dir
 
 WINDOW_DAYS = 7
 MIN_VALUES = 3
@@ -133,8 +134,15 @@ def trend_insight(trend: DataFrame) -> DataFrame:
     )
 
 
+def kept_daily(df: DataFrame, ts_col: str, cols: Sequence[str], keys: Sequence[str] = (),
+               format_no: int | None = None) -> DataFrame:
+    """The daily table, checkpointed: one pass over the raw rows for all its readers."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return daily_mean(df, ts_col, cols, keys, format_no).checkpoint()
+
+
 def timeseries(df: DataFrame, ts_col: str, cols: Sequence[str], keys: Sequence[str] = (),
-               value: str | None = None) -> dict[str, DataFrame]:
+               value: str | None = None, format_no: int | None = None) -> dict[str, DataFrame]:
     """Time-series pack; the trend follows `value`, by default the first column."""
     spark = df.sparkSession
 
@@ -143,19 +151,20 @@ def timeseries(df: DataFrame, ts_col: str, cols: Sequence[str], keys: Sequence[s
 
     if ts_col not in df.columns:
         return skip(f"Datetime column '{ts_col}' not found.")
-    format_no = detect_format(df, ts_col)
-    points = ts_points(df, ts_col, format_no)
-    if not cols or points.first().n_points == 0:
+    if format_no is None:
+        format_no = detect_format(df, ts_col)
+    points = ts_points(df, ts_col, format_no).first().n_points
+    if not cols or points == 0:
         return skip("Not enough datetime rows or no numeric columns.")
     used = [c for c in cols if c in df.columns]
     if not used:
         return skip("No numeric columns found in dataframe.")
     value = value or used[0]
-    daily = daily_mean(df, ts_col, used, keys, format_no)
+    daily = kept_daily(df, ts_col, used, keys, format_no)
     trend = trend_first_last(daily, value, keys)
     return {
         "numeric_cols": spark.createDataFrame([(c,) for c in used[:LISTED_COLS]], "column string"),
-        "points": points,
+        "points": spark.createDataFrame([(points,)], "n_points bigint"),
         "daily": daily,
         "daily_head": daily_head(daily),
         "daily_tail": daily_tail(daily),

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from insight_spark.operators.numeric import variance_rank
-from insight_spark.operators.timeseries import MIN_DAYS, daily_mean
+from insight_spark.operators.numeric import by_variance
+from insight_spark.operators.timeseries import MIN_DAYS
 from insight_spark.plans.packs import TableProfile, skip_reason
 
 PER_PACK = 3
@@ -39,18 +39,15 @@ def chart_entries(profile: TableProfile) -> DataFrame:
         add("categorical", f"cat_top_{i + 1}", f"Top categories: {r.column}", 70 - 5 * i,
             ["categorical", "distribution"], "bar", r.n_unique > 0)
     if skip_reason(profile, "timeseries") is None:
-        first, value = profile.first_datetime, profile.with_role("numeric")[0]
+        value = profile.with_role("numeric")[0]
         add("timeseries", "ts_daily_line", f"Daily trend — {value}", 85, ["timeseries", "trend"], "line")
-        daily = daily_mean(profile.df, first.column, profile.with_role("numeric"), format_no=first.format_no)
-        if daily.count() >= MIN_DAYS:
+        if profile.daily.count() >= MIN_DAYS:
             add("timeseries", "ts_rolling_7d", f"Rolling average (7D) — {value}", 80,
                 ["timeseries", "smoothing"], "line")
     if skip_reason(profile, "numeric") is None:
         add("numeric", "numeric_corr", "Correlation heatmap", 95, ["numeric"], "rect")
-        widest = variance_rank(profile.df, profile.usable, 2).orderBy("rank").collect()
-        filled = {r.column: r.n_rows > r.missing for r in profile.columns}
-        for i, r in enumerate(widest):
-            add("numeric", f"numeric_hist_{i + 1}", f"Histogram: {r.column}", 80, ["numeric"], "bar", filled[r.column])
+        for i, c in enumerate(by_variance(profile.moments, profile.usable)):
+            add("numeric", f"numeric_hist_{i + 1}", f"Histogram: {c}", 80, ["numeric"], "bar", profile.moments[c].n > 0)
     return profile.df.sparkSession.createDataFrame(rows, CHART_SCHEMA)
 
 

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from insight_spark.operators.categorical import ID_ADVICE, MAX_COLS, NO_CHART_ADVICE, NO_CHART_EVIDENCE
-from insight_spark.operators.hypotheses import propose, verify_hypotheses
-from insight_spark.operators.profile import duplicate_rows
-from insight_spark.operators.timeseries import daily_mean, trend_first_last, trend_insight
+from insight_spark.operators.hypotheses import Evidence, propose, verify_hypotheses
+from insight_spark.operators.timeseries import trend_first_last, trend_insight
 from insight_spark.plans.packs import TableProfile, skip_reason
 
 SEVERITIES = ("risk", "warning", "opportunity", "info")
@@ -41,7 +40,8 @@ def insights_table(profile: TableProfile, candidates: DataFrame | Sequence[dict]
     def add(title, description, severity, sample, kind, pack, columns, metrics, action):
         seq = len(rows) + 1
         evidence = (kind, pack, columns, {k: str(v) for k, v in metrics.items()})
-        rows.append((profile.dataset, seq, f"I{seq}", title, description, severity, confidence_of(sample), evidence, action))
+        confidence = confidence_of(sample)
+        rows.append((profile.dataset, seq, f"I{seq}", title, description, severity, confidence, evidence, action))
 
     shown = [r for r in profile.columns if r.categorical][:MAX_COLS]
     for r in shown:
@@ -56,24 +56,23 @@ def insights_table(profile: TableProfile, candidates: DataFrame | Sequence[dict]
 
     if skip_reason(profile, "timeseries") is None:
         first, numeric_cols = profile.first_datetime, profile.with_role("numeric")
-        daily = daily_mean(profile.df, first.column, numeric_cols, format_no=first.format_no)
-        trend = trend_first_last(daily, numeric_cols[0])
+        trend = trend_first_last(profile.daily, numeric_cols[0])
         for r in trend_insight(trend).collect():  # one row
             add(r.title, r.evidence, r.severity, first.n_rows - first.missing, "trend", "timeseries",
                 [first.column, r.col], {"direction": r.direction}, r.recommendation)
 
-    known = None
+    known = Evidence()
     if candidates is None:
-        proposed, known = propose(profile.df, profile.columns)
+        proposed, known = propose(profile.columns, lambda _: profile.correlations)
         candidates = [dict(zip(("hyp_id", "kind", "statement", "col", "x", "y"), h)) for h in proposed]
-    for h in verify_hypotheses(profile.df, candidates, known).orderBy("hyp_id").collect():  # ten rows at most
+    for h in verify_hypotheses(profile.df, candidates, profile.evidence(known)).orderBy("hyp_id").collect():  # ten rows at most
         if not h.verified:
             continue
         if h.kind == "missingness":
             rate = h.missing_rate or 0.0
-            add(h.statement, f"Missing rate {rate:.4g}", "risk" if rate > 0.3 else "warning" if rate > 0 else "info", n,
-                "stat", "hypothesis_verify", [h.col], {"missing_rate": f"{rate:.6f}"},
-                "Consider imputation or filtering.")
+            severity = "risk" if rate > 0.3 else "warning" if rate > 0 else "info"
+            add(h.statement, f"Missing rate {rate:.4g}", severity, n, "stat", "hypothesis_verify", [h.col],
+                {"missing_rate": f"{rate:.6f}"}, "Consider imputation or filtering.")
         elif h.kind == "category_dominance":
             share = h.top_share
             add(h.statement, f"Top value '{h.top_value}' holds {share:.4g} of the values",
@@ -127,28 +126,21 @@ def data_quality_notes(profile: TableProfile) -> DataFrame:
     for r in sorted(profile.columns, key=lambda r: (-r.missing, r.position)):
         if r.missing:
             add("Missing values detected", [r.column], r.missing / n, "Consider imputation or filtering")
-    copies = duplicate_rows(profile.df).first().duplicate_rows
-    if copies:
-        add("Duplicate rows detected", [], copies / n, "Remove repeated rows before aggregating")
+    if profile.duplicates:
+        add("Duplicate rows detected", [], profile.duplicates / n, "Remove repeated rows before aggregating")
     return profile.df.sparkSession.createDataFrame(rows, NOTE_SCHEMA)
 
 
 def overview_metrics(profile: TableProfile, insights: DataFrame, errors: DataFrame) -> DataFrame:
     """(dataset, rows, cols, duplicate_rows, insights, errors, status), one row."""
-    size = duplicate_rows(profile.df).select(
-        F.lit(profile.dataset).alias("dataset"),
-        F.lit(profile.n_rows).cast("bigint").alias("rows"),
-        F.lit(len(profile.columns)).cast("bigint").alias("cols"),
-        "duplicate_rows",
+    size = [(profile.dataset, profile.n_rows, len(profile.columns), profile.duplicates)]
+    both = profile.df.sparkSession.createDataFrame(
+        size, "dataset string, rows bigint, cols bigint, duplicate_rows bigint"
     )
     own = F.col("dataset") == profile.dataset
-    counted = [
-        table.filter(own).select("dataset", F.lit(1).cast("bigint").alias(name))
-        for name, table in (("insights", insights), ("errors", errors))
-    ]
-    both = size
-    for table in counted:
-        both = both.unionByName(table, allowMissingColumns=True)
+    for name, table in (("insights", insights), ("errors", errors)):
+        marks = table.filter(own).select("dataset", F.lit(1).cast("bigint").alias(name))
+        both = both.unionByName(marks, allowMissingColumns=True)
     sums = both.groupBy("dataset").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "cols", "duplicate_rows", "insights", "errors")]
     )

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from insight_spark.functions.columns import normalize_missing
-from insight_spark.operators.categorical import categorical
-from insight_spark.operators.numeric import numeric
-from insight_spark.operators.profile import column_roles, dataset_type_of, snapshot
-from insight_spark.operators.timeseries import timeseries
+from insight_spark.operators.categorical import categorical, ranked_values
+from insight_spark.operators.hypotheses import Evidence, corr_candidates
+from insight_spark.operators.numeric import column_moments, matrix_pairs, numeric, pair_correlations
+from insight_spark.operators.profile import (
+    column_roles,
+    dataset_type_of,
+    duplicate_rows,
+    missing_percent,
+    most_missing,
+    sample_rows,
+)
+from insight_spark.operators.timeseries import kept_daily, timeseries
 
 # fixed values: pack, reason, role that must be present, at most three before numeric
 PACKS = (
@@ -25,7 +34,7 @@ PACKS = (
 LOG_SCHEMA = "dataset string, pack string, status string, detail string"
 
 
-@dataclass(frozen=True)
+@dataclass
 class TableProfile:
     """A table and its roles: one small row per column, read once."""
 
@@ -62,6 +71,37 @@ class TableProfile:
         )
         return self.df.sparkSession.createDataFrame([tuple(r) for r in self.columns], schema)
 
+    # Each of the following makes its pass over the data on first use and is kept: a
+    # few rows per column on the driver, or the daily table in the checkpoint folder.
+
+    @cached_property
+    def duplicates(self) -> int:
+        return duplicate_rows(self.df).first().duplicate_rows
+
+    @cached_property
+    def moments(self) -> dict[str, Row]:
+        return column_moments(self.df, self.with_role("numeric"))
+
+    @cached_property
+    def correlations(self) -> dict:
+        """(Pearson, rows) of the pairs of the usable columns with most values."""
+        return pair_correlations(self.df, matrix_pairs(corr_candidates(self.columns)), self.moments)
+
+    @cached_property
+    def top_values(self) -> list[Row]:
+        return ranked_values(self.df, self.with_role("categorical"))
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        """Daily means of all numeric columns over the first datetime column."""
+        first = self.first_datetime
+        return kept_daily(self.df, first.column, self.with_role("numeric"), format_no=first.format_no)
+
+    def evidence(self, known: Evidence) -> Evidence:
+        """Add what the profile knows to the evidence for hypotheses."""
+        known.dominance |= {r.column: (r.value, r.cnt / r.non_null) for r in self.top_values if r["rank"] == 1}
+        return known
+
 
 def table_profile(df: DataFrame, dataset: str = "dataset") -> TableProfile:
     df = normalize_missing(df)
@@ -161,12 +201,29 @@ def run_packs(profile: TableProfile, plan: DataFrame | Sequence[dict] | None = N
 def _run(profile: TableProfile, pack: str, params: dict, order_by: Sequence[str] | None) -> dict[str, DataFrame]:
     df = profile.df
     if pack == "snapshot":
-        return snapshot(df, order_by)
+        return _snapshot(profile, order_by)
     if skip_reason(profile, pack) is not None:
         return {}
     if pack == "categorical":
-        return categorical(df, profile.with_role("categorical"))
+        return categorical(df, profile.with_role("categorical"), profile.top_values)
     if pack == "timeseries":
-        given = {"ts_col": profile.first_datetime.column, "cols": profile.with_role("numeric"), **params}
+        first = profile.first_datetime
+        given = {"ts_col": first.column, "cols": profile.with_role("numeric"), "format_no": first.format_no, **params}
         return timeseries(df, **given)
-    return numeric(df, profile.with_role("numeric"), profile.with_role("id_like"))
+    return numeric(
+        df, profile.with_role("numeric"), profile.with_role("id_like"), profile.moments, profile.correlations
+    )
+
+
+def _snapshot(profile: TableProfile, order_by: Sequence[str] | None) -> dict[str, DataFrame]:
+    """The snapshot pack out of the profile; only the sample reads the table."""
+    spark = profile.df.sparkSession
+    missing = missing_percent(profile.roles.select("column", "position", "n_rows", "missing"))
+    nothing = [] if profile.missing_total else [("snapshot", "No missing values.")]
+    return {
+        "shape": spark.createDataFrame([(profile.n_rows, len(profile.columns))], "rows bigint, cols bigint"),
+        "duplicate_rows": spark.createDataFrame([(profile.duplicates,)], "duplicate_rows bigint"),
+        "sample_rows": sample_rows(profile.df, 5, order_by),
+        "missing_top": most_missing(missing),
+        "skip": spark.createDataFrame(nothing, "pack string, skipped string"),
+    }

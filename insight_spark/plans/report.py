@@ -18,6 +18,8 @@ SECTIONS = {
     "next_steps": (7, "## Next Steps", 15),
     "errors": (8, "## Errors / Warnings", 30),
 }
+# fixed values: shorter lists of the on-screen overview
+SCREEN_CAPS = {"risks": 6, "opportunities": 6, "notes": 4}
 EMPTY = "—"
 
 
@@ -30,10 +32,10 @@ def _capped(table: DataFrame, n: int) -> DataFrame:
     return table.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n)
 
 
-def _entries(table: DataFrame, section: str, *lines: Column) -> DataFrame:
+def _entries(table: DataFrame, section: str, caps: dict[str, int], *lines: Column) -> DataFrame:
     """Lines of each entry of a section, in entry order, capped."""
     number, _, most = SECTIONS[section]
-    return _capped(table, most).select(
+    return _capped(table, caps.get(section, most)).select(
         "dataset",
         F.lit(number).alias("section_no"),
         F.col("n").alias("entry"),
@@ -51,13 +53,15 @@ def _fixed(datasets: DataFrame, number: int, entry: int, *lines: Column) -> Data
 
 
 def report_lines(overview: DataFrame, insights: DataFrame, notes: DataFrame, errors: DataFrame,
-                 generated: str | None = None, profile_path: str | None = None) -> DataFrame:
+                 generated: str | None = None, profile_path: str | None = None,
+                 caps: dict[str, int] | None = None) -> DataFrame:
     """(dataset, section_no, line_no, line) in a fixed section order with entry caps.
 
     Risks and opportunities are the insights of that severity; next steps are the
     distinct actions in insight order. An empty section shows a dash; errors are
-    left out when there are none.
+    left out when there are none. `caps` changes the most entries of a section.
     """
+    caps = caps or {}
     severity = normal_severity(F.col("severity"))
     titled = F.concat(F.lit("- "), _or_dash(F.col("title")))
     steps = (
@@ -68,11 +72,12 @@ def report_lines(overview: DataFrame, insights: DataFrame, notes: DataFrame, err
     percent = F.concat((F.col("confidence") * 100).cast("int").cast("string"), F.lit("%"))
     numbered = errors.withColumn("seq", F.row_number().over(Window.partitionBy("dataset").orderBy("error")))
     bodies = {
-        "risks": _entries(insights.filter(severity == "risk"), "risks", titled),
-        "opportunities": _entries(insights.filter(severity == "opportunity"), "opportunities", titled),
+        "risks": _entries(insights.filter(severity == "risk"), "risks", caps, titled),
+        "opportunities": _entries(insights.filter(severity == "opportunity"), "opportunities", caps, titled),
         "notes": _entries(
             notes,
             "notes",
+            caps,
             F.concat(
                 F.lit("- **"), _or_dash(F.col("issue")),
                 F.lit("** | Columns: "), _or_dash(F.nullif(F.concat_ws(", ", "columns"), F.lit(""))),
@@ -83,6 +88,7 @@ def report_lines(overview: DataFrame, insights: DataFrame, notes: DataFrame, err
         "insights": _entries(
             insights,
             "insights",
+            caps,
             F.concat(F.lit("### "), F.coalesce("title", F.lit("Untitled"))),
             F.concat(F.lit("- Severity: **"), F.coalesce("severity", F.lit("info")), F.lit("**")),
             F.concat(F.lit("- Confidence: **"), _or_dash(percent), F.lit("**")),
@@ -91,9 +97,9 @@ def report_lines(overview: DataFrame, insights: DataFrame, notes: DataFrame, err
             F.lit(""),
         ),
         "next_steps": _entries(
-            steps, "next_steps", F.concat(F.lit("- "), F.col("recommended_action"))
+            steps, "next_steps", caps, F.concat(F.lit("- "), F.col("recommended_action"))
         ),
-        "errors": _entries(numbered, "errors", F.concat(F.lit("- "), _or_dash(F.col("error")))),
+        "errors": _entries(numbered, "errors", caps, F.concat(F.lit("- "), _or_dash(F.col("error")))),
     }
     datasets = overview.select("dataset")
     text = F.concat(

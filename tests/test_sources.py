@@ -110,7 +110,7 @@ def test_unreadable_inputs(spark, tmp_path):
 
 def test_parquet_nan_becomes_null(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
-    spark.createDataFrame([(float("nan"), 1), (2.0, 2)], "Unnamed: 0 double, a int".replace("Unnamed: 0", "x")).write.parquet(path)
+    spark.createDataFrame([(float("nan"), 1), (2.0, 2)], "x double, a int").write.parquet(path)
     assert sorted(load_rows(spark, path)[1], key=repr) == [(2.0, 2), (None, 1)]
 
 
