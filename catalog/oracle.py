@@ -805,7 +805,7 @@ def _deep_oracles() -> dict[str, str]:
     punctuation = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
     out["deep_word_counts"] = (
         "SELECT 'text' AS \"column\", word, count(*) AS cnt FROM (SELECT trim(w, '" + punctuation + "') AS word FROM "
-        "(SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents)) WHERE word <> '' GROUP BY word"
+        "(SELECT unnest(regexp_split_to_array(lower(text), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+')) AS w FROM documents)) WHERE word <> '' GROUP BY word"
     )
     out["deep_char_counts"] = (
         "SELECT 'text' AS \"column\", char, count(*) AS cnt FROM "

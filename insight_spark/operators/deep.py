@@ -43,6 +43,8 @@ CATEGORY_VALUES = 50
 CATEGORY_SHARE = 0.5
 ASSOCIATION_VALUES = 100
 URL = r"^https?://"
+# fixed values: Unicode white space and ASCII punctuation
+SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -267,7 +269,7 @@ def _exploded_counts(df: DataFrame, fields: Sequence[tuple[int, T.StructField]],
 
 def word_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, word, cnt): lower-case words at white space, outer punctuation removed."""
-    split = _exploded_counts(df, _text_columns(df, cols), lambda c: F.split(F.lower(c), r"\s+"), "word")
+    split = _exploded_counts(df, _text_columns(df, cols), lambda c: F.split(F.lower(c), SPACE), "word")
     words = split.select("column", F.btrim("word", F.lit(PUNCTUATION)).alias("word")).filter("word != ''")
     return words.groupBy("column", "word").agg(F.count("*").alias("cnt"))
 

@@ -65,7 +65,7 @@ def test_extreme_values(spark):
 
 
 def test_text_tables(spark, rows):
-    df = spark.createDataFrame([("Hello,  hello\nWörld!",), ("-- 'hello'",), (None,), ("",)], "t string")
+    df = spark.createDataFrame([("Hello, \u00a0hello\nWörld!",), ("-- 'hello'",), (None,), ("",)], "t string")
     assert rows(deep.word_counts(df)) == [("t", "hello", 3), ("t", "wörld", 1)]
     chars = {r.char: r.cnt for r in deep.char_counts(df).collect()}
     assert chars["l"] == 7 and chars["ö"] == 1 and chars["\n"] == 1 and "" not in chars
