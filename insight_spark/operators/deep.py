@@ -26,6 +26,7 @@ from insight_spark.functions.columns import (
 )
 from insight_spark.operators.frequency import column_counts, top_values, typed_frequencies, value_frequencies
 from insight_spark.operators.numeric import (
+    TINY,
     bin_number,
     binned_counts,
     correlation_matrix,
@@ -199,7 +200,7 @@ def _equal_edges(df: DataFrame, columns: Sequence[tuple[int, str, Column]], bins
     edges = {}
     for r in value_ranges(df, columns):
         if r.low is not None:
-            low, high = (r.low, r.high) if r.low < r.high else (r.low - 0.5, r.high + 0.5)
+            low, high = (r.low, r.high) if r.high - r.low > TINY else (r.low - 0.5, r.high + 0.5)
             edges[r.position] = low, (high - low) / bins, bins
     return edges
 

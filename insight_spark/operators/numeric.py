@@ -278,11 +278,13 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], undefined: float | No
 
 
 EDGE = 1e-14
+TINY = 1e-290  # steps stay normal numbers
 
 
 def nice_bins(low: float, high: float, max_bins: int = MAX_BINS) -> tuple[float, float, int]:
     """(start, step, number) of at most max_bins bins whose step is 1, 2 or 5 times a power of ten."""
     span = min(high - low, sys.float_info.max) or abs(low) or 1.0
+    span = max(span, TINY)
     level = math.ceil(math.log10(max_bins))
     step = 10.0 ** (math.floor(math.log10(span) + 0.5) - level)
     while math.ceil(span / step) > max_bins:

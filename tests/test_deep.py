@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from insight_spark.operators import deep
+from insight_spark.operators.numeric import numeric_histogram
 
 INF = float("inf")
 
@@ -58,6 +59,13 @@ def test_histogram(spark):
     assert [b.cnt for b in bins if b.column == "k"] == [101]
 
 
+@pytest.mark.parametrize("values", [[5e-324, 0.0], [-1.7e308, 1.7e308], [1e-320, 1.0], [1e18, 1e18 + 256]])
+def test_histograms_of_extreme_ranges(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert sum(b.cnt for b in deep.histogram(df, ["v"]).collect()) == 2
+    assert sum(b.cnt for b in numeric_histogram(df, ["v"]).collect()) == 2
+
+
 def test_extreme_values(spark):
     df = spark.createDataFrame([(v,) for v in (3, 1, 1, 2, 9, None)], "v int")
     got = {(r.side, r["rank"]): (r.value, r.cnt) for r in deep.extreme_values(df, ["v"], k=2).collect()}

@@ -110,6 +110,13 @@ def test_nested_types_are_profiled(spark):
     assert one(profile.duplicate_rows(df))[0] == 0
 
 
+def test_two_columns_of_one_nested_type(spark, rows):
+    df = spark.sql("select map('a', 1) m, map('b', 2) n, array(1) p, array(2) q union all "
+                   "select map('a', 1), map('c', 2), array(1), null")
+    got = {r.column: (r.missing, r.n_unique) for r in profile.schema_profile(df).collect()}
+    assert got == {"m": (0, 1), "n": (0, 2), "p": (0, 1), "q": (1, 1)}
+
+
 def test_empty_table(spark, rows):
     df = spark.createDataFrame([], "a int, s string")
     assert one(profile.duplicate_rows(df))[0] == 0
