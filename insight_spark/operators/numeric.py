@@ -293,10 +293,9 @@ def nice_bins(low: float, high: float, max_bins: int = MAX_BINS) -> tuple[float,
         if span / (step / part) <= max_bins:
             step /= part
     digits = 0 if step >= 1 else int(-math.log10(step)) + 1
-    first = math.floor(low / step + 10.0 ** (-digits - 1)) * step
-    start = first - step if low < first else first
-    stop = math.ceil(high / step) * step
-    return start, step, max(1, round((stop - start) / step))
+    first = math.floor(low / step + 10.0 ** (-digits - 1))
+    first -= low < first * step
+    return first * step, step, max(1, math.ceil(high / step) - first)
 
 
 def numeric_histogram(df: DataFrame, cols: Sequence[str], max_bins: int = MAX_BINS,
