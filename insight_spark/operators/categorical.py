@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from insight_spark.functions.columns import fields_of, name_at, normalize_missing
+from insight_spark.functions.tables import small_table
 from insight_spark.operators.frequency import TOP_SCHEMA, column_counts, top_values
 from insight_spark.operators.profile import id_like_any_size
 
@@ -37,7 +38,7 @@ def _counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     used = _used(df, cols)
     if not used:
         schema = "column string, position int, n_rows bigint, non_null bigint, n_unique bigint, id_like boolean"
-        return df.sparkSession.createDataFrame([], schema)
+        return small_table(df.sparkSession, [], schema)
     counts = column_counts(normalize_missing(df), used)
     return counts.select(
         name_at(F.col("position"), df.columns).alias("column"),
@@ -140,13 +141,12 @@ def categorical(df: DataFrame, cols: Sequence[str], ranked: Sequence[Row] | None
     """Categorical pack; one pass serves all its tables."""
     spark = df.sparkSession
     rows = ranked_values(df, cols) if ranked is None else ranked
-    top = spark.createDataFrame([tuple(r) for r in rows], RANKED_SCHEMA)
+    top = small_table(spark, [tuple(r) for r in rows], RANKED_SCHEMA)
     counts = top.select("column", "position", "n_rows", "non_null", "n_unique", "id_like").distinct()
     summary = _summary(counts)
     tables = {"summary": summary, "notes": _notes(summary)}
     if not _used(df, cols):
-        tables["skip"] = spark.createDataFrame(
-            [("categorical", "No categorical columns.")], "pack string, skipped string"
+        tables["skip"] = small_table(spark, [("categorical", "No categorical columns.")], "pack string, skipped string"
         )
         return tables
     return tables | {

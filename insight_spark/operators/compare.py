@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from insight_spark.functions.tables import small_table
 from insight_spark.operators.profile import duplicate_rows, missing_by_column, shape
 
 TOP_MISSING = 10
@@ -61,7 +62,7 @@ def compare(df_a: DataFrame, df_b: DataFrame, name_a: str, name_b: str, *, insig
     """Side-by-side metrics, missing columns and errors of two tables."""
     spark = df_a.sparkSession
     out = {
-        "datasets": spark.createDataFrame([(name_a, name_b)], "dataset_a string, dataset_b string"),
+        "datasets": small_table(spark, [(name_a, name_b)], "dataset_a string, dataset_b string"),
         "metrics": compare_metrics(metric_table(df_a, insights[0]), metric_table(df_b, insights[1])),
         "top_missing": compare_top_missing(df_a, df_b),
     }

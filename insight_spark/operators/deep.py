@@ -24,6 +24,7 @@ from insight_spark.functions.columns import (
     per_column,
     row_key,
 )
+from insight_spark.functions.tables import small_table
 from insight_spark.operators.frequency import column_counts, top_values, typed_frequencies, value_frequencies
 from insight_spark.operators.numeric import (
     TINY,
@@ -169,7 +170,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
             p75 - p25 if n else None, mads[r.position][0] if r.position in mads else None,
             _sample_skewness(r.skewness, n, r.variance), _sample_kurtosis(r.kurtosis, n, r.variance),
         ))
-    return df.sparkSession.createDataFrame(rows, NUMERIC_SCHEMA)
+    return small_table(df.sparkSession, rows, NUMERIC_SCHEMA)
 
 
 def _sample_skewness(g: float | None, n: int, variance: float | None) -> float | None:
@@ -252,7 +253,7 @@ def text_length(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         for r in basics
     ]
     schema = "column string, count bigint, min bigint, max bigint, mean double, median double, total bigint"
-    return df.sparkSession.createDataFrame(rows, schema)
+    return small_table(df.sparkSession, rows, schema)
 
 
 def _exploded_counts(df: DataFrame, fields: Sequence[tuple[int, T.StructField]], pieces, name: str) -> DataFrame:
@@ -264,7 +265,7 @@ def _exploded_counts(df: DataFrame, fields: Sequence[tuple[int, T.StructField]],
         )
         parts.append(rows)
     if not parts:
-        return df.sparkSession.createDataFrame([], f"column string, {name} string, cnt bigint")
+        return small_table(df.sparkSession, [], f"column string, {name} string, cnt bigint")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -374,7 +375,7 @@ def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = list(combinations(range(len(fields)), 2))
     spark = df.sparkSession
     if not pairs:
-        return spark.createDataFrame([], "x string, y string, corr double, n bigint")
+        return small_table(spark, [], "x string, y string, corr double, n bigint")
     values = df.select(*[as_double(f).alias(f"v{i}") for i, (_, f) in enumerate(fields)])
 
     def cell(number: int, i: int, j: int) -> Column:
@@ -435,7 +436,7 @@ def cramers_v(df: DataFrame, cols: Sequence[str], max_values: int = ASSOCIATION_
     fields = [(p, f) for p, f in fields_of(df, cols) if 0 < counts[p] <= max_values]
     pairs = list(combinations(range(len(fields)), 2))
     if not pairs:
-        return spark.createDataFrame([], "x string, y string, v double, n bigint")
+        return small_table(spark, [], "x string, y string, v double, n bigint")
     texts = df.select(*[col(f.name).cast("string").alias(f"v{i}") for i, (_, f) in enumerate(fields)])
     cells = (
         texts.select(
@@ -487,7 +488,7 @@ def interactions(df: DataFrame, cols: Sequence[str], bins: int = INTERACTION_BIN
     pairs = list(combinations(range(len(columns)), 2))
     schema = "x string, y string, x_start double, y_start double, cnt bigint"
     if not pairs:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_table(df.sparkSession, [], schema)
     binned = df.select(*[bin_number(c, *edges[p]).alias(f"b{i}") for i, (p, _, c) in enumerate(columns)])
     cells = [
         F.struct(F.lit(n).alias("pair"), F.col(f"b{i}").alias("bx"), F.col(f"b{j}").alias("by"))
@@ -539,7 +540,7 @@ def nullity_correlation(df: DataFrame) -> DataFrame:
             covered = n * together - a.missing * b.missing
             spread = math.sqrt(a.missing * (n - a.missing)) * math.sqrt(b.missing * (n - b.missing))
             rows.append((a.column, b.column, covered / spread))
-    return spark.createDataFrame(rows, "x string, y string, corr double")
+    return small_table(spark, rows, "x string, y string, corr double")
 
 
 def nullity_patterns(df: DataFrame) -> DataFrame:
@@ -655,17 +656,22 @@ def alerts(df: DataFrame, thresholds: dict | None = None, types: DataFrame | Non
     repeated = (duplicate_rows(df) if copies is None else copies).first().duplicate_rows
     if repeated:
         rows.append((None, "duplicates", float(repeated)))
-    return spark.createDataFrame(rows, "column string, alert string, value double")
+    return small_table(spark, rows, "column string, alert string, value double")
 
 
-def deep_profile(df: DataFrame, order_by: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """All tables of the deep profile that apply to the columns of a table."""
+def deep_profile(df: DataFrame, order_by: Sequence[str] | None = None,
+                 pair_cols: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """All tables of the deep profile that apply to the columns of a table.
+
+    Rank correlations and interactions grow with the pairs of numeric columns;
+    `pair_cols` names the columns to pair on a wide table, by default all.
+    """
     df = normalize_missing(df)
     spark = df.sparkSession
     # one row per column and one number, read once for all tables that need them
     listed = variable_types(df).orderBy("position").collect()
-    types = spark.createDataFrame([tuple(r) for r in listed], TYPE_SCHEMA)
-    copies = spark.createDataFrame([tuple(duplicate_rows(df).first())], "duplicate_rows bigint")
+    types = small_table(spark, [tuple(r) for r in listed], TYPE_SCHEMA)
+    copies = small_table(spark, [tuple(duplicate_rows(df).first())], "duplicate_rows bigint")
     kinds = {r.column: r.type for r in listed}
 
     def of(*wanted: str) -> list[str]:
@@ -689,8 +695,9 @@ def deep_profile(df: DataFrame, order_by: Sequence[str] | None = None) -> dict[s
             "extreme_values": extreme_values(df, numbers),
             "correlation": correlation_matrix(df, numbers, undefined=None),
         }
-    if len(numbers) > 1:
-        tables |= {"spearman": spearman(df, numbers), "interactions": interactions(df, numbers)}
+    paired = numbers if pair_cols is None else [c for c in numbers if c in pair_cols]
+    if len(paired) > 1:
+        tables |= {"spearman": spearman(df, paired), "interactions": interactions(df, paired)}
     if categories or texts:
         tables["common_values"] = common_values(df, list(dict.fromkeys(categories + texts)))
     if len(categories) > 1:

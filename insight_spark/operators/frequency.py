@@ -25,6 +25,7 @@ from insight_spark.functions.columns import (
     normalize_missing,
 )
 from insight_spark.functions.datetimes import DATETIME_FORMATS, format_hits
+from insight_spark.functions.tables import small_table
 
 
 def _family(dt: T.DataType) -> T.DataType:
@@ -87,7 +88,7 @@ def value_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     """(column, position, value, cnt) of every non-missing value, values as text."""
     df = normalize_missing(df)
     if not fields_of(df, cols):
-        return df.sparkSession.createDataFrame([], "column string, position int, value string, cnt bigint")
+        return small_table(df.sparkSession, [], "column string, position int, value string, cnt bigint")
     freq = _as_text(typed_frequencies(df, cols))
     return freq.select(name_at(F.col("position"), df.columns).alias("column"), "position", "value", "cnt")
 
@@ -110,7 +111,7 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
     df = normalize_missing(df)
     wanted = fields_of(df, cols)
     if not wanted:
-        return df.sparkSession.createDataFrame([], TOP_SCHEMA)
+        return small_table(df.sparkSession, [], TOP_SCHEMA)
     freq = _as_text([_counted(v) for v in typed_values(df, cols, compact=True)])
     # Both readers of `freq` take all its rows and columns, and a union instead of a
     # join pushes no filter below it, so Spark shuffles the frequency table once.
@@ -178,8 +179,7 @@ def _totals() -> list[Column]:
 
 def _zeros(df: DataFrame, positions: list[int]) -> DataFrame:
     """One row per column, so that the columns of an empty table are listed too."""
-    rows = F.array(*[F.struct(F.lit(p).alias("position")) for p in positions])
-    return df.sparkSession.range(1).select(F.inline(rows))
+    return small_table(df.sparkSession, [(p,) for p in positions], "position int")
 
 
 def _with_zeros(df: DataFrame, positions: list[int], counts: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from insight_spark.functions.columns import col, fields_of, is_numeric, normalize_missing, per_column
+from insight_spark.functions.tables import small_table
 from insight_spark.operators.frequency import top_values
 from insight_spark.operators.numeric import MAX_CORR_COLS, pair_correlations
 
@@ -111,7 +112,7 @@ def verify_hypotheses(df: DataFrame, hyps: DataFrame | Sequence[dict], known: Ev
             (h["hyp_id"], h.get("kind"), h.get("statement"), h.get("col"), h.get("x"), h.get("y"),
              verified, rate, value, share, corr, n, error)
         )
-    return df.sparkSession.createDataFrame(out, RESULT_SCHEMA)
+    return small_table(df.sparkSession, out, RESULT_SCHEMA)
 
 
 def _rows(evidence, df: DataFrame, cols: set[str]) -> list:
@@ -151,7 +152,7 @@ def hypothesis_candidates(df: DataFrame, roles: DataFrame, k: int = MAX_PROPOSED
     """
     table = roles.orderBy("position").collect()  # one row per column
     rows, _ = propose(table, lambda names: pair_correlations(df, list(combinations(names, 2))), k)
-    return df.sparkSession.createDataFrame(rows, CANDIDATE_SCHEMA)
+    return small_table(df.sparkSession, rows, CANDIDATE_SCHEMA)
 
 
 def corr_candidates(roles: Sequence[Row]) -> list[str]:

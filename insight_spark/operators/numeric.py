@@ -21,6 +21,7 @@ from insight_spark.functions.columns import (
     normalize_missing,
     per_column,
 )
+from insight_spark.functions.tables import small_table
 from insight_spark.operators.quantiles import RANGE_STATS, exact_quantiles
 
 MAX_CORR_COLS = 12
@@ -91,7 +92,7 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
         "column string, count bigint, mean double, std double, min double, "
         "p25 double, p50 double, p75 double, max double"
     )
-    return df.sparkSession.createDataFrame(rows, schema)
+    return small_table(df.sparkSession, rows, schema)
 
 
 MOMENTS = {
@@ -271,7 +272,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], undefined: float | No
     """All cells (x, y, corr) of the Pearson matrix; undefined cells become 0."""
     names = [f.name for _, f in numeric_fields(df, cols)]
     found = pair_correlations(df, matrix_pairs(names))
-    return df.sparkSession.createDataFrame(matrix_rows(names, found, undefined), MATRIX_SCHEMA)
+    return small_table(df.sparkSession, matrix_rows(names, found, undefined), MATRIX_SCHEMA)
 
 
 # --- histograms -------------------------------------------------------------
@@ -328,7 +329,7 @@ def binned_counts(df: DataFrame, columns: Sequence[tuple[int, str, Column]],
     """Count finite values per bin; `edges` holds start, step and number of bins."""
     schema = "column string, bin_start double, bin_end double, cnt bigint"
     if not columns:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_table(df.sparkSession, [], schema)
     numbers = [
         F.struct(F.lit(i).alias("i"), bin_number(c, *edges[p]).alias("bin")) for i, (p, _, c) in enumerate(columns)
     ]
@@ -386,14 +387,14 @@ def numeric(df: DataFrame, cols: Sequence[str], id_like: Sequence[str] = (),
     if correlations is None:
         correlations = pair_correlations(df, matrix_pairs(chosen), moments)
     stats = [(c, *[moments[c][k] for k in ("mean", "std", "min", "max")]) for c in usable[:MAX_STAT_COLS]]
-    table = spark.createDataFrame(stats, "column string, mean double, std double, min double, max double")
+    table = small_table(spark, stats, "column string, mean double, std double, min double, max double")
     return {
-        "numeric_cols": spark.createDataFrame([(c,) for c in usable[:MAX_CORR_COLS]], "column string"),
+        "numeric_cols": small_table(spark, [(c,) for c in usable[:MAX_CORR_COLS]], "column string"),
         "basic_stats": table.withColumns({c: F.round(c, 4) for c in ("mean", "std", "min", "max")}),
-        "correlation_matrix": spark.createDataFrame(matrix_rows(chosen, correlations, 0.0), MATRIX_SCHEMA),
+        "correlation_matrix": small_table(spark, matrix_rows(chosen, correlations, 0.0), MATRIX_SCHEMA),
         "histogram": numeric_histogram(df, by_variance(moments, usable), moments=moments),
     }
 
 
 def _skip(spark, reason: str) -> DataFrame:
-    return spark.createDataFrame([("numeric", reason)], "pack string, skipped string")
+    return small_table(spark, [("numeric", reason)], "pack string, skipped string")

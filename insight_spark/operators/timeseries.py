@@ -21,6 +21,7 @@ from insight_spark.functions.columns import (
     significant,
 )
 from insight_spark.functions.datetimes import as_timestamp
+from insight_spark.functions.tables import small_table
 from insight_spark.operators.frequency import column_counts
 from insight_spark.sources.scratch import ensure_checkpoint_dir
 
@@ -147,7 +148,7 @@ def timeseries(df: DataFrame, ts_col: str, cols: Sequence[str], keys: Sequence[s
     spark = df.sparkSession
 
     def skip(reason: str) -> dict[str, DataFrame]:
-        return {"skip": spark.createDataFrame([("timeseries", reason)], "pack string, skipped string")}
+        return {"skip": small_table(spark, [("timeseries", reason)], "pack string, skipped string")}
 
     if ts_col not in df.columns:
         return skip(f"Datetime column '{ts_col}' not found.")
@@ -163,8 +164,8 @@ def timeseries(df: DataFrame, ts_col: str, cols: Sequence[str], keys: Sequence[s
     daily = kept_daily(df, ts_col, used, keys, format_no)
     trend = trend_first_last(daily, value, keys)
     return {
-        "numeric_cols": spark.createDataFrame([(c,) for c in used[:LISTED_COLS]], "column string"),
-        "points": spark.createDataFrame([(points,)], "n_points bigint"),
+        "numeric_cols": small_table(spark, [(c,) for c in used[:LISTED_COLS]], "column string"),
+        "points": small_table(spark, [(points,)], "n_points bigint"),
         "daily": daily,
         "daily_head": daily_head(daily),
         "daily_tail": daily_tail(daily),

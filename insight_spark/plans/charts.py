@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from insight_spark.functions.tables import small_table
 from insight_spark.operators.numeric import by_variance
 from insight_spark.operators.timeseries import MIN_DAYS
 from insight_spark.plans.packs import TableProfile, skip_reason
@@ -48,7 +49,7 @@ def chart_entries(profile: TableProfile) -> DataFrame:
         add("numeric", "numeric_corr", "Correlation heatmap", 95, ["numeric"], "rect")
         for i, c in enumerate(by_variance(profile.moments, profile.usable)):
             add("numeric", f"numeric_hist_{i + 1}", f"Histogram: {c}", 80, ["numeric"], "bar", profile.moments[c].n > 0)
-    return profile.df.sparkSession.createDataFrame(rows, CHART_SCHEMA)
+    return small_table(profile.df.sparkSession, rows, CHART_SCHEMA)
 
 
 def charts_normalize(charts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from insight_spark.functions.tables import small_table
 from insight_spark.operators.categorical import ID_ADVICE, MAX_COLS, NO_CHART_ADVICE, NO_CHART_EVIDENCE
 from insight_spark.operators.hypotheses import Evidence, propose, verify_hypotheses
 from insight_spark.operators.timeseries import trend_first_last, trend_insight
@@ -86,7 +87,7 @@ def insights_table(profile: TableProfile, candidates: DataFrame | Sequence[dict]
                 "correlation", "hypothesis_verify", [h.x, h.y],
                 {"pearson_corr": "" if corr is None else f"{corr:.6f}", "sample_size": h.n},
                 "Validate correlation with additional data.")
-    return profile.df.sparkSession.createDataFrame(rows, INSIGHT_SCHEMA)
+    return small_table(profile.df.sparkSession, rows, INSIGHT_SCHEMA)
 
 
 def normal_severity(c: Column) -> Column:
@@ -128,14 +129,13 @@ def data_quality_notes(profile: TableProfile) -> DataFrame:
             add("Missing values detected", [r.column], r.missing / n, "Consider imputation or filtering")
     if profile.duplicates:
         add("Duplicate rows detected", [], profile.duplicates / n, "Remove repeated rows before aggregating")
-    return profile.df.sparkSession.createDataFrame(rows, NOTE_SCHEMA)
+    return small_table(profile.df.sparkSession, rows, NOTE_SCHEMA)
 
 
 def overview_metrics(profile: TableProfile, insights: DataFrame, errors: DataFrame) -> DataFrame:
     """(dataset, rows, cols, duplicate_rows, insights, errors, status), one row."""
     size = [(profile.dataset, profile.n_rows, len(profile.columns), profile.duplicates)]
-    both = profile.df.sparkSession.createDataFrame(
-        size, "dataset string, rows bigint, cols bigint, duplicate_rows bigint"
+    both = small_table(profile.df.sparkSession, size, "dataset string, rows bigint, cols bigint, duplicate_rows bigint"
     )
     own = F.col("dataset") == profile.dataset
     for name, table in (("insights", insights), ("errors", errors)):

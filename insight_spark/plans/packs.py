@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from insight_spark.functions.columns import normalize_missing
+from insight_spark.functions.tables import small_table
 from insight_spark.operators.categorical import categorical, ranked_values
 from insight_spark.operators.hypotheses import Evidence, corr_candidates
 from insight_spark.operators.numeric import column_moments, matrix_pairs, numeric, pair_correlations
@@ -69,7 +70,7 @@ class TableProfile:
             "numeric boolean, categorical boolean, datetime boolean, id_like boolean, "
             "id_like_any_size boolean, format_no int"
         )
-        return self.df.sparkSession.createDataFrame([tuple(r) for r in self.columns], schema)
+        return small_table(self.df.sparkSession, [tuple(r) for r in self.columns], schema)
 
     # Each of the following makes its pass over the data on first use and is kept: a
     # few rows per column on the driver, or the daily table in the checkpoint folder.
@@ -124,7 +125,7 @@ def analysis_plan(roles: DataFrame) -> DataFrame:
 def pack_run_log(profile: TableProfile, packs: Sequence[str] | None = None,
                  errors: dict[str, str] | None = None) -> DataFrame:
     """(dataset, pack, status, detail): done, or skipped with the reason."""
-    return profile.df.sparkSession.createDataFrame(_log(profile, packs, errors or {}), LOG_SCHEMA)
+    return small_table(profile.df.sparkSession, _log(profile, packs, errors or {}), LOG_SCHEMA)
 
 
 def planned_packs(profile: TableProfile) -> list[str]:
@@ -221,9 +222,9 @@ def _snapshot(profile: TableProfile, order_by: Sequence[str] | None) -> dict[str
     missing = missing_percent(profile.roles.select("column", "position", "n_rows", "missing"))
     nothing = [] if profile.missing_total else [("snapshot", "No missing values.")]
     return {
-        "shape": spark.createDataFrame([(profile.n_rows, len(profile.columns))], "rows bigint, cols bigint"),
-        "duplicate_rows": spark.createDataFrame([(profile.duplicates,)], "duplicate_rows bigint"),
+        "shape": small_table(spark, [(profile.n_rows, len(profile.columns))], "rows bigint, cols bigint"),
+        "duplicate_rows": small_table(spark, [(profile.duplicates,)], "duplicate_rows bigint"),
         "sample_rows": sample_rows(profile.df, 5, order_by),
         "missing_top": most_missing(missing),
-        "skip": spark.createDataFrame(nothing, "pack string, skipped string"),
+        "skip": small_table(spark, nothing, "pack string, skipped string"),
     }
