@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from insight_spark.functions.columns import fields_of, name_at, normalize_missing
 from insight_spark.functions.tables import small_table
-from insight_spark.operators.frequency import TOP_SCHEMA, column_counts, top_values
+from insight_spark.operators.frequency import TOP_SCHEMA, best_values, column_counts, top_values
 from insight_spark.operators.profile import id_like_any_size
 
 MAX_COLS = 8
@@ -129,12 +129,30 @@ def _notes(summary: DataFrame) -> DataFrame:
     )
 
 
-def ranked_values(df: DataFrame, cols: Sequence[str], k: int = TOP_VALUES) -> list[Row]:
-    """Top values of the used columns on the driver: at most MAX_COLS x k rows."""
-    return _ranked(df, cols, k).orderBy("position", "rank").collect() if _used(df, cols) else []
+RANKED_SCHEMA = TOP_SCHEMA + ", id_like boolean"
+RANKED = Row("column", "position", "n_rows", "non_null", "n_unique", "value", "cnt", "rank", "id_like")
 
 
-RANKED_SCHEMA = TOP_SCHEMA + ", id_like boolean"
+def ranked_values(df: DataFrame, cols: Sequence[str], roles: Sequence[Row] | None = None,
+                  k: int = TOP_VALUES) -> list[Row]:
+    """Top values of the used columns on the driver: at most MAX_COLS x k rows.
+
+    With the roles at hand, the totals of the columns need not be counted again.
+    """
+    used = _used(df, cols)
+    if not used:
+        return []
+    if roles is None:
+        return _ranked(df, cols, k).orderBy("position", "rank").collect()
+    best: dict[int, list[Row]] = {}
+    for r in best_values(df, used, k).orderBy("position", "rank").collect():
+        best.setdefault(r.position, []).append(r)
+    rows = []
+    for c in (r for r in roles if r.column in used):
+        totals = (c.column, c.position, c.n_rows, c.n_rows - c.missing, c.n_unique)
+        listed = [(r.value, r.cnt, r["rank"]) for r in best.get(c.position, [])] or [(None, None, None)]
+        rows += [RANKED(*totals, *values, c.id_like_any_size) for values in listed]
+    return rows
 
 
 def categorical(df: DataFrame, cols: Sequence[str], ranked: Sequence[Row] | None = None) -> dict[str, DataFrame]:

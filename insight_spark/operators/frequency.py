@@ -71,9 +71,9 @@ def _counted(values: DataFrame) -> DataFrame:
     return values.groupBy("position", "value").agg(F.count("*").alias("cnt"))
 
 
-def typed_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> list[DataFrame]:
+def typed_frequencies(df: DataFrame, cols: Sequence[str] | None = None, compact: bool = False) -> list[DataFrame]:
     """One frame (position, value, cnt) per type family, values keep their type."""
-    return [_counted(v.filter(F.col("value").isNotNull())) for v in typed_values(df, cols)]
+    return [_counted(v.filter(F.col("value").isNotNull())) for v in typed_values(df, cols, compact)]
 
 
 def _as_text(frames: list[DataFrame]) -> DataFrame:
@@ -93,6 +93,15 @@ def value_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     return freq.select(name_at(F.col("position"), df.columns).alias("column"), "position", "value", "cnt")
 
 
+def best_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+    """(position, value, cnt, rank): `top_values` without the totals of the columns."""
+    df = normalize_missing(df)
+    freq = _as_text(typed_frequencies(df, cols, compact=True))
+    order = Window.partitionBy("position").orderBy(F.col("cnt").desc(), F.col("value"))
+    best = freq.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return _with_texts(df, [(p, f) for p, f in fields_of(df, cols) if is_string(f.dataType)], best)
+
+
 TOP_SCHEMA = (
     "column string, position int, n_rows bigint, non_null bigint, n_unique bigint, "
     "value string, cnt bigint, rank int"

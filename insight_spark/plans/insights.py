@@ -66,7 +66,8 @@ def insights_table(profile: TableProfile, candidates: DataFrame | Sequence[dict]
     if candidates is None:
         proposed, known = propose(profile.columns, lambda _: profile.correlations)
         candidates = [dict(zip(("hyp_id", "kind", "statement", "col", "x", "y"), h)) for h in proposed]
-    for h in verify_hypotheses(profile.df, candidates, profile.evidence(known)).orderBy("hyp_id").collect():  # ten rows at most
+    checked = verify_hypotheses(profile.df, candidates, profile.evidence(known))
+    for h in checked.orderBy("hyp_id").collect():  # ten rows at most
         if not h.verified:
             continue
         if h.kind == "missingness":
@@ -135,8 +136,8 @@ def data_quality_notes(profile: TableProfile) -> DataFrame:
 def overview_metrics(profile: TableProfile, insights: DataFrame, errors: DataFrame) -> DataFrame:
     """(dataset, rows, cols, duplicate_rows, insights, errors, status), one row."""
     size = [(profile.dataset, profile.n_rows, len(profile.columns), profile.duplicates)]
-    both = small_table(profile.df.sparkSession, size, "dataset string, rows bigint, cols bigint, duplicate_rows bigint"
-    )
+    schema = "dataset string, rows bigint, cols bigint, duplicate_rows bigint"
+    both = small_table(profile.df.sparkSession, size, schema)
     own = F.col("dataset") == profile.dataset
     for name, table in (("insights", insights), ("errors", errors)):
         marks = table.filter(own).select("dataset", F.lit(1).cast("bigint").alias(name))

@@ -90,7 +90,7 @@ class TableProfile:
 
     @cached_property
     def top_values(self) -> list[Row]:
-        return ranked_values(self.df, self.with_role("categorical"))
+        return ranked_values(self.df, self.with_role("categorical"), self.columns)
 
     @cached_property
     def daily(self) -> DataFrame:
