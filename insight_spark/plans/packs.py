@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -109,6 +111,21 @@ def table_profile(df: DataFrame, dataset: str = "dataset") -> TableProfile:
     return TableProfile(dataset, df, tuple(column_roles(df).orderBy("position").collect()))
 
 
+TABLES_AT_ONCE = 8
+
+
+def for_tables(work: Callable, tables: Sequence) -> list:
+    """Results of `work` per table; the jobs of independent tables run side by side."""
+    if not tables:
+        return []
+    with ThreadPoolExecutor(min(TABLES_AT_ONCE, len(tables))) as pool:
+        return list(pool.map(inheritable_thread_target(work), tables))
+
+
+def profile_tables(tables: dict[str, DataFrame]) -> list[TableProfile]:
+    return for_tables(lambda item: table_profile(item[1], item[0]), list(tables.items()))
+
+
 def analysis_plan(roles: DataFrame) -> DataFrame:
     """(step, pack, why, dataset_type): snapshot, then the packs whose role occurs."""
     has = {r: F.coalesce(F.bool_or(r), F.lit(False)) for r in ("categorical", "datetime", "numeric")}
