@@ -726,8 +726,9 @@ def _deep_oracles() -> dict[str, str]:
         nulls,
         "SELECT rows, columns, missing_cells, round(missing_cells / (rows * columns) * 100.0, 6) AS missing_pct, "
         f"duplicate_rows, round(duplicate_rows / rows * 100.0, 6) AS duplicate_pct, {typed} FROM ("
-        f"SELECT count(*) AS rows, CAST({len(LINEITEM)} AS BIGINT) AS columns, CAST({total} AS BIGINT) AS missing_cells, "
-        f"(SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM lineitem_nulls GROUP BY {', '.join(LINEITEM)})) "
+        f"SELECT count(*) AS rows, CAST({len(LINEITEM)} AS BIGINT) AS columns, "
+        f"CAST({total} AS BIGINT) AS missing_cells, (SELECT CAST(sum(n - 1) AS BIGINT) FROM "
+        f"(SELECT count(*) AS n FROM lineitem_nulls GROUP BY {', '.join(LINEITEM)})) "
         "AS duplicate_rows FROM lineitem_nulls)",
     )
     text = (
@@ -805,7 +806,8 @@ def _deep_oracles() -> dict[str, str]:
     punctuation = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
     out["deep_word_counts"] = (
         "SELECT 'text' AS \"column\", word, count(*) AS cnt FROM (SELECT trim(w, '" + punctuation + "') AS word FROM "
-        "(SELECT unnest(regexp_split_to_array(lower(text), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+')) AS w FROM documents)) WHERE word <> '' GROUP BY word"
+        "(SELECT unnest(regexp_split_to_array(lower(text), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+')) AS w "
+        "FROM documents)) WHERE word <> '' GROUP BY word"
     )
     out["deep_char_counts"] = (
         "SELECT 'text' AS \"column\", char, count(*) AS cnt FROM "
@@ -868,8 +870,8 @@ def _deep_oracles() -> dict[str, str]:
     count_sql = " + ".join(f"({c} IS NULL)::INT" for c in LINEITEM)
     out["deep_nullity_patterns"] = _with(
         nulls,
-        f"SELECT concat_ws(',', {flags_sql}) AS missing_columns, CAST({count_sql} AS INTEGER) AS n_missing, count(*) AS cnt "
-        "FROM lineitem_nulls GROUP BY 1, 2",
+        f"SELECT concat_ws(',', {flags_sql}) AS missing_columns, CAST({count_sql} AS INTEGER) AS n_missing, "
+        "count(*) AS cnt FROM lineitem_nulls GROUP BY 1, 2",
     )
     out["deep_samples"] = (
         "(SELECT *, 'head' AS part FROM orders ORDER BY o_orderkey LIMIT 10) UNION ALL "

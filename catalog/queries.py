@@ -293,7 +293,7 @@ def trend_insight(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _profiles(spark: SparkSession, sf: str) -> list[packs.TableProfile]:
-    return packs.profile_tables({name: make(spark, sf) for name, make in DATASETS.items()})
+    return packs.profile_tables(spark, {name: make(spark, sf) for name, make in DATASETS.items()})
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -333,7 +333,7 @@ def run_packs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _charts(spark: SparkSession, sf: str) -> DataFrame:
-    return _union(packs.for_tables(charts.chart_entries, _profiles(spark, sf)))
+    return _union(packs.for_tables(spark, charts.chart_entries, _profiles(spark, sf)))
 
 
 def _listed(df: DataFrame) -> DataFrame:
@@ -372,7 +372,7 @@ def charts_by_tag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _insights(spark: SparkSession, sf: str) -> DataFrame:
-    return _union(packs.for_tables(insights.insights_table, _profiles(spark, sf)))
+    return _union(packs.for_tables(spark, insights.insights_table, _profiles(spark, sf)))
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -429,7 +429,7 @@ def insights_by_severity_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def data_quality_notes(spark: SparkSession, sf: str) -> DataFrame:
     parts = [packs.table_profile(lineitem_dups(spark, sf), "flags"), *_profiles(spark, sf)]
-    notes = _union(packs.for_tables(insights.data_quality_notes, parts))
+    notes = _union(packs.for_tables(spark, insights.data_quality_notes, parts))
     return notes.withColumn("columns", F.concat_ws(",", "columns"))
 
 
@@ -443,9 +443,9 @@ def overview_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_markdown_lines(spark: SparkSession, sf: str) -> DataFrame:
-    profiles = packs.profile_tables({d: DATASETS[d](spark, sf) for d in ("orders", "customer")})
-    logs = packs.for_tables(lambda p: packs.run_packs(p)["run_log"], profiles)
-    found = packs.for_tables(insights.insights_table, profiles)
+    profiles = packs.profile_tables(spark, {d: DATASETS[d](spark, sf) for d in ("orders", "customer")})
+    logs = packs.for_tables(spark, lambda p: packs.run_packs(p)["run_log"], profiles)
+    found = packs.for_tables(spark, insights.insights_table, profiles)
     errors = _union([packs.run_errors(log) for log in logs])
     overview = _union([
         insights.overview_metrics(p, i, errors) for p, i in zip(profiles, found)

@@ -364,63 +364,89 @@ def _average_ranks(freq: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x, y, corr, n): rank correlation of every pair over its complete rows.
 
-    Ties take the average rank. With centred ranks a(x) and b(y) the wanted sum of
-    a(x) b(y) over the rows is the sum over distinct x of a(x) times the sum of its
-    b(y): rows meet only the ranks of y and fold to one row per x before they meet
-    those of x. A y value holding a large part of the rows is joined by broadcast,
-    fewer than 1000 such values per pair, so it never gathers in one task.
+    Ties take the average rank. A column has one rank table, and one more for each
+    other column with missing values. With centred ranks a and b the wanted sum of a b
+    over the rows is the sum over distinct values of the first column of a times the
+    sum of their b: rows meet only the ranks of the column with fewer values and fold
+    to one row per value of the other before they meet its ranks. A value holding a
+    large part of the rows is joined by broadcast, fewer than 1000 such values per
+    table, so it never gathers in one task.
     """
     df = normalize_missing(df)
+    spark = df.sparkSession
+    schema = "x string, y string, corr double, n bigint"
     fields = numeric_fields(df, cols)
     pairs = list(combinations(range(len(fields)), 2))
-    spark = df.sparkSession
     if not pairs:
-        return small_table(spark, [], "x string, y string, corr double, n bigint")
+        return small_table(spark, [], schema)
     values = df.select(*[as_double(f).alias(f"v{i}") for i, (_, f) in enumerate(fields)])
+    stats = {"n": F.count, "rows": lambda c: F.count("*")}
+    counts = per_column(values, [(i, str(i), F.col(f"v{i}")) for i in range(len(fields))], stats, fields=2).collect()
+    full = {r.position: r.n == r.rows for r in counts}
 
-    def cell(number: int, i: int, j: int) -> Column:
-        return F.struct(
-            F.lit(number).alias("pair"), F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y")
-        )
+    def table_of(i: int, other: int) -> tuple[int, int | None]:
+        return i, None if full[other] else other
 
-    rows = values.select(F.inline(F.array(*[cell(n, i, j) for n, (i, j) in enumerate(pairs)])))
-    rows = rows.filter("x is not null and y is not null")
-    # even keys rank the x of a pair, odd keys its y
-    both = F.array(
-        F.struct((F.col("pair") * 2).alias("key"), F.col("x").alias("value")),
-        F.struct((F.col("pair") * 2 + 1).alias("key"), F.col("y").alias("value")),
-    )
-    freq = rows.select(F.inline(both)).groupBy("key", "value").agg(F.count("*").alias("cnt"))
+    tables = list(dict.fromkeys(t for i, j in pairs for t in (table_of(i, j), table_of(j, i))))
+    key = {t: k for k, t in enumerate(tables)}
+
+    def ranked_value(i: int, other: int | None) -> Column:
+        return F.col(f"v{i}") if other is None else F.when(F.col(f"v{other}").isNotNull(), F.col(f"v{i}"))
+
+    members = [F.struct(F.lit(k).alias("key"), ranked_value(*t).alias("value")) for t, k in key.items()]
+    freq = values.select(F.inline(F.array(*members))).filter("value is not null")
+    freq = freq.groupBy("key", "value").agg(F.count("*").alias("cnt"))
     n = F.col("total")
-    ranks = _average_ranks(freq).select(
-        F.shiftright("key", 1).alias("pair"),
-        (F.col("key") % 2).alias("side"),
-        "value",
-        "cnt",
-        "total",
-        "hot",
-        ((F.col("rank") - (n + 1) / 2.0) / n).alias("z"),  # -0.5 .. 0.5
-    )
-    of_x = ranks.filter("side = 0").select("pair", F.col("value").alias("x"), F.col("z").alias("a"))
-    of_y = ranks.filter("side = 1").select("pair", F.col("value").alias("y"), F.col("z").alias("b"), "hot")
-    hot = F.broadcast(of_y.filter("hot").drop("hot"))
-    cold = of_y.filter("not hot").drop("hot")
-    keys = ["pair", "y"]
-    scored = rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys))
-    per_x = scored.groupBy("pair", "x").agg(F.sum("b").alias("b"))
-    crossed = per_x.join(of_x, ["pair", "x"]).groupBy("pair").agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
-
-    def squares(side: int) -> Column:
-        return F.sum(F.when(F.col("side") == side, F.col("cnt") * F.col("z") * F.col("z")))
-
-    own = ranks.groupBy("pair").agg(squares(0).alias("aa"), squares(1).alias("bb"), F.max("total").alias("n"))
-    names = [(fields[i][1].name, fields[j][1].name) for i, j in pairs]
-    corr = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / (F.sqrt("aa") * F.sqrt("bb")))
-    return own.join(crossed, "pair").select(
-        name_at(F.col("pair"), [x for x, _ in names]).alias("x"),
-        name_at(F.col("pair"), [y for _, y in names]).alias("y"),
-        corr.alias("corr"),
-        "n",
+    z = (F.col("rank") - (n + 1) / 2.0) / n  # -0.5 .. 0.5
+    ranks = _average_ranks(freq).select("key", "value", "cnt", "total", "hot", z.alias("z"))
+    # one row per rank table
+    own = {
+        r.key: r
+        for r in ranks.groupBy("key")
+        .agg(F.sum(F.col("cnt") * F.col("z") * F.col("z")).alias("squares"), F.max("total").alias("n"),
+             F.count("*").alias("size"), F.count_if(~F.col("hot")).alias("cold"))
+        .collect()
+    }
+
+    cells, cold_cells = [], []
+    for number, (i, j) in enumerate(pairs):
+        sides = [(key[table_of(i, j)], i), (key[table_of(j, i)], j)]
+        sides.sort(key=lambda s: own[s[0]].size if s[0] in own else 0)
+        (few, few_col), (many, many_col) = sides
+        cells.append(F.struct(
+            F.lit(number).alias("pair"), F.lit(few).alias("key"), F.col(f"v{few_col}").alias("value"),
+            F.lit(many).alias("to_key"), F.col(f"v{many_col}").alias("to_value"),
+        ))
+        if few in own and own[few].cold:
+            cold_cells.append(cells[-1])
+
+    def rows_of(members: list[Column]) -> DataFrame:
+        return values.select(F.inline(F.array(*members))).filter("value is not null and to_value is not null")
+
+    hot = F.broadcast(ranks.filter("hot").select("key", "value", "z"))
+    cold = ranks.filter("not hot").select("key", "value", "z")
+    on = ["key", "value"]
+    scored = rows_of(cells).join(hot, on)
+    if cold_cells:
+        scored = scored.unionByName(rows_of(cold_cells).join(hot, on, "left_anti").join(cold, on))
+    folded = scored.groupBy("pair", "to_key", "to_value").agg(F.sum("z").alias("b"))
+    to = ranks.select(F.col("key").alias("to_key"), F.col("value").alias("to_value"), F.col("z").alias("a"))
+    crossed = folded.join(to, ["to_key", "to_value"]).groupBy("pair").agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
+
+    def per_pair(of) -> Column:
+        return F.element_at(F.array(*[F.lit(of(i, j)) for i, j in pairs]), F.col("pair") + 1)
+
+    def squares(i: int, other: int) -> float:
+        k = key[table_of(i, other)]
+        return own[k].squares if k in own else 0.0
+
+    spread = per_pair(lambda i, j: math.sqrt(squares(i, j)) * math.sqrt(squares(j, i)))
+    total = per_pair(lambda i, j: own[key[table_of(i, j)]].n if key[table_of(i, j)] in own else 0)
+    return crossed.select(
+        per_pair(lambda i, j: fields[i][1].name).alias("x"),
+        per_pair(lambda i, j: fields[j][1].name).alias("y"),
+        F.when(spread > 0, F.col("ab") / spread).alias("corr"),
+        total.cast("bigint").alias("n"),
     )
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from insight_spark.functions.columns import normalize_missing
@@ -114,16 +114,16 @@ def table_profile(df: DataFrame, dataset: str = "dataset") -> TableProfile:
 TABLES_AT_ONCE = 8
 
 
-def for_tables(work: Callable, tables: Sequence) -> list:
+def for_tables(spark: SparkSession, work: Callable, tables: Sequence) -> list:
     """Results of `work` per table; the jobs of independent tables run side by side."""
     if not tables:
         return []
     with ThreadPoolExecutor(min(TABLES_AT_ONCE, len(tables))) as pool:
-        return list(pool.map(inheritable_thread_target(work), tables))
+        return list(pool.map(inheritable_thread_target(spark)(work), tables))
 
 
-def profile_tables(tables: dict[str, DataFrame]) -> list[TableProfile]:
-    return for_tables(lambda item: table_profile(item[1], item[0]), list(tables.items()))
+def profile_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> list[TableProfile]:
+    return for_tables(spark, lambda item: table_profile(item[1], item[0]), list(tables.items()))
 
 
 def analysis_plan(roles: DataFrame) -> DataFrame:
