@@ -116,6 +116,11 @@ def insights_rank(insights: DataFrame, mode: str = "confidence_desc") -> DataFra
     return insights.withColumn("rank", F.row_number().over(window))
 
 
+def insights_sort(insights: DataFrame, mode: str = "confidence_desc") -> DataFrame:
+    """Insights of each dataset in the order of `insights_rank`."""
+    return insights_rank(insights, mode).orderBy("dataset", "rank").drop("rank")
+
+
 def data_quality_notes(profile: TableProfile) -> DataFrame:
     """One note per column with missing values, one for duplicate rows."""
     rows: list[tuple] = []

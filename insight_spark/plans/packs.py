@@ -189,7 +189,7 @@ def run_errors(run_log: DataFrame) -> DataFrame:
     return failed.select("dataset", text.alias("error"))
 
 
-def run_packs(profile: TableProfile, plan: DataFrame | Sequence[dict] | None = None,
+def run_packs(table: TableProfile | DataFrame, plan: DataFrame | Sequence[dict] | None = None,
               order_by: Sequence[str] | None = None) -> dict:
     """Run the packs of a plan in order; a failing pack does not stop the next one.
 
@@ -197,6 +197,7 @@ def run_packs(profile: TableProfile, plan: DataFrame | Sequence[dict] | None = N
     result maps each pack to its tables, plus `run_log`. The time-series pack takes
     the parameters ts_col, cols, keys and value; all packs run with defaults.
     """
+    profile = table_profile(table) if isinstance(table, DataFrame) else table
     if plan is None:
         steps: list[dict] = [{"pack": p} for p in planned_packs(profile)]
     elif isinstance(plan, DataFrame):
