@@ -27,12 +27,14 @@ from insight_spark.functions.columns import (
 from insight_spark.functions.tables import small_table
 from insight_spark.operators.frequency import column_counts, top_values, typed_frequencies, value_frequencies
 from insight_spark.operators.numeric import (
+    MOMENTS,
     TINY,
     bin_number,
     binned_counts,
     correlation_matrix,
     describe_fields,
     numeric_fields,
+    pair_correlations,
     value_ranges,
 )
 from insight_spark.operators.profile import column_roles, duplicate_rows, sample_rows
@@ -654,16 +656,15 @@ def alerts(df: DataFrame, thresholds: dict | None = None, types: DataFrame | Non
         if share > limit["missing"]:
             rows.append((r.column, "missing", share))
     numeric_cols = [r.column for r in types if r.type == "numeric"]
-    stats = {
-        "n": F.count,
+    stats = MOMENTS | {
         "zeros": lambda c: F.count_if(c == 0),
         "infinite": lambda c: F.count_if(F.abs(c) == float("inf")),
         "skewness": F.skewness,
-        "variance": F.var_samp,
     }
     fields = numeric_fields(df, numeric_cols)
     columns = [(p, f.name, as_double(f)) for p, f in fields]
-    for r in per_column(df, columns, stats, fields=10).collect() if columns else []:
+    moments = {r.column: r for r in per_column(df, columns, stats, fields=20).collect()} if columns else {}
+    for r in moments.values():
         if r.n and r.zeros / r.n > limit["zeros"]:
             rows.append((r.column, "zeros", r.zeros / r.n))
         if r.n and r.infinite / r.n > limit["infinite"]:
@@ -676,9 +677,10 @@ def alerts(df: DataFrame, thresholds: dict | None = None, types: DataFrame | Non
         if r.imbalance > limit["imbalance"]:
             rows.append((r.column, "imbalance", r.imbalance))
     if len(numeric_cols) > 1:
-        for r in correlation_matrix(df, numeric_cols, undefined=None).collect():
-            if r.x < r.y and r["corr"] is not None and abs(r["corr"]) > limit["correlation"]:
-                rows.append((f"{r.x},{r.y}", "high_correlation", r["corr"]))
+        pairs = list(combinations(sorted(numeric_cols), 2))
+        for (x, y), (corr, _) in pair_correlations(df, pairs, moments).items():
+            if corr is not None and abs(corr) > limit["correlation"]:
+                rows.append((f"{x},{y}", "high_correlation", corr))
     repeated = (duplicate_rows(df) if copies is None else copies).first().duplicate_rows
     if repeated:
         rows.append((None, "duplicates", float(repeated)))
