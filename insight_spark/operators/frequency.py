@@ -244,10 +244,17 @@ SKETCH_GROUPS = 64
 
 def _n_unique_estimate(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
     """One pass without moving values: a sketch per task, merged in two steps."""
-    wanted = [f.name for _, f in fields_of(df, cols)]
+    fields = [f for _, f in fields_of(df, cols)]
+    wanted = [f.name for f in fields]
+
+    def hashed(field: T.StructField) -> Column:
+        # maps have no hash
+        c = col(field.name).cast("string") if "map<" in field.dataType.simpleString() else col(field.name)
+        return F.when(c.isNotNull(), F.xxhash64(c))
+
     hashes = df.select(
         F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"),
-        *[F.when(col(c).isNotNull(), F.xxhash64(col(c))).alias(f"h{i}") for i, c in enumerate(wanted)],
+        *[hashed(f).alias(f"h{i}") for i, f in enumerate(fields)],
     )
     some = hashes.groupBy("g").agg(
         *[F.hll_sketch_agg(f"h{i}", F.lit(SKETCH_SIZE)).alias(f"s{i}") for i in range(len(wanted))]

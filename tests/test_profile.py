@@ -173,6 +173,8 @@ def test_n_unique_estimate_is_close(spark):
     df = spark.range(20000).select((F.col("id") % 5000).alias("k"), F.lit(None).cast("string").alias("s"))
     got = {r.column: r.n_unique for r in frequency.n_unique(df, approx=True).collect()}
     assert got["s"] == 0 and math.isclose(got["k"], 5000, rel_tol=0.03)
+    nested = spark.sql("select map('a', 1) m, array(1) a union all select map('b', 1), array(1)")
+    assert {r.column: r.n_unique for r in frequency.n_unique(nested, approx=True).collect()} == {"m": 2, "a": 1}
 
 
 def test_normalize_missing_keeps_types(spark):
