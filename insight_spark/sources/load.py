@@ -172,5 +172,26 @@ def _read_json(spark: SparkSession, path: str, schema) -> DataFrame:
         document = spark.read.json(path, multiLine=True)
         if "_corrupt_record" in document.columns:
             raise ValueError(f"Not valid JSON: {path}")
-        return document
+        return _from_columns(spark, path, document)
     return df
+
+
+def _from_columns(spark: SparkSession, path: str, document: DataFrame) -> DataFrame:
+    """Rows of an object that holds whole columns, as arrays or by row label; else unchanged."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    if first is None or not first.value.lstrip().startswith("{"):
+        return document
+    types = [f.dataType for f in document.schema.fields]
+    if all(isinstance(t, T.ArrayType) for t in types):
+        return document.select(F.inline(F.arrays_zip(*[col(c) for c in document.columns])))
+    if all(isinstance(t, T.StructType) for t in types):
+        labels = list(dict.fromkeys(name for t in types for name in t.fieldNames()))
+        rows = [
+            F.struct(*[
+                (col(f.name).getField(label) if label in f.dataType.fieldNames() else F.lit(None)).alias(f.name)
+                for f in document.schema.fields
+            ])
+            for label in labels
+        ]
+        return document.select(F.inline(F.array(*rows)))
+    return document

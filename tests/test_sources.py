@@ -99,6 +99,20 @@ def test_json_lines_and_document(spark, tmp_path):
         assert load_rows(spark, write(tmp_path, name, pretty))[1] == [(1, "x"), (2, "y")]
 
 
+@pytest.mark.parametrize(
+    "content",
+    [{"a": [1, 2], "b": ["x", "y"]}, {"a": {"0": 1, "1": 2}, "b": {"0": "x", "1": "y"}}],
+)
+def test_json_document_of_columns(spark, tmp_path, content):
+    path = write(tmp_path, "c.json", json.dumps(content, indent=1))
+    assert load_rows(spark, path)[1] == [(1, "x"), (2, "y")]
+
+
+def test_json_document_with_array_cells(spark, tmp_path):
+    path = write(tmp_path, "c.json", json.dumps([{"a": [1]}, {"a": [2, 3]}], indent=1))
+    assert load_rows(spark, path)[1] == [([1],), ([2, 3],)]
+
+
 def test_unreadable_inputs(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         load.load_table(spark, str(tmp_path / "no.csv"))
