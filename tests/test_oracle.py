@@ -7,7 +7,9 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalog.oracle import all_oracles as oracle_sql
+from catalog.queries import all_queries as queries
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TYPES = {
