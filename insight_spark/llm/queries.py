@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import packing, secret_scan, simhash, toxicity
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -26,8 +26,21 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), WORDS)
 
 
+def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf, "documents"), secret_scan.fit(spark, WORDS))
+
+
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op5_packing)}
+    return {f.__name__: f for f in (op3_simhash, op5_packing, op7_secret_scan, op10_toxicity)}
 
 
 def all_oracles() -> dict[str, str]:
