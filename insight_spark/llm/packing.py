@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, stored, worker_cache
+from .common import doc_texts, slices, stored, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -78,18 +78,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
-def _slices(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Rows (doc_id, text_key, piece, start, length, ids_crc32): each document's ids and the end id, cut
     every `capacity` tokens. A null or empty text is one piece of the end id alone."""
@@ -100,7 +88,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for b in batches:
             texts = b.column("text").to_pylist()
             ids, keys = b.column("doc_id").to_pylist(), b.column("text_key").to_pylist()
-            for lo, hi in _slices(texts):
+            for lo, hi in slices(texts):
                 rows = [
                     (doc, key, k, k * capacity, len(cut) // 4, zlib.crc32(cut))
                     for doc, key, x in zip(ids[lo:hi], keys[lo:hi], tokenizer.encode(texts[lo:hi]))
@@ -209,7 +197,7 @@ def sequences(docs: DataFrame, packed: DataFrame, path: str, capacity: int = CAP
         tokenizer = worker_cache(f"words {path}", lambda: WordTokenizer(path))
         for b in batches:
             texts, docs_ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            for lo, hi in _slices(texts):
+            for lo, hi in slices(texts):
                 rows = [
                     (doc, k, cut)
                     for doc, x in zip(docs_ids[lo:hi], tokenizer.encode(texts[lo:hi]))
