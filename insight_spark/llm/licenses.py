@@ -250,13 +250,10 @@ def scan(docs: DataFrame, model: Classifier | None = None, similar: float = SIMI
         for b in batches:
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                low = text.lower()
-                if len(low) != len(text):  # a letter whose lower case is longer: places would shift
-                    low = text
                 for i, j in paragraphs(text):
-                    if known.triggers.isdisjoint(_WORD.findall(low[i:j])):
-                        continue
                     words = words_of(text[i:j])
+                    if known.triggers.isdisjoint(words):
+                        continue
                     if sum(w in known.triggers for w in words) < 2:
                         continue
                     family, p = known.classify(words)
