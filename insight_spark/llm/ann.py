@@ -175,11 +175,12 @@ def _candidates(entries: DataFrame, forest: Forest) -> DataFrame:
     def descend(pdf: pd.DataFrame) -> pd.DataFrame:
         (query, asked), (code, ids) = joined(pdf, "a"), joined(pdf, "b")
         at = np.searchsorted(code, query)
-        low = np.clip(at - forest.width, 0, max(0, len(code) - 2 * forest.width))
-        out = []
-        for q, cls, i in zip(query, asked, low):
-            window = slice(i, i + 2 * forest.width)
-            out.append((cls, ids[window].tobytes(), forest.prefixes(code[window], q).astype(np.int8).tobytes()))
+        wide = min(2 * forest.width, len(code))
+        low, out = np.clip(at - forest.width, 0, len(code) - wide), []
+        for k in range(0, len(query), 512):
+            window = low[k : k + 512, None] + np.arange(wide)
+            common = forest.prefixes(code[window], query[k : k + 512, None]).astype(np.int8)
+            out += [(cls, i.tobytes(), c.tobytes()) for cls, i, c in zip(asked[k : k + 512], ids[window], common)]
         return pd.DataFrame(out, columns=["cls", "ids", "common"])
 
     def ascend(pdf: pd.DataFrame) -> pd.DataFrame:
