@@ -162,7 +162,7 @@ def _categorical_oracles() -> dict[str, str]:
         'SELECT "column" FROM ('
         + _per_column("customer", ["c_name", "c_mktsegment"],
                       "'{c}' AS \"column\", {p} AS p, count(DISTINCT {c}) AS u, count(*) AS n")
-        + ") WHERE u / n < 0.9 ORDER BY p LIMIT 2"
+        + ") WHERE u / n < 0.9"
     )
     out["categorical_distribution"] = _with(
         ["orders_nulls"],
@@ -199,10 +199,12 @@ def _numeric_oracles() -> dict[str, str]:
         "'{c}' AS \"column\", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, "
         "round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max",
     ))
+    out["sample_rows_n"] = (
+        "SELECT least(500, count(*)) AS n, least(500, count(DISTINCT o_orderkey)) AS n_keys FROM orders"
+    )
     out["corr_columns"] = _with(
         nulls,
-        'SELECT "column", non_null, CAST(row_number() OVER (ORDER BY non_null DESC, p) AS INTEGER) AS rank FROM m '
-        "QUALIFY rank <= 12",
+        'SELECT "column", non_null, CAST(row_number() OVER (ORDER BY non_null DESC, p) AS INTEGER) AS rank FROM m',
         m=_per_column("lineitem_nulls", KEYS_AND_NUMBERS, "'{c}' AS \"column\", {p} AS p, count({c}) AS non_null"),
     )
     out["variance_rank"] = _with(
@@ -306,6 +308,12 @@ def _time_oracles() -> dict[str, str]:
         "GROUP BY 1, 2 HAVING avg(value) IS NOT NULL",
     )
     out["daily_head"] = _with(gaps, listed + " ORDER BY day LIMIT 10", d=daily)
+    by_key = ("SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS value FROM events_gaps "
+              "GROUP BY 1, 2 HAVING avg(value) IS NOT NULL")
+    for side, order in (("head", "day"), ("tail", "day DESC")):
+        out[f"daily_{side}_by_key"] = _with(
+            gaps, "SELECT event_type, day, round(value, 6) AS value FROM d "
+            f"QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {order}) <= 4", d=by_key)
     out["daily_tail"] = _with(gaps, listed + " ORDER BY day DESC LIMIT 10", d=daily)
     out["daily_line"] = (
         "SELECT CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice), 6) AS value FROM orders "
@@ -391,10 +399,9 @@ CHARTS = """
         UNION ALL
         SELECT dataset, 2, k, 'categorical', 'cat_top_' || k, 'Top categories: ' || c, CAST(75 - 5 * k AS INTEGER),
                'categorical,distribution', 'bar'
-        FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY p) AS k FROM (
-                  SELECT * FROM p WHERE kind = 'string'
-                  QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY p) <= 8) WHERE NOT id_any)
-        WHERE k <= 2 AND u > 0
+        FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY p) AS k
+              FROM p WHERE kind = 'string' AND NOT id_any)
+        WHERE u > 0
         UNION ALL
         SELECT dataset, 3, 1, 'timeseries', 'ts_daily_line', 'Daily trend — ' || c, 85, 'timeseries,trend', 'line'
         FROM days
@@ -409,7 +416,6 @@ CHARTS = """
         SELECT dataset, 4, k, 'numeric', 'numeric_hist_' || k, 'Histogram: ' || c, 80, 'numeric', 'bar'
         FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY variance DESC NULLS LAST, p) AS k
               FROM p WHERE kind = 'number' AND NOT id_like)
-        WHERE k <= 2
     )
 """
 
@@ -460,7 +466,6 @@ CANDIDATES = """
           AND (dataset, x) IN (SELECT (dataset, c) FROM p WHERE NOT id_like)
           AND (dataset, y) IN (SELECT (dataset, c) FROM p WHERE NOT id_like)
     )
-    QUALIFY hyp <= 8
 """
 
 
@@ -685,6 +690,8 @@ def _source_oracles() -> dict[str, str]:
     out["scan_csv"] = "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer"
     out["scan_csv_latin1"] = "SELECT c_custkey, translate(c_name, 'Cue', 'Çüé') AS c_name FROM customer"
     out["scan_parquet"] = "SELECT * FROM orders"
+    out["scan_csv_multiline"] = (
+        "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n, lang FROM documents")
     out["scan_jsonl"] = "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer"
     out["scan_json_document"] = "SELECT * REPLACE (CAST(s_nationkey AS BIGINT) AS s_nationkey) FROM supplier"
     out["csv_na_tokens"] = _with(
@@ -813,6 +820,22 @@ def _deep_oracles() -> dict[str, str]:
         "SELECT 'text' AS \"column\", char, count(*) AS cnt FROM "
         "(SELECT unnest(regexp_extract_all(text, '(?s).')) AS char FROM documents) GROUP BY char"
     )
+    out["deep_datetime_text"] = _with(
+        ["orders_strdate"],
+        "SELECT 'o_orderdate' AS \"column\", count(d) AS count, min(d) AS min, max(d) AS max, "
+        "round(date_diff('second', min(d), max(d)) / 86400.0, 6) AS range_days "
+        "FROM (SELECT try_strptime(o_orderdate, '%Y-%m-%d') AS d FROM orders_strdate)",
+    )
+    cells = ("SELECT o_custkey AS a, o_orderstatus AS b, count(*) AS o FROM orders "
+             "WHERE o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY 1, 2")
+    out["deep_cramers_v_keys"] = (
+        f"WITH c AS ({cells}), t AS (SELECT a, b, o, sum(o) OVER (PARTITION BY a) AS ro, "
+        "sum(o) OVER (PARTITION BY b) AS co FROM c), "
+        "u AS (SELECT sum(o * o / (ro * co)) AS s, CAST(sum(o) AS BIGINT) AS n, count(DISTINCT a) AS r, "
+        "count(DISTINCT b) AS k FROM t) "
+        "SELECT 'o_custkey' AS x, 'o_orderstatus' AS y, round(sqrt(greatest(0, s - 1 - (r - 1) * (k - 1) / (n - 1)) / "
+        "least(r - (r - 1) * (r - 1) / (n - 1) - 1, k - (k - 1) * (k - 1) / (n - 1) - 1)), 8) AS v, n FROM u"
+    )
     out["deep_datetime"] = (
         "SELECT 'o_orderdate' AS \"column\", count(o_orderdate) AS count, min(o_orderdate) AS min, "
         "max(o_orderdate) AS max, round(date_diff('second', min(o_orderdate), max(o_orderdate)) / 86400.0, 6) "

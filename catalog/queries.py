@@ -186,7 +186,9 @@ def numeric_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sample_rows_n(spark: SparkSession, sf: str) -> DataFrame:
-    return numeric.sample_rows_n(table(spark, sf, "orders"), 500)
+    """How many different rows a sample of 500 holds."""
+    sample = numeric.sample_rows_n(table(spark, sf, "orders"), 500)
+    return sample.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_keys"))
 
 
 # --- hypotheses -------------------------------------------------------------
@@ -231,7 +233,7 @@ def hypotheses_from_json(spark: SparkSession, sf: str) -> DataFrame:
     df = lineitem_nulls(spark, sf)
     found = hypotheses.hypothesis_candidates(df, profile.column_roles(df))
     item = F.struct("hyp_id", "kind", "statement", "col", "x", "y")
-    texts = found.agg(F.to_json(F.array_sort(F.collect_list(item))).alias("json"))  # eight items at most
+    texts = found.agg(F.to_json(F.array_sort(F.collect_list(item))).alias("json"))  # one item per candidate
     return hypotheses.hypotheses_from_json(texts)
 
 
@@ -265,6 +267,18 @@ def daily_head(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ts.daily_head(_event_days(spark, sf)), "value")
 
 
+def _event_days_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return ts.daily_mean(events_gaps(spark, sf), "ts", ["value"], keys=["event_type"])
+
+
+def daily_head_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ts.daily_head(_event_days_by_type(spark, sf), 4, ["event_type"]), "value")
+
+
+def daily_tail_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ts.daily_tail(_event_days_by_type(spark, sf), 4, ["event_type"]), "value")
+
+
 def daily_tail(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ts.daily_tail(_event_days(spark, sf)), "value")
 
@@ -500,6 +514,15 @@ def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     return load.load_table(spark, path)
 
 
+def scan_csv_multiline(spark: SparkSession, sf: str) -> DataFrame:
+    """Document texts with line breaks and quotes, written quoted and read back."""
+    path = scratch_dir(spark) + "/documents.csv"
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs.write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    read = load.load_table(spark, path)
+    return read.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n"), "lang")
+
+
 def scan_csv_latin1(spark: SparkSession, sf: str) -> DataFrame:
     """Customer names with accents, written as latin-1 and read back."""
     path = scratch_dir(spark) + "/customer.csv"
@@ -665,6 +688,15 @@ def deep_datetime(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(deep.datetime_range(table(spark, sf, "orders")), "range_days")
 
 
+def deep_datetime_text(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(deep.datetime_range(orders_strdate(spark, sf), ["o_orderdate"]), "range_days")
+
+
+def deep_cramers_v_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """A column of many values against one of few."""
+    return rounded(deep.cramers_v(table(spark, sf, "orders"), ["o_custkey", "o_orderstatus"]), "v", digits=8)
+
+
 def deep_datetime_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return deep.datetime_histogram(table(spark, sf, "orders"))
 
@@ -723,16 +755,16 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     numeric_usable_columns, numeric_basic_stats, corr_columns, variance_rank, correlation_matrix,
     numeric_histogram, sample_rows_n, hyp_missingness, hyp_category_dominance, hyp_correlation,
     verify_hypotheses, hypothesis_candidates, hypotheses_from_json, ts_valid_rows, ts_points, daily_mean, daily_mean_by_key,
-    daily_head, daily_tail, daily_line, rolling_7d, trend_first_last, trend_insight, analysis_plan,
+    daily_head, daily_tail, daily_head_by_key, daily_tail_by_key, daily_line, rolling_7d, trend_first_last, trend_insight, analysis_plan,
     pack_run_log, skipped_reasons, run_packs, charts_normalize, charts_flatten, charts_top3_per_pack,
     charts_top12, charts_by_tag, insights_table, insights_normalize, insights_by_confidence,
     insights_by_confidence_asc, insights_by_severity, insights_by_severity_filter, data_quality_notes,
     overview_metrics, report_markdown_lines, compare_metrics, compare_top_missing, compare_errors,
-    load_dispatch, scan_csv, scan_csv_latin1, scan_parquet, scan_jsonl, scan_json_document,
+    load_dispatch, scan_csv, scan_csv_multiline, scan_csv_latin1, scan_parquet, scan_jsonl, scan_json_document,
     csv_na_tokens, normalize_columns, normalize_missing_values, sanitize_json, chart_csv, write_profile,
     deep_overview, deep_variable_types, deep_numeric, deep_histogram, deep_common_values,
     deep_common_texts, deep_duplicate_texts,
-    deep_extreme_values, deep_text_length, deep_word_counts, deep_char_counts, deep_datetime,
+    deep_extreme_values, deep_text_length, deep_word_counts, deep_char_counts, deep_datetime, deep_datetime_text, deep_cramers_v_keys,
     deep_datetime_histogram, deep_url_parts, deep_spearman, deep_cramers_v, deep_interactions,
     deep_nullity_corr, deep_nullity_patterns, deep_samples, deep_duplicate_groups, deep_alerts,
     deep_profile,

@@ -7,6 +7,8 @@ never reaches the parser.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +61,14 @@ def best_format(hits: Column, non_null: Column) -> Column:
     return choice
 
 
+def choose_format(hits: Sequence[int], non_null: int) -> int | None:
+    """The format a column is read with: the one `best_format` names; below the share, where only a caller who
+    names the column gets here, the one with most hits."""
+    above = (i for i, n in enumerate(hits) if n > non_null * PARSE_SHARE)
+    most = max(hits, default=0)
+    return next(above, hits.index(most) if most else None)
+
+
 def as_timestamp(c: Column, dtype: T.DataType, format_no: int | None) -> Column:
     """Timestamp of a datetime column or of a string column with a known format."""
     if is_datetime(dtype):

@@ -12,9 +12,7 @@ from insight_spark.functions.tables import small_table
 from insight_spark.operators.frequency import TOP_SCHEMA, best_values, column_counts, top_values
 from insight_spark.operators.profile import id_like_any_size
 
-MAX_COLS = 8
 TOP_VALUES = 10
-CHART_COLS = 2
 
 ID_ADVICE = "Exclude from categorical distribution charts and most modeling features."
 NO_CHART_EVIDENCE = "All candidate columns look like identifiers or have no values."
@@ -24,7 +22,7 @@ NO_CHART_ADVICE = (
 
 
 def _used(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    return [f.name for _, f in fields_of(df, list(cols)[:MAX_COLS])]
+    return [f.name for _, f in fields_of(df, list(cols))]
 
 
 def _ranked(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
@@ -48,7 +46,7 @@ def _counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def categorical_top(df: DataFrame, cols: Sequence[str], k: int = TOP_VALUES) -> DataFrame:
-    """(column, n_unique, value, cnt, rank) of the first columns."""
+    """(column, n_unique, value, cnt, rank) of all the columns."""
     return _ranked(df, cols, k).select("column", "n_unique", "value", "cnt", "rank")
 
 
@@ -66,30 +64,27 @@ def _id_insights(counts: DataFrame) -> DataFrame:
     )
 
 
-def categorical_chart_columns(df: DataFrame, cols: Sequence[str], k: int = CHART_COLS) -> DataFrame:
-    """The first k columns that do not look like identifiers."""
-    return (
-        _counts(df, cols)
-        .filter("not id_like")
-        .orderBy("position")
-        .limit(k)
-        .select("column", "position", "non_null")
-    )
+def categorical_chart_columns(df: DataFrame, cols: Sequence[str], k: int | None = None) -> DataFrame:
+    """The columns that do not look like identifiers, or the first k of them."""
+    shown = _counts(df, cols).filter("not id_like").select("column", "position", "non_null")
+    return shown if k is None else shown.orderBy("position").limit(k)
 
 
-def categorical_distribution(df: DataFrame, cols: Sequence[str], k: int = TOP_VALUES) -> DataFrame:
-    """(column, value, cnt, pct, pct_of_non_null) of the chart columns.
+def categorical_distribution(df: DataFrame, cols: Sequence[str], k: int = TOP_VALUES,
+                             charts: int | None = None) -> DataFrame:
+    """(column, value, cnt, pct, pct_of_non_null) of the chart columns, or of the first `charts` of them.
 
     `pct` is the share among the values kept, `pct_of_non_null` among all values.
     """
-    return _distribution(_ranked(df, cols, k))
+    return _distribution(_ranked(df, cols, k), charts)
 
 
-def _distribution(ranked: DataFrame) -> DataFrame:
-    # at most MAX_COLS x k rows
+def _distribution(ranked: DataFrame, charts: int | None = None) -> DataFrame:
+    # k rows per column
     kept = ranked.filter("not id_like and rank is not null")
-    place = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("position"))
-    kept = kept.withColumn("place", place).filter(F.col("place") <= CHART_COLS)
+    if charts is not None:
+        place = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("position"))
+        kept = kept.withColumn("place", place).filter(F.col("place") <= charts)
     total = F.sum("cnt").over(Window.partitionBy("position"))
     return kept.select(
         "column",
@@ -100,17 +95,18 @@ def _distribution(ranked: DataFrame) -> DataFrame:
     )
 
 
-def categorical_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def categorical_summary(df: DataFrame, cols: Sequence[str], charts: int | None = None) -> DataFrame:
     """(n_cols, cols_used, n_charts)."""
-    return _summary(_counts(df, cols))
+    return _summary(_counts(df, cols), charts)
 
 
-def _summary(counts: DataFrame) -> DataFrame:
+def _summary(counts: DataFrame, charts: int | None = None) -> DataFrame:
+    shown = F.count_if(~F.col("id_like"))
     names = F.transform(F.sort_array(F.collect_list(F.struct("position", "column"))), lambda s: s["column"])
     return counts.agg(
         F.count("*").alias("n_cols"),
         names.alias("cols_used"),
-        F.least(F.count_if(~F.col("id_like")), F.lit(CHART_COLS).cast("bigint")).alias("n_charts"),
+        (shown if charts is None else F.least(shown, F.lit(charts).cast("bigint"))).alias("n_charts"),
     )
 
 
@@ -135,7 +131,7 @@ RANKED = Row("column", "position", "n_rows", "non_null", "n_unique", "value", "c
 
 def ranked_values(df: DataFrame, cols: Sequence[str], roles: Sequence[Row] | None = None,
                   k: int = TOP_VALUES) -> list[Row]:
-    """Top values of the used columns on the driver: at most MAX_COLS x k rows.
+    """Top values of the used columns on the driver: k rows per column.
 
     With the roles at hand, the totals of the columns need not be counted again.
     """
@@ -155,13 +151,14 @@ def ranked_values(df: DataFrame, cols: Sequence[str], roles: Sequence[Row] | Non
     return rows
 
 
-def categorical(df: DataFrame, cols: Sequence[str], ranked: Sequence[Row] | None = None) -> dict[str, DataFrame]:
-    """Categorical pack; one pass serves all its tables."""
+def categorical(df: DataFrame, cols: Sequence[str], ranked: Sequence[Row] | None = None,
+                charts: int | None = None) -> dict[str, DataFrame]:
+    """Categorical pack; one pass serves all its tables. `charts` limits the columns with a distribution."""
     spark = df.sparkSession
     rows = ranked_values(df, cols) if ranked is None else ranked
     top = small_table(spark, [tuple(r) for r in rows], RANKED_SCHEMA)
     counts = top.select("column", "position", "n_rows", "non_null", "n_unique", "id_like").distinct()
-    summary = _summary(counts)
+    summary = _summary(counts, charts)
     tables = {"summary": summary, "notes": _notes(summary)}
     if not _used(df, cols):
         tables["skip"] = small_table(spark, [("categorical", "No categorical columns.")], "pack string, skipped string"
@@ -170,5 +167,5 @@ def categorical(df: DataFrame, cols: Sequence[str], ranked: Sequence[Row] | None
     return tables | {
         "top_values": top.select("column", "n_unique", "value", "cnt", "rank"),
         "insights": _id_insights(counts),
-        "distribution": _distribution(top),
+        "distribution": _distribution(top, charts),
     }

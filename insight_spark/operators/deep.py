@@ -24,6 +24,7 @@ from insight_spark.functions.columns import (
     per_column,
     row_key,
 )
+from insight_spark.functions.datetimes import as_timestamp
 from insight_spark.functions.tables import small_table
 from insight_spark.operators.frequency import column_counts, top_values, typed_frequencies, value_frequencies
 from insight_spark.operators.numeric import (
@@ -39,13 +40,13 @@ from insight_spark.operators.numeric import (
 )
 from insight_spark.operators.profile import column_roles, duplicate_rows, sample_rows
 from insight_spark.operators.quantiles import RANGE_STATS, exact_quantiles
+from insight_spark.operators.timeseries import detect_format
 from insight_spark.sources.scratch import ensure_checkpoint_dir
 
 BINS = 50
 INTERACTION_BINS = 20
 CATEGORY_VALUES = 50
 CATEGORY_SHARE = 0.5
-ASSOCIATION_VALUES = 100
 URL = r"^https?://"
 # fixed values: Unicode white space and ASCII punctuation
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
@@ -284,14 +285,26 @@ def char_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return chars.filter("char != ''").groupBy("column", "char").agg(F.count("*").alias("cnt"))
 
 
-def datetime_range(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column, count, min, max, range_days) of the native datetime columns."""
-    parts = []
+def _datetimes(df: DataFrame, cols: Sequence[str] | None) -> list[tuple[str, Column]]:
+    """Datetime columns as timestamps: native ones, and text ones named in `cols` by the format they are read with."""
+    out = []
     for _, f in fields_of(df, cols):
         if is_datetime(f.dataType):
-            c = col(f.name).cast("timestamp_ntz")
-            ends = df.agg(F.count(c).alias("count"), F.min(c).alias("min"), F.max(c).alias("max"))
-            parts.append(ends.withColumn("column", F.lit(f.name)))
+            out.append((f.name, col(f.name).cast("timestamp_ntz")))
+        elif cols is not None and is_string(f.dataType):
+            out.append((f.name, as_timestamp(col(f.name), f.dataType, detect_format(df, f.name))))
+    return out
+
+
+def datetime_range(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column, count, min, max, range_days) of datetime columns, native or text that reads as one."""
+    parts = []
+    for name, c in _datetimes(df, cols):
+        ends = df.agg(F.count(c).alias("count"), F.min(c).alias("min"), F.max(c).alias("max"))
+        parts.append(ends.withColumn("column", F.lit(name)))
+    if not parts:
+        schema = "column string, count bigint, min timestamp_ntz, max timestamp_ntz, range_days double"
+        return small_table(df.sparkSession, [], schema)
     days = F.timestamp_diff("SECOND", F.col("min"), F.col("max")) / 86400.0
     out = reduce(DataFrame.unionByName, parts)
     return out.select("column", "count", "min", "max", days.alias("range_days"))
@@ -300,10 +313,11 @@ def datetime_range(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 def datetime_histogram(df: DataFrame, cols: Sequence[str] | None = None, unit: str = "month") -> DataFrame:
     """(column, start, cnt) per calendar unit."""
     parts = [
-        df.select(F.lit(f.name).alias("column"), F.date_trunc(unit, col(f.name)).cast("date").alias("start"))
-        for _, f in fields_of(df, cols)
-        if is_datetime(f.dataType)
+        df.select(F.lit(name).alias("column"), F.date_trunc(unit, c).cast("date").alias("start"))
+        for name, c in _datetimes(df, cols)
     ]
+    if not parts:
+        return small_table(df.sparkSession, [], "column string, start date, cnt bigint")
     rows = reduce(DataFrame.unionByName, parts).filter("start is not null")
     return rows.groupBy("column", "start").agg(F.count("*").alias("cnt"))
 
@@ -320,6 +334,8 @@ def url_parts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         )
         long = wide.unpivot([], ["scheme", "host", "path"], "part", "value").filter("value is not null")
         parts.append(long.withColumn("column", F.lit(f.name)))
+    if not parts:
+        return small_table(df.sparkSession, [], "column string, part string, value string, cnt bigint")
     rows = reduce(DataFrame.unionByName, parts)
     return rows.groupBy("column", "part", "value").agg(F.count("*").alias("cnt"))
 
@@ -452,16 +468,16 @@ def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def cramers_v(df: DataFrame, cols: Sequence[str], max_values: int = ASSOCIATION_VALUES) -> DataFrame:
+def cramers_v(df: DataFrame, cols: Sequence[str], max_values: int | None = None) -> DataFrame:
     """(x, y, v, n): bias-corrected association of categorical pairs.
 
-    Only columns with at most `max_values` distinct values take part, so a pair's
-    contingency table has a fixed size.
+    Cells are counted with map-side folding, their row and column sums by grouping cells, so columns of any
+    number of values take part; `max_values` leaves out columns with more.
     """
     df = normalize_missing(df)
     spark = df.sparkSession
     counts = {r.position: r.n_unique for r in column_counts(df, cols).collect()}
-    fields = [(p, f) for p, f in fields_of(df, cols) if 0 < counts[p] <= max_values]
+    fields = [(p, f) for p, f in fields_of(df, cols) if 0 < counts[p] and (max_values is None or counts[p] <= max_values)]
     pairs = list(combinations(range(len(fields)), 2))
     if not pairs:
         return small_table(spark, [], "x string, y string, v double, n bigint")
@@ -481,10 +497,10 @@ def cramers_v(df: DataFrame, cols: Sequence[str], max_values: int = ASSOCIATION_
         .groupBy("pair", "a", "b")
         .agg(F.count("*").cast("double").alias("o"))
     )
-    in_row = F.sum("o").over(Window.partitionBy("pair", "a"))
-    in_col = F.sum("o").over(Window.partitionBy("pair", "b"))
+    in_row = cells.groupBy("pair", "a").agg(F.sum("o").alias("r"))
+    in_col = cells.groupBy("pair", "b").agg(F.sum("o").alias("c"))
     sums = (
-        cells.select("pair", "a", "b", "o", in_row.alias("r"), in_col.alias("c"))
+        cells.join(in_row, ["pair", "a"]).join(in_col, ["pair", "b"])
         .groupBy("pair")
         .agg(
             F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"),
@@ -603,9 +619,15 @@ def duplicate_groups(df: DataFrame, k: int = 10) -> DataFrame:
     if not any(is_string(f.dataType) for f in df.schema.fields):
         return top.toDF(*df.columns, "n_duplicates")
     keyed = df.select(*[col(c).alias(f"v{i}") for i, c in enumerate(df.columns)], *keys)
-    same = reduce(lambda a, b: a & b, [F.col(f"t.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names])
+    maps = {n for n, f in zip(names, df.schema.fields) if isinstance(f.dataType, T.MapType)}
+
+    def comparable(side: str, name: str) -> Column:
+        c = F.col(f"{side}.{name}")
+        return F.array_sort(F.map_entries(c)) if name in maps else c  # maps themselves cannot be compared
+
+    same = reduce(lambda a, b: a & b, [comparable("t", n).eqNullSafe(comparable("r", n)) for n in names])
     rows = keyed.alias("r").join(F.broadcast(top.alias("t")), same)  # k rows at most
-    whole = rows.groupBy(*[F.col(f"t.{n}") for n in names]).agg(
+    whole = rows.groupBy(*[comparable("t", n).alias(n) for n in names]).agg(
         *[F.first(f"v{i}").alias(f"v{i}") for i in range(len(names))], F.first("n_duplicates").alias("n_duplicates")
     )
     return whole.select(*[F.col(f"v{i}").alias(c) for i, c in enumerate(df.columns)], "n_duplicates")
@@ -736,9 +758,9 @@ def deep_profile(df: DataFrame, order_by: Sequence[str] | None = None,
             "word_counts": word_counts(df, texts),
             "char_counts": char_counts(df, texts),
         }
-    native = [f.name for f in df.schema.fields if is_datetime(f.dataType)]
-    if native:
-        tables |= {"datetime_range": datetime_range(df, native), "datetime_histogram": datetime_histogram(df, native)}
+    dates = of("datetime")
+    if dates:
+        tables |= {"datetime_range": datetime_range(df, dates), "datetime_histogram": datetime_histogram(df, dates)}
     if of("url"):
         tables["url_parts"] = url_parts(df, of("url"))
     return tables

@@ -1,7 +1,6 @@
 """Check simple hypotheses (missingness, dominance, correlation) against a table.
 
-At most ten hypotheses are checked, so plans and results on the driver have a fixed
-size; the evidence of each kind comes from one distributed pass over the columns.
+Plans and results on the driver grow with the hypotheses given, not with the rows; the evidence of each kind comes from one distributed pass over the columns.
 """
 
 from __future__ import annotations
@@ -16,10 +15,8 @@ from pyspark.sql import functions as F
 from insight_spark.functions.columns import col, fields_of, is_numeric, normalize_missing, per_column
 from insight_spark.functions.tables import small_table
 from insight_spark.operators.frequency import top_values
-from insight_spark.operators.numeric import MAX_CORR_COLS, pair_correlations
+from insight_spark.operators.numeric import pair_correlations
 
-MAX_CHECKED = 10
-MAX_PROPOSED = 8
 MIN_PAIRS = 10
 
 CANDIDATE_SCHEMA = "hyp_id int, kind string, statement string, col string, x string, y string"
@@ -29,10 +26,11 @@ RESULT_SCHEMA = (
 )
 
 
-def _first(hyps: DataFrame | Sequence[dict]) -> list[dict]:
+def _first(hyps: DataFrame | Sequence[dict], k: int | None) -> list[dict]:
     if isinstance(hyps, DataFrame):
-        return [r.asDict() for r in hyps.orderBy("hyp_id").limit(MAX_CHECKED).collect()]
-    return [{"hyp_id": i, **h} for i, h in enumerate(hyps, start=1)][:MAX_CHECKED]
+        ordered = hyps.orderBy("hyp_id")
+        return [r.asDict() for r in (ordered if k is None else ordered.limit(k)).collect()]
+    return [{"hyp_id": i, **h} for i, h in enumerate(hyps, start=1)][:k]
 
 
 @dataclass
@@ -60,8 +58,9 @@ def dominance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def verify_hypotheses(df: DataFrame, hyps: DataFrame | Sequence[dict], known: Evidence | None = None) -> DataFrame:
-    """The first ten hypotheses with `verified` and the evidence of their kind.
+def verify_hypotheses(df: DataFrame, hyps: DataFrame | Sequence[dict], known: Evidence | None = None,
+                      k: int | None = None) -> DataFrame:
+    """All (or the first k) hypotheses with `verified` and the evidence of their kind.
 
     An unknown kind, a missing column or fewer than 10 complete pairs leave a
     hypothesis unverified; a pair that is not numeric also sets `verify_error`.
@@ -69,7 +68,7 @@ def verify_hypotheses(df: DataFrame, hyps: DataFrame | Sequence[dict], known: Ev
     df = normalize_missing(df)
     known = known or Evidence()
     types = {f.name: f.dataType for f in df.schema.fields}
-    rows = _first(hyps)
+    rows = _first(hyps, k)
 
     def about(kind: str, *keys: str) -> list[dict]:
         return [h for h in rows if h.get("kind") == kind and all(h.get(k) in types for k in keys)]
@@ -116,7 +115,7 @@ def verify_hypotheses(df: DataFrame, hyps: DataFrame | Sequence[dict], known: Ev
 
 
 def _rows(evidence, df: DataFrame, cols: set[str]) -> list:
-    """Evidence of at most ten columns, on the driver."""
+    """Evidence of the columns in question, on the driver."""
     return evidence(df, [c for c in df.columns if c in cols]).collect() if cols else []
 
 
@@ -144,8 +143,8 @@ def hyp_correlation(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFram
     return verify_hypotheses(df, hyps).select("hyp_id", "kind", "x", "y", "verified", "pearson_corr", "n")
 
 
-def hypothesis_candidates(df: DataFrame, roles: DataFrame, k: int = MAX_PROPOSED) -> DataFrame:
-    """Up to k hypotheses worth checking, from roles and correlations.
+def hypothesis_candidates(df: DataFrame, roles: DataFrame, k: int | None = None) -> DataFrame:
+    """All (or the first k) hypotheses worth checking, from roles and correlations.
 
     Columns with missing values (most first), then categorical columns, then pairs
     of usable numeric columns by absolute correlation.
@@ -156,13 +155,12 @@ def hypothesis_candidates(df: DataFrame, roles: DataFrame, k: int = MAX_PROPOSED
 
 
 def corr_candidates(roles: Sequence[Row]) -> list[str]:
-    """Usable numeric columns with most values, in schema order."""
-    usable = sorted((r for r in roles if r.numeric and not r.id_like), key=lambda r: r.missing)[:MAX_CORR_COLS]
-    return [r.column for r in sorted(usable, key=lambda r: r.position)]
+    """Usable numeric columns in schema order."""
+    return [r.column for r in sorted(roles, key=lambda r: r.position) if r.numeric and not r.id_like]
 
 
 def propose(roles: Sequence[Row], correlate: Callable[[list[str]], dict],
-            k: int = MAX_PROPOSED) -> tuple[list[tuple], Evidence]:
+            k: int | None = None) -> tuple[list[tuple], Evidence]:
     """Candidate rows and the evidence that choosing them took.
 
     `correlate` gives (Pearson, rows) per pair of the named columns and is only
@@ -180,7 +178,7 @@ def propose(roles: Sequence[Row], correlate: Callable[[list[str]], dict],
         if r.categorical
     ]
     names = corr_candidates(roles)
-    if len(out) < k and len(names) > 1:
+    if (k is None or len(out) < k) and len(names) > 1:
         known.correlation = correlate(names)
         at = {c: i for i, c in enumerate(names)}
         found = [(pair, corr) for pair, (corr, _) in known.correlation.items() if corr is not None and pair[0] != pair[1]]

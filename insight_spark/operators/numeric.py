@@ -24,9 +24,6 @@ from insight_spark.functions.columns import (
 from insight_spark.functions.tables import small_table
 from insight_spark.operators.quantiles import RANGE_STATS, exact_quantiles
 
-MAX_CORR_COLS = 12
-MAX_STAT_COLS = 8
-MAX_HISTOGRAMS = 2
 MAX_BINS = 30
 
 
@@ -120,8 +117,8 @@ def column_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, Row]:
     return {r.column: r for r in rows}
 
 
-def numeric_basic_stats(df: DataFrame, cols: Sequence[str], k: int = MAX_STAT_COLS) -> DataFrame:
-    """mean, std, min and max, rounded to 4 digits, of the first k usable columns."""
+def numeric_basic_stats(df: DataFrame, cols: Sequence[str], k: int | None = None) -> DataFrame:
+    """mean, std, min and max, rounded to 4 digits, of all or the first k usable columns."""
     df = normalize_missing(df)
     fields = numeric_fields(df, cols)[:k]
     stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
@@ -129,8 +126,8 @@ def numeric_basic_stats(df: DataFrame, cols: Sequence[str], k: int = MAX_STAT_CO
     return per_column(df, _doubles(fields), rounded, fields=7).drop("position")
 
 
-def corr_columns(df: DataFrame, cols: Sequence[str], k: int = MAX_CORR_COLS) -> DataFrame:
-    """The k columns with most values, ties in schema order."""
+def corr_columns(df: DataFrame, cols: Sequence[str], k: int | None = None) -> DataFrame:
+    """The columns by number of values, most first, ties in schema order; k keeps the first of them."""
     df = normalize_missing(df)
     counts = per_column(df, _doubles(numeric_fields(df, cols)), {"non_null": F.count}, fields=1)
     return _ranked(counts, F.col("non_null").desc(), k).select("column", "non_null", "rank")
@@ -152,9 +149,8 @@ def _ranked(table: DataFrame, order: Column, k: int | None) -> DataFrame:
 
 
 def sample_rows_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Opt-in random sample of about n rows; nothing else in the library samples."""
-    total = df.count()
-    return df if total <= n else df.sample(n / total, seed)
+    """Opt-in random sample of n rows (all, if there are fewer); nothing else in the library samples."""
+    return df.orderBy(F.rand(seed)).limit(n)
 
 
 # --- correlation ------------------------------------------------------------
@@ -353,13 +349,13 @@ def binned_counts(df: DataFrame, columns: Sequence[tuple[int, str, Column]],
     )
 
 
-def by_count(moments: dict[str, Row], cols: Sequence[str], k: int = MAX_CORR_COLS) -> list[str]:
-    """The k columns with most values, ties in schema order."""
+def by_count(moments: dict[str, Row], cols: Sequence[str], k: int | None = None) -> list[str]:
+    """The columns by number of values, most first, ties in schema order."""
     return sorted(cols, key=lambda c: (-moments[c].n, moments[c].position))[:k]
 
 
-def by_variance(moments: dict[str, Row], cols: Sequence[str], k: int = MAX_HISTOGRAMS) -> list[str]:
-    """The k columns with largest variance, undefined ones last."""
+def by_variance(moments: dict[str, Row], cols: Sequence[str], k: int | None = None) -> list[str]:
+    """The columns by variance, largest first, undefined ones last."""
 
     def spread(c: str) -> float:
         v = moments[c].variance
@@ -369,8 +365,10 @@ def by_variance(moments: dict[str, Row], cols: Sequence[str], k: int = MAX_HISTO
 
 
 def numeric(df: DataFrame, cols: Sequence[str], id_like: Sequence[str] = (),
-            moments: dict[str, Row] | None = None, correlations: dict | None = None) -> dict[str, DataFrame]:
-    """Numeric pack: basic stats, correlation matrix, histograms of the widest columns.
+            moments: dict[str, Row] | None = None, correlations: dict | None = None,
+            stat_cols: int | None = None, corr_cols: int | None = None,
+            histograms: int | None = None) -> dict[str, DataFrame]:
+    """Numeric pack: basic stats, correlation matrix, histograms; the last three arguments limit their columns.
 
     One pass for the moments, one for the correlations and one when the histogram is
     read; `moments` and `correlations` at hand save theirs.
@@ -383,16 +381,16 @@ def numeric(df: DataFrame, cols: Sequence[str], id_like: Sequence[str] = (),
     if not usable:
         return {"skip": _skip(spark, "No usable numeric columns (numeric columns look like IDs).")}
     moments = column_moments(df, usable) if moments is None else moments
-    chosen = by_count(moments, usable)
+    chosen = by_count(moments, usable, corr_cols)
     if correlations is None:
         correlations = pair_correlations(df, matrix_pairs(chosen), moments)
-    stats = [(c, *[moments[c][k] for k in ("mean", "std", "min", "max")]) for c in usable[:MAX_STAT_COLS]]
+    stats = [(c, *[moments[c][k] for k in ("mean", "std", "min", "max")]) for c in usable[:stat_cols]]
     table = small_table(spark, stats, "column string, mean double, std double, min double, max double")
     return {
-        "numeric_cols": small_table(spark, [(c,) for c in usable[:MAX_CORR_COLS]], "column string"),
+        "numeric_cols": small_table(spark, [(c,) for c in usable[:corr_cols]], "column string"),
         "basic_stats": table.withColumns({c: F.round(c, 4) for c in ("mean", "std", "min", "max")}),
         "correlation_matrix": small_table(spark, matrix_rows(chosen, correlations, 0.0), MATRIX_SCHEMA),
-        "histogram": numeric_histogram(df, by_variance(moments, usable), moments=moments),
+        "histogram": numeric_histogram(df, by_variance(moments, usable, histograms), moments=moments),
     }
 
 

@@ -194,8 +194,8 @@ def dataset_type(roles: DataFrame) -> DataFrame:
     return roles.agg(dataset_type_of(has).alias("dataset_type"))
 
 
-def top_categoricals(df: DataFrame, cols: Sequence[str], k: int = 5, max_cols: int = 8) -> DataFrame:
-    """Top values of the first categorical columns."""
+def top_categoricals(df: DataFrame, cols: Sequence[str], k: int = 5, max_cols: int | None = None) -> DataFrame:
+    """Top values of the categorical columns, or of the first `max_cols` of them."""
     top = top_values(df, list(cols)[:max_cols], k).filter("rank is not null")
     return top.select("column", "value", "cnt", "rank")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from insight_spark.functions.columns import (
@@ -20,7 +20,7 @@ from insight_spark.functions.columns import (
     normalize_missing,
     significant,
 )
-from insight_spark.functions.datetimes import as_timestamp
+from insight_spark.functions.datetimes import as_timestamp, choose_format
 from insight_spark.functions.tables import small_table
 from insight_spark.operators.frequency import column_counts
 from insight_spark.sources.scratch import ensure_checkpoint_dir
@@ -28,19 +28,17 @@ from insight_spark.sources.scratch import ensure_checkpoint_dir
 WINDOW_DAYS = 7
 MIN_VALUES = 3
 MIN_DAYS = 14
-LISTED_COLS = 5
 
 TREND_ADVICE = "Consider checking seasonality or outliers using weekly/monthly aggregation."
 
 
 def detect_format(df: DataFrame, ts_col: str) -> int | None:
-    """Number of the format that parses most values of a string column."""
+    """Number of the format a string column is read with."""
     field = df.schema[ts_col]
     if is_datetime(field.dataType):
         return None
-    hits = column_counts(df.select(col(ts_col)), dates=True).first().date_hits
-    best = max(hits) if hits else 0
-    return hits.index(best) if best else None
+    counts = column_counts(df.select(col(ts_col)), dates=True).first()
+    return choose_format(counts.date_hits or [], counts.non_null)
 
 
 def ts_valid_rows(df: DataFrame, ts_col: str, format_no: int | None = None) -> DataFrame:
@@ -79,12 +77,22 @@ def daily_mean(df: DataFrame, ts_col: str, cols: Sequence[str], keys: Sequence[s
     return means.filter(F.coalesce(*[col(n) for n in names]).isNotNull())
 
 
-def daily_head(daily: DataFrame, k: int = 10) -> DataFrame:
-    return daily.orderBy("day").limit(k)
+def daily_head(daily: DataFrame, k: int = 10, keys: Sequence[str] = ()) -> DataFrame:
+    """The first k days, of each key if there are keys."""
+    return _ends(daily, F.col("day").asc(), k, keys)
 
 
-def daily_tail(daily: DataFrame, k: int = 10) -> DataFrame:
-    return daily.orderBy(F.col("day").desc()).limit(k)
+def daily_tail(daily: DataFrame, k: int = 10, keys: Sequence[str] = ()) -> DataFrame:
+    """The last k days, of each key if there are keys."""
+    return _ends(daily, F.col("day").desc(), k, keys)
+
+
+def _ends(daily: DataFrame, order: Column, k: int, keys: Sequence[str]) -> DataFrame:
+    if not keys:
+        return daily.orderBy(order).limit(k)
+    nth = F.row_number().over(Window.partitionBy(*[col(c) for c in keys]).orderBy(order))
+    ranked = daily.select("*", nth.alias("__nth")).filter(F.col("__nth") <= k)
+    return ranked.drop("__nth")
 
 
 def daily_line(daily: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -164,11 +172,11 @@ def timeseries(df: DataFrame, ts_col: str, cols: Sequence[str], keys: Sequence[s
     daily = kept_daily(df, ts_col, used, keys, format_no)
     trend = trend_first_last(daily, value, keys)
     return {
-        "numeric_cols": small_table(spark, [(c,) for c in used[:LISTED_COLS]], "column string"),
+        "numeric_cols": small_table(spark, [(c,) for c in used], "column string"),
         "points": small_table(spark, [(points,)], "n_points bigint"),
         "daily": daily,
-        "daily_head": daily_head(daily),
-        "daily_tail": daily_tail(daily),
+        "daily_head": daily_head(daily, keys=keys),
+        "daily_tail": daily_tail(daily, keys=keys),
         "trend_first_last": trend,
         "insights": trend_insight(trend),
         "daily_line": daily_line(daily, value, keys),

@@ -35,8 +35,8 @@ def chart_entries(profile: TableProfile) -> DataFrame:
         for unit in ("Count", "Percent"):
             add("snapshot", f"missing_{unit.lower()}", f"Missing values (Top 20) — {unit}", 95,
                 ["quality", "snapshot"], "bar")
-    charted = [r for r in profile.columns if r.categorical][:8]
-    for i, r in enumerate([r for r in charted if not r.id_like_any_size][:2]):
+    charted = [r for r in profile.columns if r.categorical and not r.id_like_any_size]
+    for i, r in enumerate(charted):
         add("categorical", f"cat_top_{i + 1}", f"Top categories: {r.column}", 70 - 5 * i,
             ["categorical", "distribution"], "bar", r.n_unique > 0)
     if skip_reason(profile, "timeseries") is None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from insight_spark.functions.tables import small_table
-from insight_spark.operators.categorical import ID_ADVICE, MAX_COLS, NO_CHART_ADVICE, NO_CHART_EVIDENCE
+from insight_spark.operators.categorical import ID_ADVICE, NO_CHART_ADVICE, NO_CHART_EVIDENCE
 from insight_spark.operators.hypotheses import Evidence, propose, verify_hypotheses
 from insight_spark.operators.timeseries import trend_first_last, trend_insight
 from insight_spark.plans.packs import TableProfile, skip_reason
@@ -44,7 +44,7 @@ def insights_table(profile: TableProfile, candidates: DataFrame | Sequence[dict]
         confidence = confidence_of(sample)
         rows.append((profile.dataset, seq, f"I{seq}", title, description, severity, confidence, evidence, action))
 
-    shown = [r for r in profile.columns if r.categorical][:MAX_COLS]
+    shown = [r for r in profile.columns if r.categorical]
     for r in shown:
         if r.id_like_any_size:
             add(f"Column '{r.column}' looks like an identifier", f"Unique ratio ≈ {r.n_unique}/{r.n_rows}", "info", n,
@@ -67,7 +67,7 @@ def insights_table(profile: TableProfile, candidates: DataFrame | Sequence[dict]
         proposed, known = propose(profile.columns, lambda _: profile.correlations)
         candidates = [dict(zip(("hyp_id", "kind", "statement", "col", "x", "y"), h)) for h in proposed]
     checked = verify_hypotheses(profile.df, candidates, profile.evidence(known))
-    for h in checked.orderBy("hyp_id").collect():  # ten rows at most
+    for h in checked.orderBy("hyp_id").collect():  # one row per hypothesis
         if not h.verified:
             continue
         if h.kind == "missingness":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
@@ -26,14 +27,19 @@ INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
 REPLACEMENT = "�"
 
+# columns of the reader for rows it could not read as they are
+BROKEN = "__broken_row"
+
 
 def load_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None,
-               encoding: str = "auto", multiline: bool = False) -> DataFrame:
+               encoding: str = "auto", multiline: bool | None = None) -> DataFrame:
     """Read a table; the format follows the lower-cased suffix unless `fmt` names it.
 
     A `schema` saves the pass that infers types. With encoding "auto" a CSV that is
-    not valid UTF-8 is read as latin-1 as a whole. `multiline` allows line breaks in
-    quoted CSV fields, at the price of one task per file.
+    not valid UTF-8 is read as latin-1 as a whole. `multiline` allows line breaks in quoted CSV
+    fields, at the price of one task per file; by default it is set where lines with an odd number
+    of quotes show that they occur. Without a schema nothing is lost or swapped silently: CSV rows with
+    more fields than the header, files with another header, and broken JSON lines raise ValueError.
     """
     fmt = fmt or format_of(path)
     try:
@@ -69,8 +75,10 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 # --- CSV --------------------------------------------------------------------
 
 
-def _read_csv(spark: SparkSession, path: str, schema, encoding: str, multiline: bool) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, schema, encoding: str, multiline: bool | None) -> DataFrame:
     charset = "UTF-8" if encoding == "auto" else encoding
+    if multiline is None:
+        multiline = has_open_quotes(spark, path)
     reader = spark.read.option("escape", '"').option("multiLine", multiline)
     if schema is not None:
         df = reader.schema(schema).csv(path, header=True, encoding=charset)
@@ -78,18 +86,31 @@ def _read_csv(spark: SparkSession, path: str, schema, encoding: str, multiline:
             df = reader.schema(schema).csv(path, header=True, encoding="ISO-8859-1")
         return df
 
-    def texts(charset: str) -> DataFrame:
+    def texts(charset: str) -> tuple[DataFrame, dict, bool]:
         first = reader.csv(path, header=False, encoding=charset).first()
-        names = column_names([] if first is None else list(first))
-        fields = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        return blank_missing(reader.schema(fields).csv(path, header=True, encoding=charset))
-
-    df = texts(charset)
-    types, replaced = infer_types(df, look_for=REPLACEMENT)
-    replaced = replaced or any(REPLACEMENT in c for c in df.columns)
+        header = [] if first is None else list(first)
+        names = column_names(header)
+        # a header that gives the names as they are is compared with that of every file
+        read = reader.option("enforceSchema", names != header).option("columnNameOfCorruptRecord", BROKEN)
+        fields = [T.StructField(n, T.StringType()) for n in names]
+        kept = read.schema(T.StructType([*fields, T.StructField(BROKEN, T.StringType())]))
+        checked = kept.csv(path, header=True, encoding=charset)
+        # rows with fewer fields are filled up, those with more must not be cut
+        wider = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
+        surplus = F.from_csv(col(BROKEN), wider.simpleString()[7:-1].replace(":", " "), {"escape": '"'})[f"c{len(names)}"]
+        try:
+            types, replaced = infer_types(
+                blank_missing(checked.select(*[col(n) for n in names], surplus.alias(BROKEN))), REPLACEMENT, BROKEN)
+        except Exception as e:
+            if "CSV header" in str(e):  # a task's error, wrapped in different types
+                raise ValueError(f"The files have different headers: {path}") from e
+            raise
+        df = blank_missing(read.schema(T.StructType(fields)).csv(path, header=True, encoding=charset))
+        return df, types, replaced or any(REPLACEMENT in n for n in names)
+
+    df, types, replaced = texts(charset)
     if encoding == "auto" and replaced and not is_utf8(spark, path):
-        df = texts("ISO-8859-1")
-        types, _ = infer_types(df)
+        df, types, _ = texts("ISO-8859-1")
     return df.select(*[types[c](col(c)).alias(c) for c in df.columns])
 
 
@@ -105,6 +126,12 @@ def column_names(header: list[str | None]) -> list[str]:
     return names
 
 
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether any line has an odd number of quotes, as a line break inside a quoted field leaves them."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def is_utf8(spark: SparkSession, path: str) -> bool:
     bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
     return bad.isEmpty()
@@ -137,10 +164,11 @@ def _text(c: Column) -> Column:
 LADDER = (_long, _double, _boolean)
 
 
-def infer_types(df: DataFrame, look_for: str | None = None) -> tuple[dict, bool]:
+def infer_types(df: DataFrame, look_for: str | None = None, empty: str | None = None) -> tuple[dict, bool]:
     """(cast per column, whether any value contains `look_for`) over all rows.
 
-    One pass for up to 18 columns, further ones in disjoint batches.
+    One pass for up to 18 columns, further ones in disjoint batches. A value in the column
+    `empty` raises ValueError.
     """
     types: dict = {}
     hit = False
@@ -154,6 +182,8 @@ def infer_types(df: DataFrame, look_for: str | None = None) -> tuple[dict, bool]
         row = df.agg(*aggs).first()
         for i, c in enumerate(batch):
             n = row[f"n{i}"]
+            if c == empty and n:
+                raise ValueError(f"{n} rows have more fields than the header")
             fits = (cast for j, cast in enumerate(LADDER) if row[f"t{i}_{j}"] == n)
             types[c] = next(fits, _text) if n else _double
             hit = hit or bool(look_for and row[f"h{i}"])
@@ -164,34 +194,50 @@ def infer_types(df: DataFrame, look_for: str | None = None) -> tuple[dict, bool]
 
 
 def _read_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    """JSON Lines; files that hold one document instead are read as a whole."""
+    """JSON Lines; files whose first line is not a whole object hold one document each and are read as a whole.
+
+    A broken line among others raises ValueError. A .json file of a single line may also hold whole columns.
+    """
     if schema is not None:
         return spark.read.schema(schema).json(path)
-    df = spark.read.json(path)
-    if "_corrupt_record" in df.columns:
-        document = spark.read.json(path, multiLine=True)
-        if "_corrupt_record" in document.columns:
-            raise ValueError(f"Not valid JSON: {path}")
-        return _from_columns(spark, path, document)
-    return df
+    reader = spark.read.option("columnNameOfCorruptRecord", BROKEN)
+    df = reader.json(path)
+    if BROKEN not in df.columns:
+        alone = path.lower().endswith(".json") and len(df.limit(2).collect()) == 1
+        return _from_columns(df) if alone else df
+    first = spark.read.text(path).filter(F.trim("value") != "").first().value
+    if _is_object(first):
+        broken = spark.read.schema(T.StructType([T.StructField("value", T.StringType())])).text(path)
+        broken = broken.filter((F.trim("value") != "") & F.try_parse_json("value").isNull())
+        raise ValueError(f"{broken.count()} lines are not JSON: {path}")
+    document = reader.json(path, multiLine=True)
+    if BROKEN in document.columns:
+        raise ValueError(f"Not valid JSON: {path}")
+    return _from_columns(document) if first.lstrip().startswith("{") else document
+
+
+def _is_object(line: str) -> bool:
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
 
 
-def _from_columns(spark: SparkSession, path: str, document: DataFrame) -> DataFrame:
+def _from_columns(document: DataFrame) -> DataFrame:
     """Rows of an object that holds whole columns, as arrays or by row label; else unchanged."""
-    first = spark.read.text(path).filter(F.trim("value") != "").first()
-    if first is None or not first.value.lstrip().startswith("{"):
-        return document
-    types = [f.dataType for f in document.schema.fields]
-    if all(isinstance(t, T.ArrayType) for t in types):
+    fields = document.schema.fields
+    if fields and all(isinstance(f.dataType, T.ArrayType) for f in fields):
         return document.select(F.inline(F.arrays_zip(*[col(c) for c in document.columns])))
-    if all(isinstance(t, T.StructType) for t in types):
-        labels = list(dict.fromkeys(name for t in types for name in t.fieldNames()))
-        rows = [
-            F.struct(*[
-                (col(f.name).getField(label) if label in f.dataType.fieldNames() else F.lit(None)).alias(f.name)
-                for f in document.schema.fields
-            ])
-            for label in labels
-        ]
-        return document.select(F.inline(F.array(*rows)))
-    return document
+    if not fields or not all(isinstance(f.dataType, T.StructType) for f in fields):
+        return document
+
+    def labelled(f: T.StructField) -> Column:
+        """Values by row label; without a common type they stay as they are written."""
+        kinds = {x.dataType.simpleString() for x in f.dataType.fields}
+        kind = kinds.pop() if len(kinds) == 1 else "double" if kinds <= {"bigint", "double"} else "string"
+        return F.from_json(F.to_json(col(f.name), {"ignoreNullFields": "false"}), f"map<string,{kind}>")
+
+    maps = document.select(*[labelled(f).alias(f.name) for f in fields])
+    labels = F.array_distinct(F.concat(*[F.map_keys(col(c)) for c in maps.columns]))
+    rows = maps.select("*", F.explode(labels).alias("__label"))
+    return rows.select(*[F.try_element_at(col(c), F.col("__label")).alias(c) for c in maps.columns])

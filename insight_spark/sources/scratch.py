@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared folder the session names.
-
-    A cluster must set spark.checkpoint.dir to shared storage. Only a local session
-    without it falls back to a temporary folder.
-    """
-    base = shared_dir(spark)
-    return f"{base.rstrip('/')}/insight-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder the session names."""
+    return f"{shared_dir(spark).rstrip('/')}/insight-{uuid.uuid4().hex}"
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset, the session's warehouse, which is shared as well."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
-    base = tempfile.mkdtemp(prefix="insight-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -132,7 +132,11 @@ def test_cramers_v(spark):
     free = spark.range(400).select((F.col("id") % 2).alias("a"), (F.floor(F.col("id") / 2) % 2).alias("b"))
     assert deep.cramers_v(free, ["a", "b"]).first().v == 0.0
     wide = spark.range(500).select("id", F.lit("k").alias("k"))
-    assert deep.cramers_v(wide, ["id", "k"]).count() == 0
+    only = deep.cramers_v(wide, ["id", "k"]).first()  # columns of many values take part, here without association
+    assert (only.x, only.y, only.v, only.n) == ("id", "k", None, 500)
+    assert deep.cramers_v(wide, ["id", "k"], max_values=100).count() == 0
+    halves = spark.range(500).select("id", (F.col("id") % 2).alias("b"))
+    assert deep.cramers_v(halves, ["id", "b"]).count() == 1
 
 
 def test_interactions(spark):
@@ -195,3 +199,23 @@ def test_whole_profile(spark):
     tables = deep.deep_profile(df, ["i"])
     assert {"overview", "numeric", "spearman", "cramers_v", "url_parts", "samples", "datetime_range"} <= set(tables)
     assert all(t.count() >= 0 for t in tables.values())
+
+
+def test_no_matching_columns_give_empty_tables(spark):
+    df = spark.range(3)
+    assert deep.datetime_range(df).collect() == [] and deep.datetime_histogram(df).collect() == []
+    assert deep.url_parts(df, []).collect() == []
+
+
+def test_text_dates(spark):
+    df = spark.createDataFrame([("2024-01-01",), ("2024-03-01",), ("2024-03-09",), ("2024-03-09",), (None,)], "d string")
+    r = deep.datetime_range(df, ["d"]).first()
+    assert (r["count"], str(r["min"])[:10], r.range_days) == (4, "2024-01-01", 68.0)
+    assert {(str(x.start), x.cnt) for x in deep.datetime_histogram(df, ["d"]).collect()} == {("2024-01-01", 1), ("2024-03-01", 3)}
+
+
+def test_duplicate_groups_with_text_and_map(spark):
+    data = [("x" * 100, {"a": 1, "b": 2})] * 3 + [("y", {"b": 2, "a": 1})] * 2 + [("z", None)]
+    df = spark.createDataFrame(data, "t string, m map<string,int>")
+    got = [(r.t[0], r.m, r.n_duplicates) for r in deep.duplicate_groups(df).collect()]
+    assert sorted(got, key=repr) == sorted([("x", {"a": 1, "b": 2}, 3), ("y", {"a": 1, "b": 2}, 2)], key=repr)

@@ -227,8 +227,8 @@ def test_mixed_hypotheses(spark):
         {"kind": "missingness", "col": "v"},
     ]
     got = verify_hypotheses(df, hyps).orderBy("hyp_id").collect()
-    assert len(got) == 10
-    assert [r.verified for r in got] == [True, False, True, False, False, True, False, False, False, True]
+    assert len(got) == 12 and verify_hypotheses(df, hyps, k=10).count() == 10
+    assert [r.verified for r in got] == [True, False, True, False, False, True, False, False, False, True, True, True]
     assert got[0].missing_rate == 1.0
     assert (got[2].top_value, got[2].top_share) == ("k", 1.0)
     assert got[4].verify_error == "Column 's' is not numeric."

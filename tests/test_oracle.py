@@ -43,7 +43,7 @@ def sorted_rows(columns, data):
 def test_keys():
     assert set(oracle_sql()) <= set(queries())
     assert sorted(set(queries()) - set(oracle_sql())) == [
-        "deep_profile", "n_unique_approx", "report_markdown_lines", "sample_rows_n",
+        "deep_profile", "n_unique_approx", "report_markdown_lines",
     ]
 
 

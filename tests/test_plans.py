@@ -24,23 +24,26 @@ def test_pct_sums_to_100_over_the_ten_kept(spark):
     assert abs(sum(r.pct_of_non_null for r in got) - 100 * 75 / 78) < 1e-9
 
 
-def test_chart_columns_skip_identifiers_and_stop_at_two(spark, rows):
+def test_chart_columns_skip_identifiers(spark, rows):
     df = spark.range(50).select(
         F.col("id").cast("string").alias("a"), *[F.lit("k").alias(c) for c in "bcd"]
     )
     cols = list("abcd")
-    assert [r.column for r in categorical.categorical_chart_columns(df, cols).collect()] == ["b", "c"]
-    assert {r.column for r in categorical.categorical_distribution(df, cols).collect()} == {"b", "c"}
+    assert {r.column for r in categorical.categorical_chart_columns(df, cols).collect()} == {"b", "c", "d"}
+    assert [r.column for r in categorical.categorical_chart_columns(df, cols, 2).collect()] == ["b", "c"]
+    assert {r.column for r in categorical.categorical_distribution(df, cols).collect()} == {"b", "c", "d"}
+    assert {r.column for r in categorical.categorical_distribution(df, cols, charts=2).collect()} == {"b", "c"}
     assert [r.evidence for r in categorical.categorical_id_insights(df, cols).collect()] == ["Unique ratio ≈ 50/50"]
     s = categorical.categorical_summary(df, cols).first()
-    assert (s.n_cols, s.cols_used, s.n_charts) == (4, cols, 2)
+    assert (s.n_cols, s.cols_used, s.n_charts) == (4, cols, 3)
+    assert categorical.categorical_summary(df, cols, charts=2).first().n_charts == 2
     assert categorical.categorical_notes(df, cols).count() == 0
 
 
-def test_only_eight_columns_and_missing_ones_ignored(spark):
+def test_all_columns_and_missing_ones_ignored(spark):
     df = spark.createDataFrame([tuple("x" * 10)], [f"c{i}" for i in range(10)])
     got = categorical.categorical_top(df, ["nope", *df.columns])
-    assert {r.column for r in got.collect()} == {f"c{i}" for i in range(7)}
+    assert {r.column for r in got.collect()} == {f"c{i}" for i in range(10)}
 
 
 def test_column_without_values(spark):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from insight_spark.sources import load, sinks
+from insight_spark.sources.load import load_table
 from insight_spark.sources.scratch import scratch_dir, shared_dir
 
 
@@ -178,3 +179,38 @@ def test_inference_over_many_columns(spark, tmp_path):
     path = write(tmp_path, "w.csv", ",".join(names) + "\n" + ",".join(str(i) for i in range(45)) + "\n")
     df = load.load_table(spark, path)
     assert set(dict(df.dtypes).values()) == {"bigint"} and df.agg(F.sum("c44")).first()[0] == 44
+
+
+def _write(tmp_path, name, text):
+    target = tmp_path / name
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(text, encoding="utf-8")
+    return str(target)
+
+
+def test_csv_loses_and_swaps_nothing(spark, tmp_path, rows):
+    path = _write(tmp_path, "breaks.csv", 'id,t\n1,"two\nlines"\n2,x\n')
+    assert rows(load_table(spark, path)) == [(1, "two\nlines"), (2, "x")]
+    _write(tmp_path, "mixed.csv/a.csv", "id,v\n1,10\n")
+    _write(tmp_path, "mixed.csv/b.csv", "v,id\n20,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        load_table(spark, str(tmp_path / "mixed.csv"))
+    with pytest.raises(ValueError, match="more fields"):
+        load_table(spark, _write(tmp_path, "wide.csv", "a,b\n1,10,99\n2,3\n"))
+    assert rows(load_table(spark, _write(tmp_path, "short.csv", "a,b,c\n1,10\n2,3,4\n"))) == [(1, 10, None), (2, 3, 4)]
+
+
+def test_broken_json_line_raises(spark, tmp_path, rows):
+    with pytest.raises(ValueError, match="1 lines are not JSON"):
+        load_table(spark, _write(tmp_path, "bad.jsonl", '{"a":1}\n{"a":2}\n{"a":\n{"a":4}\n'))
+    path = _write(tmp_path, "named.jsonl", '{"_corrupt_record":"x","a":1}\n{"a":2}\n')
+    assert load_table(spark, path).count() == 2
+
+
+def test_json_columns_on_one_line_or_many(spark, tmp_path, rows):
+    want = [(1, "x"), (2, "y"), (3, "z")]
+    for name, text in (("one", '{"a":[1,2,3],"b":["x","y","z"]}'), ("many", '{\n"a":[1,2,3],\n"b":["x","y","z"]}')):
+        assert rows(load_table(spark, _write(tmp_path, f"{name}.json", text))) == want
+    labelled = {"a": {str(i): i for i in range(300)}, "b": {str(i): f"v{i}" for i in range(300)}}
+    got = load_table(spark, _write(tmp_path, "labels.json", json.dumps(labelled)))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"v{i}") for i in range(300)]
