@@ -6,8 +6,8 @@ of its strings. A query descends each tree to where its string stands; the strin
 those with the longest common prefixes. It then ascends all trees together, from the longest prefixes
 to shorter ones, until enough candidates are found, which are compared exactly.
 
-Sorted arrays are cut into cells by their first symbols, so that cells hold about CELL vectors however
-many there are; overfull cells (many near copies) are split by `grid` and searched part by part.
+Sorted arrays are cut into cells by as many first symbols as it takes for cells to hold at most CELL strings on
+average (none, and a cell is a tree, up to that many vectors); overfull cells (many near copies) are split by `grid` and searched part by part.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import grid, stored, tasks, worker_cache
 
 TREES, SYMBOLS, SEED = 128, 3, 11
-#: Vectors in a cell on average, in a cell's part at most, and in a block of exact comparisons.
-CELL, CELL_BOUND, BLOCK = 32_768, 65_536, 4096
+#: Strings in a cell on average at most, in a cell's part, and vectors in a block of exact comparisons.
+CELL, CELL_BOUND, BLOCK = 1 << 20, 1 << 21, 4096
 NEIGHBOURS = 10
 
 
