@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import add
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
@@ -22,6 +24,7 @@ NA_TOKENS = (
 )
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
+WHOLE = r"^\s*[+-]?\d+\s*$"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
@@ -143,7 +146,7 @@ def blank_missing(df: DataFrame) -> DataFrame:
 
 
 def _long(c: Column) -> Column:
-    return c.try_cast("bigint")
+    return F.when(c.rlike(WHOLE), c.try_cast("bigint"))  # a failing cast costs far more than the pattern
 
 
 def _double(c: Column) -> Column:
@@ -167,29 +170,33 @@ LADDER = (_long, _double, _boolean)
 def infer_types(df: DataFrame, look_for: str | None = None, empty: str | None = None) -> tuple[dict, bool]:
     """(cast per column, whether any value contains `look_for`) over all rows.
 
-    One pass for up to 18 columns, further ones in disjoint batches. A value in the column
-    `empty` raises ValueError.
+    One pass: a column folds to one mask with a bit for every type that reads all its values. A value in
+    the column `empty` raises ValueError.
     """
+    clean = 1 << len(LADDER)
     types: dict = {}
     hit = False
-    for batch in chunks(df.columns, AGG_FIELDS // (len(LADDER) + 2)):
-        aggs = []
+    for batch in chunks(df.columns, AGG_FIELDS):
+        row = df.agg(*[F.bit_and(_fits(col(c), look_for)).alias(f"m{i}") for i, c in enumerate(batch)]).first()
         for i, c in enumerate(batch):
-            aggs.append(F.count(col(c)).alias(f"n{i}"))
-            aggs += [F.count(cast(col(c))).alias(f"t{i}_{j}") for j, cast in enumerate(LADDER)]
-            if look_for:
-                aggs.append(F.max(F.contains(col(c), F.lit(look_for))).alias(f"h{i}"))
-        row = df.agg(*aggs).first()
-        for i, c in enumerate(batch):
-            n = row[f"n{i}"]
-            if c == empty and n:
-                raise ValueError(f"{n} rows have more fields than the header")
-            fits = (cast for j, cast in enumerate(LADDER) if row[f"t{i}_{j}"] == n)
-            types[c] = next(fits, _text) if n else _double
-            hit = hit or bool(look_for and row[f"h{i}"])
+            mask = row[f"m{i}"]  # NULL where the column has no value
+            if c == empty and mask is not None:
+                raise ValueError("There are rows with more fields than the header")
+            types[c] = _double if mask is None else next((t for j, t in enumerate(LADDER) if mask >> j & 1), _text)
+            hit = hit or (mask is not None and not mask & clean)
     return types, hit
 
 
+def _fits(c: Column, look_for: str | None) -> Column:
+    """Bits of the types that read a value, and one for a value without `look_for`; NULL for NULL."""
+    bits = [F.when(cast(c).isNotNull(), F.lit(1 << j)).otherwise(0) for j, cast in enumerate(LADDER)]
+    if look_for:
+        bits.append(F.when(F.contains(c, F.lit(look_for)), F.lit(0)).otherwise(1 << len(LADDER)))
+    else:
+        bits.append(F.lit(1 << len(LADDER)))
+    return F.when(c.isNotNull(), reduce(add, bits))
+
+
 # --- JSON -------------------------------------------------------------------
 
 
