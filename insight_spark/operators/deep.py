@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insight_spark.functions.columns import (
-    AGG_FIELDS,
     as_double,
-    chunks,
     col,
     fields_of,
     is_datetime,
@@ -342,16 +340,15 @@ def url_parts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # --- association ------------------------------------------------------------
 
-HOT_SHARE = 1000
+BROADCAST_VALUES = 100_000  # rows of all rank tables together that one broadcast holds, by their counted sizes
 
 
 def _average_ranks(freq: DataFrame) -> DataFrame:
-    """(key, value, cnt, rank, total, hot): average rank of each distinct value of a key.
+    """(key, value, cnt, rank, total): average rank of each distinct value of a key.
 
     Values are range-partitioned, so no key is sorted in one task; each partition
     adds the row count of the partitions before it. The first checkpoint fixes which
     partition a value is in, the second keeps the ranks for their several readers.
-    `hot` marks values holding over 1/1000 of a key's rows, fewer than 1000 per key.
     """
     ensure_checkpoint_dir(freq.sparkSession)
     placed = (
@@ -374,7 +371,6 @@ def _average_ranks(freq: DataFrame) -> DataFrame:
         "cnt",
         (below + (F.col("cnt") + 1) / 2.0).alias("rank"),
         "total",
-        (F.col("cnt") * HOT_SHARE > F.col("total")).alias("hot"),
     )
     return ranks.checkpoint()
 
@@ -386,9 +382,9 @@ def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     other column with missing values. With centred ranks a and b the wanted sum of a b
     over the rows is the sum over distinct values of the first column of a times the
     sum of their b: rows meet only the ranks of the column with fewer values and fold
-    to one row per value of the other before they meet its ranks. A value holding a
-    large part of the rows is joined by broadcast, fewer than 1000 such values per
-    table, so it never gathers in one task.
+    to one row per value of the other before they meet its ranks. Rank tables that together have at most
+    `BROADCAST_VALUES` rows, by count, meet the rows where they lie; pairs with larger ones fold to one row per pair
+    of values first and take a shuffle join, which adaptive execution splits where a value has many partners.
     """
     df = normalize_missing(df)
     spark = df.sparkSession
@@ -416,38 +412,49 @@ def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     freq = freq.groupBy("key", "value").agg(F.count("*").alias("cnt"))
     n = F.col("total")
     z = (F.col("rank") - (n + 1) / 2.0) / n  # -0.5 .. 0.5
-    ranks = _average_ranks(freq).select("key", "value", "cnt", "total", "hot", z.alias("z"))
+    ranks = _average_ranks(freq).select("key", "value", "cnt", "total", z.alias("z"))
     # one row per rank table
     own = {
         r.key: r
         for r in ranks.groupBy("key")
         .agg(F.sum(F.col("cnt") * F.col("z") * F.col("z")).alias("squares"), F.max("total").alias("n"),
-             F.count("*").alias("size"), F.count_if(~F.col("hot")).alias("cold"))
+             F.count("*").alias("size"))
         .collect()
     }
 
-    cells, cold_cells = [], []
+    cells: dict[int, list[Column]] = {}  # by the rank table that the rows meet
     for number, (i, j) in enumerate(pairs):
         sides = [(key[table_of(i, j)], i), (key[table_of(j, i)], j)]
         sides.sort(key=lambda s: own[s[0]].size if s[0] in own else 0)
         (few, few_col), (many, many_col) = sides
-        cells.append(F.struct(
-            F.lit(number).alias("pair"), F.lit(few).alias("key"), F.col(f"v{few_col}").alias("value"),
-            F.lit(many).alias("to_key"), F.col(f"v{many_col}").alias("to_value"),
-        ))
-        if few in own and own[few].cold:
-            cold_cells.append(cells[-1])
-
-    def rows_of(members: list[Column]) -> DataFrame:
+        if few in own:
+            cells.setdefault(few, []).append(F.struct(
+                F.lit(number).alias("pair"), F.lit(few).alias("key"), F.col(f"v{few_col}").alias("value"),
+                F.lit(many).alias("to_key"), F.col(f"v{many_col}").alias("to_value"),
+            ))
+    small, held = [], 0
+    for few in sorted(cells, key=lambda k: own[k].size):
+        held += own[few].size
+        if held <= BROADCAST_VALUES:
+            small.append(few)
+    large = [few for few in cells if few not in small]
+
+    def rows_of(keys: list[int]) -> DataFrame:
+        members = [c for k in keys for c in cells[k]]
         return values.select(F.inline(F.array(*members))).filter("value is not null and to_value is not null")
 
-    hot = F.broadcast(ranks.filter("hot").select("key", "value", "z"))
-    cold = ranks.filter("not hot").select("key", "value", "z")
     on = ["key", "value"]
-    scored = rows_of(cells).join(hot, on)
-    if cold_cells:
-        scored = scored.unionByName(rows_of(cold_cells).join(hot, on, "left_anti").join(cold, on))
-    folded = scored.groupBy("pair", "to_key", "to_value").agg(F.sum("z").alias("b"))
+    scored = []
+    if small:
+        near = ranks.filter(F.col("key").isin(small)).select("key", "value", "z")
+        scored.append(rows_of(small).join(F.broadcast(near), on).select("pair", "to_key", "to_value", "z"))
+    if large:
+        cnt = rows_of(large).groupBy("pair", "key", "value", "to_key", "to_value").agg(F.count("*").alias("cnt"))
+        met = cnt.join(ranks.select("key", "value", "z"), on)
+        scored.append(met.select("pair", "to_key", "to_value", (F.col("cnt") * F.col("z")).alias("z")))
+    if not scored:
+        return small_table(spark, [], schema)
+    folded = reduce(DataFrame.unionByName, scored).groupBy("pair", "to_key", "to_value").agg(F.sum("z").alias("b"))
     to = ranks.select(F.col("key").alias("to_key"), F.col("value").alias("to_value"), F.col("z").alias("a"))
     crossed = folded.join(to, ["to_key", "to_value"]).groupBy("pair").agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
 
@@ -564,26 +571,32 @@ def interactions(df: DataFrame, cols: Sequence[str], bins: int = INTERACTION_BIN
 def nullity_correlation(df: DataFrame) -> DataFrame:
     """(x, y, corr) of the missing flags of columns with some but not all values missing.
 
-    Flags need only counts: rows, missing per column, missing in both.
+    Flags need only counts: rows, missing per column, missing in both. Rows fold to one per combination of
+    missing columns, in one scan; pairs are counted on that table.
     """
     df = normalize_missing(df)
     spark = df.sparkSession
-    wanted = [(p, f.name, col(f.name)) for p, f in fields_of(df)]
-    stats = {"rows": lambda c: F.count("*"), "missing": lambda c: F.count_if(c.isNull())}
-    counts = per_column(df, wanted, stats, fields=2).orderBy("position").collect()
-    partial = [r for r in counts if 0 < r.missing < r.rows]
-    both: dict = {}
-    for batch in chunks(list(combinations(range(len(partial)), 2)), AGG_FIELDS):
-        flags = {f"{i}_{j}": col(partial[i].column).isNull() & col(partial[j].column).isNull() for i, j in batch}
-        both.update(df.agg(*[F.count_if(c).alias(k) for k, c in flags.items()]).first().asDict())
+    names = [f.name for _, f in fields_of(df)]
+    flags = [F.when(col(c).isNull(), F.lit(i)) for i, c in enumerate(names)]
+    patterns = df.groupBy(F.array_compact(F.array(*flags)).alias("missing")).agg(F.count("*").alias("cnt"))
+    # one row per pair of columns; -1 stands for any row
+    pairs = (
+        patterns.withColumn("missing", F.concat(F.array(F.lit(-1)), "missing"))
+        .select("missing", "cnt", F.explode("missing").alias("x"))
+        .select("x", "cnt", F.explode("missing").alias("y"))
+        .filter("x <= y")
+        .groupBy("x", "y")
+        .agg(F.sum("cnt").alias("cnt"))
+    )
+    both = {(r.x, r.y): r.cnt for r in pairs.collect()}
+    n = both.get((-1, -1), 0)
+    missing = {i: both[i, i] for i in range(len(names)) if 0 < both.get((i, i), 0) < n}
     rows = []
-    for i, a in enumerate(partial):
-        for j, b in enumerate(partial):
-            n = a.rows
-            together = a.missing if i == j else both[f"{min(i, j)}_{max(i, j)}"]
-            covered = n * together - a.missing * b.missing
-            spread = math.sqrt(a.missing * (n - a.missing)) * math.sqrt(b.missing * (n - b.missing))
-            rows.append((a.column, b.column, covered / spread))
+    for i, a in missing.items():
+        for j, b in missing.items():
+            covered = n * both.get((min(i, j), max(i, j)), 0) - a * b
+            spread = math.sqrt(a * (n - a)) * math.sqrt(b * (n - b))
+            rows.append((names[i], names[j], covered / spread))
     return small_table(spark, rows, "x string, y string, corr double")
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from insight_spark.functions.columns import (
     AGG_FIELDS,
     as_double,
-    chunks,
     fields_of,
     finite,
     is_numeric,
@@ -161,48 +160,64 @@ def pair_moments(df: DataFrame, pairs: Sequence[tuple[int, int]], exprs: dict[in
     """Pairwise-complete Pearson correlation of many pairs: {(x, y): (corr, n)}.
 
     A first pass takes count, mean, min and max of every column, unless `moments`
-    brings them. Values are then centred, which makes plain sums numerically safe, and each pair is reduced to
-    sums. A column without missing values needs no per-pair count, sum or square
-    sum, so a complete table costs one sum per pair: 12 columns fit in one pass.
-    Only sums leave a task, whatever the data looks like.
+    brings them. Values are then centred, which makes plain sums numerically safe, and one scan
+    reduces all pairs to sums, however many there are. Complete columns that fit into one aggregate need a sum
+    of products per pair only; others become rows (pair, a, b) that fold inside their task, so that
+    pairs times tasks is all that is shuffled.
     """
     used = sorted({p for pair in pairs for p in pair})
     own = moments
     if own is None:
         stats = {k: MOMENTS[k] for k in ("rows", "n", "mean", "min", "max")}
         own = {r.position: r for r in per_column(df, [(p, str(p), exprs[p]) for p in used], stats, fields=6).collect()}
-    centred = {p: exprs[p] - F.lit(_centre(own[p])) for p in used}
-    full = {p: own[p].n == own[p].rows for p in used}
-
-    wanted: dict[str, Column] = {}
-
-    def request(name: str, agg: Column) -> None:
-        wanted.setdefault(name, agg)
-
-    for x, y in pairs:
-        a, b = F.col(f"z{x}"), F.col(f"z{y}")
-        request(f"xy_{x}_{y}", F.sum(a * b))
-        if not full[x] or not full[y]:
-            request(f"n_{x}_{y}", F.count_if(a.isNotNull() & b.isNotNull()))
-        for p, q, v, other in ((x, y, a, b), (y, x, b, a)):
-            given = q if not full[q] and p != q else p
-            inside = v if given == p else F.when(other.isNotNull(), v)
-            request(f"s_{p}_{given}", F.sum(inside))
-            request(f"ss_{p}_{given}", F.sum(inside * inside))
-            if given != p:
-                request(f"lo_{p}_{given}", F.min(inside))
-                request(f"hi_{p}_{given}", F.max(inside))
-
-    values: dict[str, float] = {}
-    z = df.select(*[c.alias(f"z{p}") for p, c in centred.items()])
-    for batch in chunks(list(wanted.items()), AGG_FIELDS):
-        values.update(z.agg(*[agg.alias(name) for name, agg in batch]).first().asDict())
-
-    out = {}
-    for x, y in pairs:
-        n = values.get(f"n_{x}_{y}", own[x].n)
-        out[x, y] = (_pearson(values, own, full, x, y, n), n)
-    return out
+    z = df.select(*[(exprs[p] - F.lit(_centre(own[p]))).alias(f"z{p}") for p in used])
+    products = sum(x != y for x, y in pairs)
+    if all(own[p].n == own[p].rows for p in used) and products + 2 * len(used) <= AGG_FIELDS:
+        sums = _complete_sums(z, pairs, used, own)
+    else:
+        sums = _folded_sums(z, pairs)
+    return {pair: (_pearson(sums.get(pair), *pair), sums[pair]["n"] if pair in sums else 0) for pair in pairs}
+
+
+def _complete_sums(z: DataFrame, pairs: Sequence[tuple[int, int]], used: Sequence[int], own: dict) -> dict:
+    aggs = [F.sum(f"z{p}").alias(f"s_{p}") for p in used]
+    aggs += [F.sum(F.col(f"z{x}") * F.col(f"z{y}")).alias(f"xy_{x}_{y}") for x, y in pairs if x != y]
+    aggs += [F.sum(F.col(f"z{p}") * F.col(f"z{p}")).alias(f"xy_{p}_{p}") for p in used]
+    got = z.agg(*aggs).first().asDict()
+    return {
+        (x, y): {
+            "n": own[x].n, "xy": got[f"xy_{x}_{y}"],
+            "sx": got[f"s_{x}"], "sxx": got[f"xy_{x}_{x}"], "lox": own[x].min, "hix": own[x].max,
+            "sy": got[f"s_{y}"], "syy": got[f"xy_{y}_{y}"], "loy": own[y].min, "hiy": own[y].max,
+        }
+        for x, y in pairs
+    }
+
+
+def _folded_sums(z: DataFrame, pairs: Sequence[tuple[int, int]]) -> dict:
+    """Sums of every pair that has complete rows, one row per pair on the driver."""
+    cells = [
+        F.struct(F.lit(i).alias("pair"), F.col(f"z{x}").alias("a"), F.col(f"z{y}").alias("b"))
+        for i, (x, y) in enumerate(pairs)
+    ]
+    folded = (
+        z.select(F.inline(F.array(*cells)))
+        .filter("a is not null and b is not null")
+        .groupBy("pair")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.col("a") * F.col("b")).alias("xy"),
+            F.sum("a").alias("sx"),
+            F.sum("b").alias("sy"),
+            F.sum(F.col("a") * F.col("a")).alias("sxx"),
+            F.sum(F.col("b") * F.col("b")).alias("syy"),
+            F.min("a").alias("lox"),
+            F.max("a").alias("hix"),
+            F.min("b").alias("loy"),
+            F.max("b").alias("hiy"),
+        )
+    )
+    return {pairs[r.pair]: r.asDict() for r in folded.collect()}
 
 
 def _centre(row) -> float:
@@ -212,23 +227,16 @@ def _centre(row) -> float:
     return row.min if row.min == row.max else row.mean
 
 
-def _pearson(values: dict, own: dict, full: dict, x: int, y: int, n: int) -> float | None:
-    if n < 2:
+def _pearson(sums: dict | None, x: int, y: int) -> float | None:
+    if sums is None or sums["n"] < 2 or sums["lox"] == sums["hix"] or sums["loy"] == sums["hiy"]:
         return None
-    spread = {}
-    sums = {}
-    for p, q in ((x, y), (y, x)):
-        given = q if not full[q] and p != q else p
-        low = values.get(f"lo_{p}_{given}", own[p].min)
-        high = values.get(f"hi_{p}_{given}", own[p].max)
-        if low == high:
-            return None
-        sums[p] = values[f"s_{p}_{given}"]
-        spread[p] = values[f"ss_{p}_{given}"] - sums[p] * sums[p] / n
+    n = sums["n"]
+    spread_x = sums["sxx"] - sums["sx"] * sums["sx"] / n
+    spread_y = sums["syy"] - sums["sy"] * sums["sy"] / n
     if x == y:
-        return 1.0 if math.isfinite(spread[x]) else None
-    covered = values[f"xy_{x}_{y}"] - sums[x] * sums[y] / n
-    below = math.sqrt(spread[x]) * math.sqrt(spread[y]) if min(spread.values()) > 0 else 0.0
+        return 1.0 if math.isfinite(spread_x) else None
+    covered = sums["xy"] - sums["sx"] * sums["sy"] / n
+    below = math.sqrt(spread_x) * math.sqrt(spread_y) if min(spread_x, spread_y) > 0 else 0.0
     corr = covered / below if below else math.nan
     return None if math.isnan(corr) else max(-1.0, min(1.0, corr))
 

@@ -1,6 +1,9 @@
 """What the physical plans must and must not contain."""
 
+import uuid
+
 import pytest
+from pyspark.sql import functions as F
 
 from catalog.inputs import lineitem_nulls, table
 from insight_spark.operators import categorical, deep, numeric, profile, timeseries
@@ -75,3 +78,38 @@ def test_top_values_are_limited_before_the_shuffle(spark, columns):
 def test_short_values_skip_the_text_lookup(spark):
     plan = plan_of(top_values(table(spark, SF, "orders"), ["o_orderstatus", "o_orderpriority"], 10))
     assert "BroadcastHashJoin" not in plan
+
+
+def test_pair_statistics_take_as_many_scans_for_any_number_of_columns(spark):
+    line = lineitem_nulls(spark, SF)
+    base = ["l_tax", "l_discount", "l_quantity"]
+    jobs = set()
+    for n in (6, 12, 18):
+        cols = [(F.col(base[i % 3]) + (i // 3) * F.col("l_linenumber")).alias(f"c{i}") for i in range(n)]
+        wide = line.select(*cols)
+        moments = numeric.column_moments(wide, wide.columns)  # reads each column once
+        pairs = numeric.matrix_pairs(wide.columns)
+        jobs.add((
+            jobs_of(spark, lambda: numeric.pair_correlations(wide, pairs, moments)),
+            jobs_of(spark, lambda: deep.nullity_correlation(wide)),
+        ))
+    assert len(jobs) == 1
+
+
+def jobs_of(spark, run):
+    """Number of Spark jobs that a call starts."""
+    group = str(uuid.uuid4())
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_spearman_folds_before_a_shuffle_join(spark, monkeypatch):
+    monkeypatch.setattr(deep, "BROADCAST_VALUES", 0)
+    found = deep.spearman(lineitem_nulls(spark, SF), ["l_orderkey", "l_extendedprice", "l_tax"])
+    plan = plan_of(found)
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan or "BroadcastHashJoin" in plan
+    assert plan.count("partial_count(1)") >= 1
