@@ -804,6 +804,12 @@ def _deep_oracles() -> dict[str, str]:
                 f"ORDER BY {c} {order} LIMIT 10)"
             )
     out["deep_extreme_values"] = _with(nulls, _union(extremes))
+    out["deep_extreme_integers"] = _with([], _union([
+        f"(SELECT '{c}' AS \"column\", '{side}' AS side, CAST(row_number() OVER (ORDER BY {c} {order}) AS INTEGER) "
+        f"AS rank, CAST({c} AS VARCHAR) AS exact, count(*) AS cnt FROM typed GROUP BY {c} ORDER BY {c} {order} LIMIT 10)"
+        for c in ("key", "price")
+        for side, order in (("smallest", "ASC"), ("largest", "DESC"))
+    ]), typed="SELECT l_orderkey + 9007199254740992 AS key, CAST(l_extendedprice AS DECIMAL(20, 2)) AS price FROM lineitem")
     out["deep_text_length"] = _per_column(
         "documents", ["text", "lang"],
         "'{c}' AS \"column\", count({c}) AS count, min(length({c})) AS min, max(length({c})) AS max, "

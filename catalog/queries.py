@@ -669,7 +669,16 @@ def deep_duplicate_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deep_extreme_values(spark: SparkSession, sf: str) -> DataFrame:
-    return deep.extreme_values(lineitem_nulls(spark, sf), ["l_quantity", "l_extendedprice", "l_tax"])
+    found = deep.extreme_values(lineitem_nulls(spark, sf), ["l_quantity", "l_extendedprice", "l_tax"])
+    return found.drop("exact")
+
+
+def deep_extreme_integers(spark: SparkSession, sf: str) -> DataFrame:
+    """Integers that doubles cannot tell apart, beside decimals."""
+    line = table(spark, sf, "lineitem")
+    key = (F.col("l_orderkey") + F.lit(2**53)).alias("key")
+    price = F.col("l_extendedprice").cast("decimal(20, 2)").alias("price")
+    return deep.extreme_values(line.select(key, price)).select("column", "side", "rank", "exact", "cnt")
 
 
 def deep_text_length(spark: SparkSession, sf: str) -> DataFrame:
@@ -764,7 +773,7 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     csv_na_tokens, normalize_columns, normalize_missing_values, sanitize_json, chart_csv, write_profile,
     deep_overview, deep_variable_types, deep_numeric, deep_histogram, deep_common_values,
     deep_common_texts, deep_duplicate_texts,
-    deep_extreme_values, deep_text_length, deep_word_counts, deep_char_counts, deep_datetime, deep_datetime_text, deep_cramers_v_keys,
+    deep_extreme_values, deep_extreme_integers, deep_text_length, deep_word_counts, deep_char_counts, deep_datetime, deep_datetime_text, deep_cramers_v_keys,
     deep_datetime_histogram, deep_url_parts, deep_spearman, deep_cramers_v, deep_interactions,
     deep_nullity_corr, deep_nullity_patterns, deep_samples, deep_duplicate_groups, deep_alerts,
     deep_profile,

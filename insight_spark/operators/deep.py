@@ -207,20 +207,34 @@ def _equal_edges(df: DataFrame, columns: Sequence[tuple[int, str, Column]], bins
     return edges
 
 
+EXTREMES_SCHEMA = "column string, side string, rank int, value double, exact string, cnt bigint"
+
+
 def extreme_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) -> DataFrame:
-    """(column, side, rank, value, cnt): the k smallest and largest values with counts."""
+    """(column, side, rank, value, exact, cnt): the k smallest and largest values with counts.
+
+    Values are told apart, ordered and counted in their own type: `exact` writes out integers and decimals, of which
+    the double in `value` may have lost digits; it is NULL for floating values.
+    """
     df = normalize_missing(df)
-    fields = numeric_fields(df, cols)
-    doubles = df.select(*[as_double(f).alias(f.name) for _, f in fields])
-    freq = typed_frequencies(doubles)[0]
-    sides = []
-    for side, order in (("smallest", F.col("value").asc()), ("largest", F.col("value").desc())):
-        rank = F.row_number().over(Window.partitionBy("position").orderBy(order))
-        sides.append(freq.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("side", F.lit(side)))
-    both = sides[0].unionByName(sides[1])
-    return both.select(
-        name_at(F.col("position"), doubles.columns).alias("column"), "side", "rank", "value", "cnt"
-    )
+    fields = [f for _, f in numeric_fields(df, cols)]
+    if not fields:
+        return small_table(df.sparkSession, [], EXTREMES_SCHEMA)
+    numbers = df.select(*[
+        col(f.name).cast("int").alias(f.name) if isinstance(f.dataType, T.BooleanType) else col(f.name) for f in fields
+    ])
+    parts = []
+    for freq in typed_frequencies(numbers):
+        value = F.col("value")
+        floating = isinstance(freq.schema["value"].dataType, T.DoubleType)
+        exact = F.lit(None).cast("string") if floating else value.cast("string")
+        for side, order in (("smallest", value.asc()), ("largest", value.desc())):
+            rank = F.row_number().over(Window.partitionBy("position").orderBy(order))
+            parts.append(freq.withColumn("rank", rank).filter(F.col("rank") <= k).select(
+                name_at(F.col("position"), numbers.columns).alias("column"), F.lit(side).alias("side"), "rank",
+                value.cast("double").alias("value"), exact.alias("exact"), "cnt",
+            ))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- values, text, dates, urls ----------------------------------------------

@@ -72,6 +72,18 @@ def test_extreme_values(spark):
     assert got == {("smallest", 1): (1.0, 2), ("smallest", 2): (2.0, 1), ("largest", 1): (9.0, 1), ("largest", 2): (3.0, 1)}
 
 
+def test_extreme_values_keep_their_type(spark):
+    big = 2**53
+    rows = [(big, True, 0.5), (big + 1, None, float("nan")), (big + 3, False, -0.5)]
+    df = spark.createDataFrame(rows, "i bigint, b boolean, f double").selectExpr("*", "CAST(i AS DECIMAL(38, 2)) / 100 AS d")
+    got = {(r.column, r.side, r["rank"]): (r.value, r.exact, r.cnt) for r in deep.extreme_values(df, k=3).collect()}
+    assert [got["i", "smallest", n][1:] for n in (1, 2, 3)] == [(str(big), 1), (str(big + 1), 1), (str(big + 3), 1)]
+    assert got["i", "largest", 1][1] == str(big + 3) and got["b", "largest", 1] == (1.0, "1", 1)
+    assert got["f", "smallest", 1] == (-0.5, None, 1) and ("f", "smallest", 3) not in got
+    assert got["d", "smallest", 2][1].startswith("90071992547409.93")
+    assert deep.extreme_values(df.select(F.lit("x").alias("t"))).collect() == []
+
+
 def test_text_tables(spark, rows):
     df = spark.createDataFrame([("Hello, \u00a0hello\nWörld!",), ("-- 'hello'",), (None,), ("",)], "t string")
     assert rows(deep.word_counts(df)) == [("t", "hello", 3), ("t", "wörld", 1)]
