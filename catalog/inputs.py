@@ -53,13 +53,14 @@ def events_gaps(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# datasets of the catalogue queries
+# datasets of the catalogue queries that stand for a table; the others are taken as given
+VARIANTS = {"lineitem": lineitem_nulls, "orders": orders_nulls, "events": events_gaps}
+TABLES = (
+    "lineitem", "orders", "customer", "events", "region", "nation", "supplier", "part",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 DATASETS = {
-    "lineitem": lineitem_nulls,
-    "orders": orders_nulls,
-    "customer": lambda spark, sf: table(spark, sf, "customer"),
-    "events": events_gaps,
-    "region": lambda spark, sf: table(spark, sf, "region"),
+    name: VARIANTS.get(name, lambda spark, sf, name=name: table(spark, sf, name)) for name in TABLES
 }
 
 # DuckDB definitions of the same inputs
@@ -99,13 +100,19 @@ COLUMNS = {
         "value": "double", "props": "string",
     },
     "region": {"r_regionkey": "int", "r_name": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+    "part": {
+        "p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int",
+        "p_retailprice": "double",
+    },
+    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
+    "embeddings": {"vec_id": "bigint", "embedding": "array<float>", "label": "int"},
+    "pages": {"page_id": "bigint", "url": "string", "html": "string"},
+    "benchmark": {"item_id": "bigint", "text": "string"},
+    "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
+    "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},
 }
 
 # the table each catalogue dataset stands for in SQL
-DATASET_SQL = {
-    "lineitem": "lineitem_nulls",
-    "orders": "orders_nulls",
-    "customer": "customer",
-    "events": "events_gaps",
-    "region": "region",
-}
+DATASET_SQL = {name: VARIANTS[name].__name__ if name in VARIANTS else name for name in TABLES}

@@ -9,6 +9,8 @@ from catalog.inputs import COLUMNS, DATASET_SQL, INPUT_SQL
 LINEITEM = COLUMNS["lineitem"]
 NUMERIC = ("bigint", "int", "double")
 NUMBERS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+# texts of one count go by this
+DIGESTED = "CASE WHEN strlen({c}) > 64 THEN '#' || sha256({c}) ELSE {c} END"
 KEYS_AND_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", *NUMBERS]
 
 
@@ -477,7 +479,7 @@ def _tops_cte() -> str:
                 parts.append(
                     f"(SELECT '{d}' AS dataset, '{c}' AS col, {c} AS value, "
                     f"count(*) / (SELECT count({c}) FROM {t}) AS share FROM {t} WHERE {c} IS NOT NULL "
-                    f"GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+                    f"GROUP BY {c} ORDER BY count(*) DESC, {DIGESTED.format(c=c)} LIMIT 1)"
                 )
     return _union(parts)
 
@@ -515,6 +517,10 @@ def _insights_cte() -> str:
                'categorical', string_agg(c, ',' ORDER BY p), '{{}}', '{ADVICE["chart"]}'
         FROM p WHERE kind = 'string' GROUP BY dataset HAVING bool_and(id_any)
         UNION ALL
+        SELECT dataset, 2, 0, 'No categorical columns', '', 'info', max(n), 'distribution', 'categorical', '',
+               '{{}}', ''
+        FROM p GROUP BY dataset HAVING bool_and(kind <> 'string')
+        UNION ALL
         SELECT days.dataset, 3, 0, '''' || days.c || ''' ' || {direction} || ' over the observed period',
                printf('First=%.4g, Last=%.4g, Delta=%.4g', f, l, l - f), 'info', n - missing, 'trend', 'timeseries',
                ts || ',' || days.c, '{{"direction":"' || {direction} || '"}}', '{ADVICE["trend"]}'
@@ -783,17 +789,16 @@ def _deep_oracles() -> dict[str, str]:
         "CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 10",
         f=_frequencies("lineitem_nulls", ["l_returnflag", "l_linestatus", "l_linenumber"]), r=RANKED,
     )
-    key = "CASE WHEN strlen({c}) > 64 THEN '#' || sha256({c}) ELSE {c} END"
     out["deep_common_texts"] = _union([
         f"(SELECT '{c}' AS \"column\", {c} AS value, count(*) AS cnt, "
         f"round(count(*) / (SELECT count({c}) FROM documents), 6) AS share, CAST(row_number() OVER "
-        f"(ORDER BY count(*) DESC, {key.format(c=c)}) AS INTEGER) AS rank FROM documents WHERE {c} IS NOT NULL "
+        f"(ORDER BY count(*) DESC, {DIGESTED.format(c=c)}) AS INTEGER) AS rank FROM documents WHERE {c} IS NOT NULL "
         f"GROUP BY {c} QUALIFY rank <= 5)"
         for c in ("text", "lang")
     ])
     out["deep_duplicate_texts"] = (
         "SELECT text, lang, count(*) AS n_duplicates FROM documents GROUP BY text, lang HAVING count(*) > 1 "
-        f"ORDER BY 3 DESC, {key.format(c='text')}, lang LIMIT 10"
+        f"ORDER BY 3 DESC, {DIGESTED.format(c='text')}, lang LIMIT 10"
     )
     extremes = []
     for c in ("l_quantity", "l_extendedprice", "l_tax"):
