@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs (lines; long ones in windows of words) are sparse vectors of word 1- and 2-grams. A multinomial logistic
+Paragraphs (runs of lines, and each line; long ones in windows of words) are sparse vectors of word 1- and 2-grams. Of
+findings that overlap, the one with more of its family's word pairs stands (`resolved`). A multinomial logistic
 regression tells licence families and an unknown class apart; its temperature is calibrated on examples
 it was not trained on, and what is then less likely than THRESHOLD counts as unknown. A family is confirmed
 if the paragraph shares enough word pairs with one of the family's templates.
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,14 +48,17 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "GPL-2.0": (
         "This program is licensed under the GNU General Public License, version 2.",
         "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version.",
     ),
     "LGPL": (
         "Licensed under the GNU Lesser General Public License.",
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1 of the License",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or any later version.",
     ),
     "AGPL-3.0": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     ),
     "BSD": (
         "Released under the BSD 3-Clause License.",
@@ -100,31 +105,56 @@ OTHERS = (
     "a copy of the book and its source", "under the bridge by the public library", "gnu antelopes live in the plains",
 )
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+#: A letter or digit, and comment marks at the start of a line that look like words (others are no words).
+_SIGN, _MARK = re.compile(r"[^\W_]"), re.compile(r"(?m)^\s*(?:rem|dnl)\b")
 #: Words so common that they do not make a paragraph worth a look.
 _PLAIN = frozenset("a an and any are as at be by can either for free from has have he his in into is it its later may of on or see that "
                    "the their they this to under was with you city year full work use used file name terms".split())
 
 
 def words_of(paragraph: str) -> list[str]:
-    return _WORD.findall(paragraph.lower())
+    return _WORD.findall(_MARK.sub("", paragraph.lower()))
 
 
 def grams_of(words: list[str]) -> list[str]:
     return [*words, *map(" ".join, zip(words, words[1:]))]
 
 
-def paragraphs(text: str, window: int = WINDOW) -> Iterator[tuple[int, int]]:
-    """(start, end) of every line of the text, long lines in windows that overlap by half; empty ones are left out."""
-    at = 0
+def blocks(text: str) -> Iterator[list[tuple[int, int]]]:
+    """The (start, end) of the lines of every paragraph: a run of lines with a letter or digit; marks alone are no line."""
+    at, run = 0, []
     for line in text.split("\n"):
-        if len(line) <= 5 * window:
-            if line.strip():
-                yield at, at + len(line)
-        else:
-            tokens = [m.span() for m in re.finditer(r"\S+", line)]
-            for k in range(0, max(1, len(tokens) - window // 2), window // 2):
-                yield at + tokens[k][0], at + tokens[min(k + window, len(tokens)) - 1][1]
+        if _SIGN.search(line):
+            run.append((at, at + len(line)))
+        elif run:
+            yield run
+            run = []
         at += len(line) + 1
+    if run:
+        yield run
+
+
+def windows(text: str, start: int, end: int, window: int = WINDOW) -> Iterator[tuple[int, int]]:
+    """(start, end) of a part of the text, if long of windows of its words that overlap by half."""
+    if end - start <= 5 * window:
+        yield start, end
+        return
+    tokens = [m.span() for m in re.finditer(r"\S+", text[start:end]) if _SIGN.search(m[0])]
+    for k in range(0, max(1, len(tokens) - window // 2) if tokens else 0, window // 2):
+        yield start + tokens[k][0], start + tokens[min(k + window, len(tokens)) - 1][1]
+
+
+def paragraphs(text: str, window: int = WINDOW) -> Iterator[tuple[int, int]]:
+    """(start, end) of every paragraph and of every line inside it, long ones in windows; empty ones are left out."""
+    for lines in blocks(text):
+        yield from spans_of(text, lines, window)
+
+
+def spans_of(text: str, lines: list[tuple[int, int]], window: int = WINDOW) -> Iterator[tuple[int, int]]:
+    if len(lines) > 1:
+        yield from windows(text, lines[0][0], lines[-1][1], window)
+    for i, j in lines:
+        yield from windows(text, i, j, window)
 
 
 @dataclass
@@ -155,6 +185,37 @@ class Classifier:
         own = frozenset(zip(words, words[1:]))
         return max((len(own & t) / max(1, min(len(own), len(t))) for t in self.pairs[family]), default=0.0)
 
+    def evidence(self, family: str, words: list[str]) -> frozenset[tuple[str, str]]:
+        """The word pairs that the paragraph has in common with any of the family's templates."""
+        return frozenset(zip(words, words[1:])) & frozenset().union(*self.pairs[family])
+
+
+@dataclass
+class Finding:
+    start: int
+    end: int
+    family: str
+    probability: float
+    similarity: float
+    evidence: frozenset[tuple[str, str]]
+
+
+def resolved(found: list[Finding], similar: float = SIMILAR) -> list[Finding]:
+    """One finding for each notice, in order of place: confirmed ones, then most evidence, then the shortest go first.
+
+    A finding that overlaps an earlier one falls if it names the same family, or if at most half of its evidence
+    is not the other's as well: a line of a notice says less than the notice. Two notices side by side both stand.
+    """
+    longest, taken, starts = max((x.end - x.start for x in found), default=0), [], []
+    for x in sorted(found, key=lambda x: (x.similarity < similar, -len(x.evidence), x.end - x.start, x.start)):
+        low, high = bisect_left(starts, x.start - longest), bisect_left(starts, x.end)
+        if all(y.end <= x.start or (y.family != x.family and 2 * len(x.evidence - y.evidence) > len(x.evidence))
+               for y in taken[low:high]):
+            k = bisect_left(starts, x.start)
+            starts.insert(k, x.start)
+            taken.insert(k, x)
+    return sorted(taken, key=lambda x: (x.start, x.end, x.family))
+
 
 def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[list[str], str]]:
     """Labelled paragraphs: templates cut, worn and set among other words; a third belongs to no family."""
@@ -237,29 +298,36 @@ def fit(labelled: list[tuple[list[str], str]] | None = None, rounds: int = 300,
 
 
 def scan(docs: DataFrame, model: Classifier | None = None, similar: float = SIMILAR) -> DataFrame:
-    """Licence paragraphs of all documents: doc_id, start, end (code points), family, probability, similarity, confirmed.
+    """Licence notices of all documents: doc_id, start, end (code points), family, probability, similarity, confirmed.
 
     Null and empty texts have none; a repeated document gives its rows again. Paragraphs with less than two
     words from any template are unknown without a look at the weights.
     """
     known = model or fit()
 
+    def worth(words: list[str]) -> bool:
+        return not known.triggers.isdisjoint(words) and sum(w in known.triggers for w in words) >= 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
         names = ["doc_id", "start", "end", "family", "probability", "similarity", "confirmed"]
         for b in batches:
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for i, j in paragraphs(text):
-                    words = words_of(text[i:j])
-                    if known.triggers.isdisjoint(words):
-                        continue
-                    if sum(w in known.triggers for w in words) < 2:
-                        continue
-                    family, p = known.classify(words)
-                    if family != UNKNOWN:
-                        s = known.similarity(family, words)
-                        out.append((doc, i, j, family, p, s, s >= similar))
+                for lines in blocks(text):
+                    if not worth(words_of(text[lines[0][0] : lines[-1][1]])):
+                        continue  # nor is any part of it
+                    found = []
+                    for i, j in spans_of(text, lines):
+                        words = words_of(text[i:j])
+                        if not worth(words):
+                            continue
+                        family, p = known.classify(words)
+                        if family != UNKNOWN:
+                            s = known.similarity(family, words)
+                            found.append(Finding(i, j, family, p, s, known.evidence(family, words)))
+                    out += [(doc, x.start, x.end, x.family, x.probability, x.similarity, x.similarity >= similar)
+                            for x in resolved(found, similar)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 

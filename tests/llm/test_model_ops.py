@@ -209,6 +209,18 @@ def test_paragraphs_cover_long_lines():
     assert {"short", "end", *(f"w{i}" for i in range(500))} <= set(seen.split())
 
 
+def test_license_scan_of_blank_and_wrapped_lines(make_docs):
+    header = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+              "the Free Software Foundation, either version {} of the License, or", "(at your option) any later version."]
+    rows = [(1, "a\n" + " " * 500 + "\nReleased under the MIT License."), (2, "\t" * 401)]
+    for i, mark in enumerate(("", "# ", " * ", "// ", "REM ")):
+        rows += [(10 * v + i, "\n".join(mark + x.format(v) for x in header)) for v in (2, 3)]
+    rows.append((50, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\nmore"))
+    rows.append((51, "=" * 5000 + "\n" + "plain prose of a day in town " * 40 + "\nReleased under the MIT License.\n" + "and more of it " * 40))
+    got = Counter((r.doc_id, r.family) for r in licenses.scan(make_docs(rows)).collect() if r.confirmed)
+    assert got == Counter([(1, "MIT"), *((10 * v + i, f"GPL-{v}.0") for v in (2, 3) for i in range(5)), (50, "MIT"), (50, "Apache-2.0"), (51, "MIT")])
+
+
 # --- toxicity and the pipeline ----------------------------------------------
 
 
