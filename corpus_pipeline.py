@@ -7,6 +7,7 @@ last returns the packed pieces (doc_id, piece, start, length, ids_crc32, sequenc
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,15 @@ from insight_spark.llm.queries import WORDS, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model of this corpus scores below its threshold; null texts count as empty."""
+    """Documents that the toxicity model of this corpus scores below its threshold; null texts count as empty.
+
+    Where the labels fit no classifier (none usable, one kind only, or no telling sign) nothing is known of any
+    document: all of them stay, and a warning says so.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    if not model.fitted:
+        warnings.warn("no toxicity classifier could be fitted: all documents stay", stacklevel=2)
+        return docs
     score = "__llm_score"
     return toxicity.score(docs, model, score).filter(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 

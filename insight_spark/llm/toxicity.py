@@ -63,6 +63,11 @@ class Model:
     weights: dict[str, float]
     bias: float
 
+    @property
+    def fitted(self) -> bool:
+        """False if the labels gave no sign a weight, so that all texts score alike."""
+        return bool(self.weights)
+
     def scorer(self) -> Callable[[str], float]:
         """A function from text to score; it remembers the weights of the words it has met, a million at most."""
         weights, kept = self.weights, {}

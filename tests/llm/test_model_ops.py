@@ -331,6 +331,21 @@ def test_pipeline_equals_brute_force(make_docs, spark, tmp_path):
         assert stage(spark, table, folder).columns == table.columns, name
 
 
+def test_pipeline_keeps_documents_without_a_classifier(make_docs, spark, tmp_path):
+    import corpus_pipeline
+    import pytest
+
+    docs, labels = corpus(n=40)
+    held = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 4 == 2]
+    for k, some in enumerate(([], [(i, q, 1) for i, q, _ in labels], [(i, q, None) for i, q, _ in labels], held)):
+        folder = f"file://{tmp_path}/{k}"
+        make_docs(docs).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(some, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        with pytest.warns(UserWarning, match="no toxicity classifier"):
+            got = corpus_pipeline.run(spark, folder) if k < 2 else corpus_pipeline.drop_toxic(spark, make_docs(docs), folder)
+        assert {r.doc_id for r in got.collect()} == {d for d, _ in docs}
+
+
 def test_queries_run_on_whole_tables(spark):
     docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     for name in ("op2_byte_bpe", "op3_simhash", "op5_packing", "op9_syncmer_fingerprint", "op10_toxicity"):
