@@ -26,6 +26,9 @@ TREES, SYMBOLS, SEED = 128, 3, 11
 #: Strings in a cell on average at most, in a cell's part, and vectors in a block of exact comparisons.
 CELL, CELL_BOUND, BLOCK = 1 << 20, 1 << 21, 4096
 NEIGHBOURS = 10
+#: Chance that the ascent may miss a vector as near as a query's last neighbour; pairs from which the odds of equal
+#: symbols are estimated, by degree; ids that a task hands over at once.
+MISS, PAIRS, PIECE = 0.02, 4096, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -87,6 +90,41 @@ class Forest:
             weight = np.uint64(int(weight) * 2 * self.dim)
         return common
 
+    def ranges(self, strings: np.ndarray, query: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each query the places (from, to) of the sorted strings that share its first `level` symbols."""
+        weight = np.array([self.tail * (2 * self.dim) ** (self.symbols - s) for s in range(self.symbols + 1)], np.uint64)[level]
+        low = query - query % weight
+        return np.searchsorted(strings, low), np.searchsorted(strings, low + (weight - np.uint64(1)), side="right")
+
+    def ascents(self, miss: float = MISS) -> list[tuple[int, int]]:
+        """For each angle of 0 to 180 degrees (level, trees): how far a query whose last neighbour stands at it ascends.
+
+        All trees go up to level + 1 together and the first `trees` of them to `level`. A tree's rotations are random, so
+        two vectors share a symbol with a chance that depends on their angle only, independently by symbol and tree.
+        The ascent ends where all trees together miss such a neighbour with a chance of at most `miss`; level 0 is the whole table.
+        """
+        rng = np.random.default_rng(self.seed)
+        x, z = rng.normal(size=(2, PAIRS, self.dim))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        z -= (x * z).sum(1)[:, None] * x
+        z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
+
+        def symbol(v: np.ndarray) -> np.ndarray:
+            axis = np.abs(v).argmax(1)
+            return 2 * axis + (np.take_along_axis(v, axis[:, None], 1)[:, 0] > 0)
+
+        own, out, chance = symbol(x), [], 1.0
+        for angle in np.radians(np.arange(181)):
+            chance = min(chance, float((own == symbol(np.cos(angle) * x + np.sin(angle) * z)).mean()))
+            missed = [np.log1p(-min(chance**s, 1 - 1e-12)) for s in range(1, self.symbols + 1)] + [0.0]
+            level = next((s for s in range(self.symbols, 0, -1) if self.trees * missed[s - 1] <= np.log(miss)), 0)
+            if level:
+                here, deeper = missed[level - 1], missed[level]
+                out.append((level, max(1, int(np.ceil((np.log(miss) - self.trees * deeper) / (here - deeper))))))
+            else:
+                out.append((0, 1))
+        return out
+
 
 def usable(vector: Column) -> Column:
     """Vectors with no null or non-finite component and not all zero."""
@@ -136,8 +174,22 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS, t
         rows.filter("q").select("vec_id", "v").join(classes, "v").select(F.col("vec_id").alias("query_id"), "cls"), "queries")
     entries = classes.join(asked.select("cls").distinct().withColumn("q", F.lit(True)), "cls", "left")
 
-    found = _candidates(entries.select("cls", "v", F.coalesce("q", F.lit(False)).alias("q")), forest)
-    near = _nearest(found, classes, asked, neighbours + 1, dim)
+    trees_of = _trees(entries.select("cls", "v", F.coalesce("q", F.lit(False)).alias("q")), forest)
+    most = neighbours + 1
+    first_near = stored(_nearest(_windows(trees_of, forest), classes, most), "near")
+
+    # how far each query ascends: by the widest angle among its nearest so far, to the whole table if they are too few
+    angle = F.least(F.ceil(F.degrees(F.acos(F.col("cosine")))).cast("int"), F.lit(180))
+    widest = first_near.groupBy("cls").agg(F.count("*").alias("n"), F.max(angle).alias("angle"))
+    levels, upto = zip(*forest.ascents())
+    known = (F.col("n") == most) & F.col("angle").isNotNull()
+    ways = asked.select("cls").distinct().join(widest, "cls", "left").select(
+        "cls", F.when(known, F.get(F.lit(list(levels)), F.col("angle"))).otherwise(0).alias("level"),
+        F.when(known, F.get(F.lit(list(upto)), F.col("angle"))).otherwise(1).alias("upto"))
+    second_near = _nearest(_ascend(trees_of, ways.join(classes, "cls"), forest), classes, most)
+    both = first_near.unionByName(second_near).groupBy("cls", "near").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("cls").orderBy("score", "near")
+    near = both.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).drop("nth")
 
     # from classes back to rows: the copies of each near class, and for each query of a class the class itself
     members = few.select(F.col("cls").alias("near"), "vec_id")
@@ -147,8 +199,8 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS, t
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _candidates(entries: DataFrame, forest: Forest) -> DataFrame:
-    """Rows (cls, block, ids) for every query class: the ids of its candidates, by block of exact comparison."""
+def _trees(entries: DataFrame, forest: Forest) -> DataFrame:
+    """Chunks (cell, side, n, codes, ids) of the strings of all entries (side b) and of the queries (side a) in every tree."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -166,6 +218,13 @@ def _candidates(entries: DataFrame, forest: Forest) -> DataFrame:
                         out.append((tree * cells + int(key), side, len(c), c.tobytes(), i.tobytes()))
                 yield pd.DataFrame(out, columns=["cell", "side", "n", "codes", "ids"])
 
+    parts = tasks(entries.sparkSession)
+    return stored(entries.repartition(parts).mapInPandas(emit, "cell long, side string, n long, codes binary, ids binary"), "trees")
+
+
+def _windows(chunks: DataFrame, forest: Forest) -> DataFrame:
+    """Rows (cls, block, ids) for every query class: its first candidates, the windows around its places in all trees."""
+
     def joined(pdf: pd.DataFrame, side: str) -> tuple[np.ndarray, np.ndarray]:
         part = pdf[pdf["side"] == side]
         code, ids = np.frombuffer(b"".join(part["codes"]), np.uint64), np.frombuffer(b"".join(part["ids"]), np.int64)
@@ -192,19 +251,85 @@ def _candidates(entries: DataFrame, forest: Forest) -> DataFrame:
         ids, common = ids[first], common[first]  # of each id its longest prefix in any tree
         if len(ids) > forest.enough:
             ids = ids[common >= np.sort(common)[-forest.enough]]
-        block = ids // BLOCK
-        keys, at = np.unique(block, return_index=True)
-        return pd.DataFrame({"cls": cls, "block": keys, "ids": [p.tobytes() for p in np.split(ids, at[1:])]})
+        return _by_block(cls, ids)
 
-    parts = tasks(entries.sparkSession)
-    chunks = stored(entries.repartition(parts).mapInPandas(emit, "cell long, side string, n long, codes binary, ids binary"), "trees")
+    parts = tasks(chunks.sparkSession)
     dealt = grid(chunks, CELL_BOUND, "codes", "ids").repartition(parts, "cell", "i", "j")
     hits = dealt.groupBy("cell", "i", "j").applyInPandas(descend, "cls long, ids binary, common binary")
     return hits.repartition(parts, "cls").groupBy("cls").applyInPandas(ascend, "cls long, block long, ids binary")
 
 
-def _nearest(found: DataFrame, classes: DataFrame, asked: DataFrame, most: int, dim: int) -> DataFrame:
-    """Rows (cls, near, score): of each query class the `most` nearest candidate classes, itself among them.
+def _by_block(cls: int, ids: np.ndarray) -> pd.DataFrame:
+    """Sorted ids by block of exact comparison, as places in it."""
+    keys, at = np.unique(ids // BLOCK, return_index=True)
+    return pd.DataFrame({"cls": cls, "block": keys, "ids": [(p % BLOCK).astype(np.uint16).tobytes() for p in np.split(ids, at[1:])]})
+
+
+def _ascend(chunks: DataFrame, queries: DataFrame, forest: Forest) -> DataFrame:
+    """Rows (cls, block, ids): every string that shares the first symbols of a query (cls, v, level, upto), as many
+    as its ascent leaves in each tree. A task holds a cell's strings, or a part of them, and its queries pass by."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = (2 * forest.dim) ** forest.prefix
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, ids = _matrix(pdf["v"]), pdf["cls"].to_numpy(np.int64)
+            top, upto = pdf["level"].to_numpy(np.int64), pdf["upto"].to_numpy(np.int64)
+            for tree in range(forest.trees):
+                cell, code = forest.codes(x, tree)
+                level = np.where(tree < upto, top, np.where(top == 0, forest.symbols, top) + 1)
+                out = []
+                for s in range(forest.symbols + 1):
+                    # a prefix shorter than a cell's name is shared by several cells
+                    many = (2 * forest.dim) ** max(0, forest.prefix - s)
+                    shared = cell // many
+                    for key in np.unique(shared[level == s]):
+                        part = (level == s) & (shared == key)
+                        row = (int(part.sum()), code[part].tobytes(), ids[part].tobytes(), level[part].astype(np.int8).tobytes())
+                        out += [(tree * cells + int(key) * many + k, "a", *row) for k in range(many)]
+                yield pd.DataFrame(out, columns=["cell", "side", "n", "codes", "ids", "levels"])
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, code, ids = None, [], None, None
+        out, size = [], 0
+        for pdf in batches:
+            for cell, i, j, side, codes, some, levels in pdf.itertuples(index=False):
+                if (cell, i, j) != key:
+                    key, held, code, ids = (cell, i, j), [], None, None
+                if side == "b":
+                    held.append((np.frombuffer(codes, np.uint64), np.frombuffer(some, np.int64)))
+                    continue
+                if code is None:
+                    code, ids = (np.concatenate([np.empty(0, t), *x]) for t, x in zip((np.uint64, np.int64), zip(*held) if held else ((), ())))
+                    order = np.argsort(code)
+                    code, ids, held = code[order], ids[order], []
+                low, high = forest.ranges(code, np.frombuffer(codes, np.uint64), np.frombuffer(levels, np.int8).astype(np.int64))
+                for cls, a, b in zip(np.frombuffer(some, np.int64), low, high):
+                    if b > a:
+                        out.append((int(cls), ids[a:b].tobytes()))
+                        size += b - a
+                    if size > PIECE:
+                        yield pd.DataFrame(out, columns=["cls", "ids"])
+                        out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=["cls", "ids"])
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _by_block(int(pdf["cls"].iloc[0]), np.unique(np.frombuffer(b"".join(pdf["ids"]), np.int64)))
+
+    parts = tasks(chunks.sparkSession)
+    asked = queries.select("cls", "v", "level", "upto").repartition(parts).mapInPandas(
+        emit, "cell long, side string, n long, codes binary, ids binary, levels binary")
+    strings = chunks.filter("side = 'b'").withColumn("levels", F.lit(None).cast("binary"))
+    dealt = grid(stored(asked, "ascents").unionByName(strings), CELL_BOUND, "codes", "ids", "levels")
+    dealt = dealt.select("cell", "i", "j", "side", "codes", "ids", "levels").repartition(parts, "cell", "i", "j")
+    hits = dealt.sortWithinPartitions("cell", "i", "j", F.desc("side")).mapInPandas(reach, "cls long, ids binary")
+    return hits.repartition(parts, "cls").groupBy("cls").applyInPandas(gather, "cls long, block long, ids binary")
+
+
+def _nearest(found: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """Rows (cls, near, score, cosine): of each query class the `most` nearest candidate classes, itself among them.
 
     A block of vectors and then the queries that have candidates in it pass through a task together; only the block is held.
     """
@@ -227,13 +352,16 @@ def _nearest(found: DataFrame, classes: DataFrame, asked: DataFrame, most: int,
                     continue
                 if isinstance(ids, list):
                     ids, x = np.array(ids), np.stack(x)
-                some = np.searchsorted(ids, np.frombuffer(wanted, np.int64))
-                score = np.sqrt(((x[some] - np.asarray(v, np.float64)) ** 2).sum(1))
+                some, v = np.searchsorted(ids, b * BLOCK + np.frombuffer(wanted, np.uint16).astype(np.int64)), np.asarray(v, np.float64)
+                score = np.sqrt(((x[some] - v) ** 2).sum(1))
                 best = np.lexsort((ids[some], score))[:most]
-                out += [(cls, int(ids[some[k]]), float(score[k])) for k in best]
-            yield pd.DataFrame(out, columns=["cls", "near", "score"]).astype({"cls": "int64", "near": "int64", "score": "float64"})
+                close = x[some[best]]
+                cosine = close @ v / (np.linalg.norm(close, axis=1) * np.linalg.norm(v))
+                out += [(cls, int(ids[some[k]]), float(score[k]), float(c)) for k, c in zip(best, np.clip(cosine, -1, 1))]
+            yield pd.DataFrame(out, columns=["cls", "near", "score", "cosine"]).astype(
+                {"cls": "int64", "near": "int64", "score": "float64", "cosine": "float64"})
 
     both = blocks.union(queries).repartition(parts, "block").sortWithinPartitions("block", "kind", "cls")
-    scored = both.mapInPandas(compare, "cls long, near long, score double")
+    scored = both.mapInPandas(compare, "cls long, near long, score double, cosine double")
     order = Window.partitionBy("cls").orderBy("score", "near")
     return scored.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).drop("nth")

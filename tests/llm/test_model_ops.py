@@ -85,6 +85,24 @@ def test_neighbours_in_split_cells(spark, monkeypatch):
     check_neighbours(table, rows, 20, recall=0.8, effort=1.0)
 
 
+def test_neighbours_in_a_hot_cloud_and_at_two_sizes(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=32)
+    for n in (3000, 30000):  # a third of all vectors, and half of the queries, in one tight cloud
+        x = rng.normal(size=(n, 32))
+        x[::3] = centre + 0.05 * rng.normal(size=(len(x[::3]), 32))
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        for start in (0, 1):
+            asked = list(range(start, n, n // 30 // 3 * 3))
+            got = ann.search(table, F.col("vec_id").isin(asked)).collect()
+            hits = 0
+            for q in asked:
+                want = [i for i in np.argsort(((x - x[q]) ** 2).sum(1))[:11] if i != q]
+                hits += len({r.vec_id for r in got if r.query_id == q} & set(want))
+            assert hits >= 0.95 * 10 * len(asked), (n, start, hits / len(asked))
+
+
 def test_common_prefixes():
     forest = ann.Forest.of_size(1000, 4)
     base, t = 8, forest.tail
