@@ -2,9 +2,11 @@
 
 Every tree gives each vector a long string of symbols: each symbol names the axis, and its direction, that is closest to
 the vector in one random rotation, and the string ends in a finely cut random projection. A tree is the sorted array
-of its strings. A query descends each tree to where its string stands; the strings around that place are
-those with the longest common prefixes. It then ascends all trees together, from the longest prefixes
-to shorter ones, until enough candidates are found, which are compared exactly.
+of its strings. A query descends each tree to where its string stands and is compared exactly with a window of strings
+around that place. It then ascends all trees together, from the longest prefixes to shorter ones, takes every
+string that shares the prefix, and ends where a vector as near as its last neighbour so far is hardly missed any more
+(`Forest.ascents`). Where neighbours are hardly nearer than other vectors, or a cloud shares all its symbols, that is a
+large share of the table or of the cloud.
 
 Sorted arrays are cut into cells by as many first symbols as it takes for cells to hold at most CELL strings on
 average (none, and a cell is a tree, up to that many vectors); overfull cells (many near copies) are split by `grid` and searched part by part.
@@ -33,24 +35,23 @@ MISS, PAIRS, PIECE = 0.02, 4096, 1 << 20
 
 @dataclass(frozen=True)
 class Forest:
-    """`width` strings on either side of a query's place are looked at per tree; `enough` candidates end the ascent."""
+    """`width` strings on either side of a query's place are looked at first in each tree."""
 
     dim: int
     trees: int
     symbols: int
     prefix: int  # symbols that name a cell
     width: int
-    enough: int
     seed: int
 
     @staticmethod
     def of_size(n: int, dim: int, trees: int = TREES, symbols: int = SYMBOLS, seed: int = SEED, effort: float = 0.25) -> Forest:
-        """The width grows with the root of n, which holds recall on data without structure."""
+        """The width grows with the root of n, so that first neighbours are near enough to end the ascent early."""
         width = max(16, int(np.ceil(effort * np.sqrt(n))))
         per_symbol, prefix = 2 * dim, 0
         while n / per_symbol**prefix > CELL and prefix < symbols:
             prefix += 1
-        return Forest(dim, trees, symbols, prefix, width, 2 * width * trees, seed)
+        return Forest(dim, trees, symbols, prefix, width, seed)
 
     def codes(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each row: its cell within the tree, and its string as an unsigned integer."""
@@ -238,25 +239,13 @@ def _windows(chunks: DataFrame, forest: Forest) -> DataFrame:
         low, out = np.clip(at - forest.width, 0, len(code) - wide), []
         for k in range(0, len(query), 512):
             window = low[k : k + 512, None] + np.arange(wide)
-            common = forest.prefixes(code[window], query[k : k + 512, None]).astype(np.int8)
-            out += [(cls, i.tobytes(), c.tobytes()) for cls, i, c in zip(asked[k : k + 512], ids[window], common)]
-        return pd.DataFrame(out, columns=["cls", "ids", "common"])
-
-    def ascend(pdf: pd.DataFrame) -> pd.DataFrame:
-        cls = int(pdf["cls"].iloc[0])
-        ids, common = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("ids", np.int64), ("common", np.int8)))
-        order = np.lexsort((-common, ids))
-        ids, common = ids[order], common[order]
-        first = np.concatenate([[True], ids[1:] != ids[:-1]])
-        ids, common = ids[first], common[first]  # of each id its longest prefix in any tree
-        if len(ids) > forest.enough:
-            ids = ids[common >= np.sort(common)[-forest.enough]]
-        return _by_block(cls, ids)
+            out += [(cls, i.tobytes()) for cls, i in zip(asked[k : k + 512], ids[window])]
+        return pd.DataFrame(out, columns=["cls", "ids"])
 
     parts = tasks(chunks.sparkSession)
     dealt = grid(chunks, CELL_BOUND, "codes", "ids").repartition(parts, "cell", "i", "j")
-    hits = dealt.groupBy("cell", "i", "j").applyInPandas(descend, "cls long, ids binary, common binary")
-    return hits.repartition(parts, "cls").groupBy("cls").applyInPandas(ascend, "cls long, block long, ids binary")
+    hits = dealt.groupBy("cell", "i", "j").applyInPandas(descend, "cls long, ids binary")
+    return hits.repartition(parts, "cls").groupBy("cls").applyInPandas(_gather, "cls long, block long, ids binary")
 
 
 def _by_block(cls: int, ids: np.ndarray) -> pd.DataFrame:
@@ -265,6 +254,10 @@ def _by_block(cls: int, ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"cls": cls, "block": keys, "ids": [(p % BLOCK).astype(np.uint16).tobytes() for p in np.split(ids, at[1:])]})
 
 
+def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _by_block(int(pdf["cls"].iloc[0]), np.unique(np.frombuffer(b"".join(pdf["ids"]), np.int64)))
+
+
 def _ascend(chunks: DataFrame, queries: DataFrame, forest: Forest) -> DataFrame:
     """Rows (cls, block, ids): every string that shares the first symbols of a query (cls, v, level, upto), as many
     as its ascent leaves in each tree. A task holds a cell's strings, or a part of them, and its queries pass by."""
@@ -315,9 +308,6 @@ def _ascend(chunks: DataFrame, queries: DataFrame, forest: Forest) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=["cls", "ids"])
 
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _by_block(int(pdf["cls"].iloc[0]), np.unique(np.frombuffer(b"".join(pdf["ids"]), np.int64)))
-
     parts = tasks(chunks.sparkSession)
     asked = queries.select("cls", "v", "level", "upto").repartition(parts).mapInPandas(
         emit, "cell long, side string, n long, codes binary, ids binary, levels binary")
@@ -325,7 +315,7 @@ def _ascend(chunks: DataFrame, queries: DataFrame, forest: Forest) -> DataFrame:
     dealt = grid(stored(asked, "ascents").unionByName(strings), CELL_BOUND, "codes", "ids", "levels")
     dealt = dealt.select("cell", "i", "j", "side", "codes", "ids", "levels").repartition(parts, "cell", "i", "j")
     hits = dealt.sortWithinPartitions("cell", "i", "j", F.desc("side")).mapInPandas(reach, "cls long, ids binary")
-    return hits.repartition(parts, "cls").groupBy("cls").applyInPandas(gather, "cls long, block long, ids binary")
+    return hits.repartition(parts, "cls").groupBy("cls").applyInPandas(_gather, "cls long, block long, ids binary")
 
 
 def _nearest(found: DataFrame, classes: DataFrame, most: int) -> DataFrame:

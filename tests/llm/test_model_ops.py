@@ -117,6 +117,21 @@ def test_common_prefixes():
     assert forest.prefixes(a, a[0]).tolist() == [4, 3, 2, 1, 0]
 
 
+def test_ascent_takes_every_string_of_a_prefix():
+    rng = np.random.default_rng(3)
+    forest = ann.Forest.of_size(2000, 4, trees=16)
+    x = rng.normal(size=(2000, 4))
+    strings = np.sort(forest.codes(x, 0)[1])
+    query = forest.codes(x[:50], 0)[1]
+    for level in range(forest.symbols + 1):
+        low, high = forest.ranges(strings, query, np.full(50, level))
+        for q, a, b in zip(query, low, high):
+            assert (np.flatnonzero(forest.prefixes(strings, q) >= level) == np.arange(a, b)).all()
+    steps = ann.Forest.of_size(10**6, 64).ascents()
+    assert steps[0] == (3, 1) and steps[180] == (0, 1)  # a copy shares all symbols; the opposite is only found by looking at all
+    assert all((b[0], -b[1]) <= (a[0], -a[1]) for a, b in zip(steps, steps[1:]) if b[0])  # nearer neighbours end it earlier
+
+
 # --- chat formatting ---------------------------------------------------------
 
 
