@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, fingerprint, licenses, packing, secret_scan, simhash, token_shards, toxicity
+from . import ann, bpe, chat_format, conversation_repair, fingerprint, licenses, packing, secret_scan, simhash, token_shards, toxicity
+from .oracle import ORACLES
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -68,9 +69,13 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_repair.repaired_digests(table(spark, sf, "conversations"))
+
+
 REGISTERED = (
     op1_prefix_forest, op2_byte_bpe, op3_simhash, op4_chat_format, op5_packing, op6_license_scan, op7_secret_scan,
-    op8_token_shards, op9_syncmer_fingerprint, op10_toxicity,
+    op8_token_shards, op9_syncmer_fingerprint, op10_toxicity, op13_conversation_repair,
 )
 
 
@@ -79,5 +84,5 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    """None yet can be said in SQL: models, tokenisers, random rotations and seeded hashes are not in it."""
-    return {}
+    """Of what SQL can say; models, tokenisers, random rotations and seeded hashes are not in it."""
+    return dict(ORACLES)
