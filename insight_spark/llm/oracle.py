@@ -83,4 +83,42 @@ FROM sizes z JOIN closed c ON c.conv_id IS NOT DISTINCT FROM z.conv_id
 LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM z.conv_id
 """
 
-ORACLES = {"op13_conversation_repair": OP13}
+#: All phrases of up to four words are counted; DuckDB orders text by UTF-8 bytes, and HUGEINT holds the products.
+OP12 = r"""
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS words
+    FROM texts, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) u(piece)
+), phrases AS (
+    SELECT lang, k, words[i : i + k - 1] AS words, count(*) AS a
+    FROM pieces, unnest(range(1, len(words) + 1)) p(i), (VALUES (1), (2), (3), (4)) s(k)
+    WHERE i + k - 1 <= len(words) GROUP BY ALL
+), sizes AS (
+    SELECT lang, sum(a) AS n FROM phrases WHERE k = 1 GROUP BY lang
+), often AS (
+    SELECT * FROM phrases WHERE a >= 30
+), cuts AS (
+    SELECT p.lang, p.words, p.k, p.a, c.cut, x.a AS l, y.a AS r,
+           CAST(2000000 * CAST(p.a AS HUGEINT) // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+    FROM often p, unnest(range(1, p.k)) c(cut)
+    JOIN often x ON x.lang = p.lang AND x.words = p.words[1 : c.cut]
+    JOIN often y ON y.lang = p.lang AND y.words = p.words[c.cut + 1 : p.k]
+    WHERE p.k > 1
+), candidates AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1
+), inner_phrases AS (
+    SELECT c.lang, c.words[i : i + size - 1] AS words, max(c.a) AS most
+    FROM candidates c, (VALUES (2), (3)) s(size), unnest(range(1, c.k - size + 2)) p(i) WHERE size < c.k GROUP BY ALL
+), kept AS (
+    SELECT c.*, array_to_string(c.words, ' ') AS phrase
+    FROM candidates c LEFT JOIN inner_phrases i ON i.lang = c.lang AND i.words = c.words
+    WHERE i.most IS NULL OR 100 * CAST(i.most AS HUGEINT) < 80 * CAST(c.a AS HUGEINT)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op12_collocations": OP12, "op13_conversation_repair": OP13}

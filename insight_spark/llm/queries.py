@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, conversation_repair, fingerprint, licenses, packing, secret_scan, simhash, token_shards, toxicity
+from . import ann, bpe, chat_format, collocations, conversation_repair, fingerprint, licenses, packing, secret_scan, simhash, token_shards, toxicity
 from .oracle import ORACLES
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -69,13 +69,18 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_repair.repaired_digests(table(spark, sf, "conversations"))
 
 
 REGISTERED = (
     op1_prefix_forest, op2_byte_bpe, op3_simhash, op4_chat_format, op5_packing, op6_license_scan, op7_secret_scan,
-    op8_token_shards, op9_syncmer_fingerprint, op10_toxicity, op13_conversation_repair,
+    op8_token_shards, op9_syncmer_fingerprint, op10_toxicity, op12_collocations,
+    op13_conversation_repair,
 )
 
 
