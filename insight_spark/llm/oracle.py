@@ -121,4 +121,36 @@ WITH texts AS (
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
 """
 
-ORACLES = {"op12_collocations": OP12, "op13_conversation_repair": OP13}
+#: Every window of 50 bytes, as hex; null doc_ids come after all others.
+OP11 = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS place,
+           hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (  -- short texts, as taking a part of a long one costs its length
+    SELECT row, place, 200 * b AS base, substr(h, 400 * b + 1, 498) AS h FROM texts, unnest(range(0, length(h) // 400 + 1)) u(b)
+), windows AS (
+    SELECT row, place, base + p AS p, substr(h, 2 * p + 1, 100) AS w
+    FROM blocks, unnest(range(0, least(200, length(h) // 2 - 49))) u(p)
+), firsts AS (
+    SELECT w, min(place) AS place FROM windows GROUP BY w HAVING count(*) > 1
+), hits AS (
+    SELECT row, p, CASE WHEN p > 50 + lag(p) OVER (PARTITION BY row ORDER BY p) THEN 1 ELSE 0 END AS new
+    FROM windows JOIN firsts USING (w) WHERE firsts.place < windows.place
+), islands AS (
+    SELECT row, p, sum(new) OVER (PARTITION BY row ORDER BY p) AS island FROM hits
+), spans AS (
+    SELECT row, min(p) AS start, max(p) + 50 AS stop FROM islands GROUP BY row, island
+), gaps AS (
+    SELECT row, start, stop, coalesce(lag(stop) OVER (PARTITION BY row ORDER BY start), 0) AS after FROM spans
+), kept AS (
+    SELECT row, count(*) AS n_spans, sum(stop - start) AS n_removed, max(stop) AS tail,
+           string_agg(substr(h, 2 * after + 1, 2 * (start - after)), '' ORDER BY start) AS head
+    FROM gaps JOIN texts USING (row) GROUP BY row
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(from_hex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (row)
+"""
+
+ORACLES = {"op11_suffix_dedup": OP11, "op12_collocations": OP12, "op13_conversation_repair": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, collocations, conversation_repair, fingerprint, licenses, packing, secret_scan, simhash, token_shards, toxicity
+from . import ann, bpe, chat_format, collocations, conversation_repair, fingerprint, licenses, packing, secret_scan, simhash, suffix_dedup, token_shards, toxicity
 from .oracle import ORACLES
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -69,6 +69,14 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+    return kept.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(table(spark, sf, "documents"))
 
@@ -79,7 +87,7 @@ def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
 
 REGISTERED = (
     op1_prefix_forest, op2_byte_bpe, op3_simhash, op4_chat_format, op5_packing, op6_license_scan, op7_secret_scan,
-    op8_token_shards, op9_syncmer_fingerprint, op10_toxicity, op12_collocations,
+    op8_token_shards, op9_syncmer_fingerprint, op10_toxicity, op11_suffix_dedup, op12_collocations,
     op13_conversation_repair,
 )
 
