@@ -106,7 +106,7 @@ def _pack(*columns: np.ndarray) -> bytes:
     """Columns of one type and length, one after another, compressed."""
     import zstandard
 
-    return zstandard.compress(np.concatenate(columns).tobytes(), 1) if columns else b""
+    return zstandard.compress(np.concatenate(columns).tobytes()) if columns else b""
 
 
 def _unpack(blobs: list[bytes], kind: type, columns: int = 1) -> list[np.ndarray]:
@@ -398,7 +398,7 @@ def _dealt(docs: DataFrame, ranges: int, batch_bytes: int) -> tuple[DataFrame, i
     sizes = dict(rows.groupBy("range").agg(F.sum(F.length("text"))).collect())
     total = sum(sizes.values())
     # enough batches for all tasks, of no more than batch_bytes on average
-    wanted = max(total // batch_bytes, 8 * tasks(docs.sparkSession))
+    wanted = max(total // batch_bytes, 2 * tasks(docs.sparkSession))
     counts = [max(1, -(-sizes.get(r, 0) * wanted // max(1, total))) for r in range(len(bounds) + 2)]
     nth = F.pmod(F.xxhash64("doc_id", "text"), F.element_at(F.array(*map(F.lit, counts)), F.col("range") + 1))
     return rows.withColumn("batch", F.col("range") * F.lit(1 << 40) + nth), sum(counts), total
@@ -418,7 +418,7 @@ def remove_repeats(
     if length <= ANCHOR:
         raise ValueError(f"length must be over {ANCHOR}")
     rows, batches, total = _dealt(docs, ranges, batch_bytes)
-    parts = int(max(total // part_bytes, 4 * tasks(docs.sparkSession)))
+    parts = int(max(total // part_bytes, tasks(docs.sparkSession)))
     hot = int(max(HOT_LEAST, HOT_SHARE * batches))
     texts = rows.groupBy("batch")
     anchors = texts.applyInArrow(lambda t: _batch_anchors(t, parts, length), _ddl(_ANCHORS))
