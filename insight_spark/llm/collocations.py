@@ -36,7 +36,7 @@ LEAST, MOST_WORDS, TOP, SCALE = 30, 4, 2000, 2_000_000
 #: Bits of the bitmaps that tell tasks which words and prefixes count: 2 MB each, whatever the size of the corpus.
 FILTER_BITS = 1 << 24
 #: Bytes of text that a task tokenises at once.
-BLOCK = 1 << 24
+BLOCK = 1 << 23
 
 _CLASSES = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c in b" \t" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
