@@ -92,14 +92,6 @@ def compact_key(c: Column) -> Column:
     return F.when(F.octet_length(c) > KEY_BYTES, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
 
 
-def row_key(df: DataFrame) -> list[Column]:
-    """Grouping key of a whole row, with long strings as digests."""
-    return [
-        (compact_key(col(f.name)) if is_string(f.dataType) else col(f.name)).alias(f"k{i}")
-        for i, f in enumerate(df.schema.fields)
-    ]
-
-
 def name_at(position: Column, names: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), position + 1)
 

@@ -14,16 +14,17 @@ from pyspark.sql import types as T
 from insight_spark.functions.columns import (
     as_double,
     col,
+    compact_key,
     fields_of,
     is_datetime,
     is_string,
     name_at,
     normalize_missing,
     per_column,
-    row_key,
 )
 from insight_spark.functions.datetimes import as_timestamp
 from insight_spark.functions.tables import small_table
+from insight_spark.operators.duplicates import repeated_groups
 from insight_spark.operators.frequency import column_counts, top_values, typed_frequencies, value_frequencies
 from insight_spark.operators.numeric import (
     MOMENTS,
@@ -632,32 +633,16 @@ def samples(df: DataFrame, order_by: Sequence[str], k: int = 10) -> DataFrame:
 def duplicate_groups(df: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent repeated rows with their count.
 
-    Rows are counted by key, with long texts as digests; a table with text columns is
-    scanned once more for the rows of the k keys, so whole rows are not shuffled.
-    Ties go by key.
+    Only rows whose digest repeats are shuffled whole (see `duplicates`). Ties go by the columns in their
+    order, long texts by digest; maps are left out of that order, as they have none.
     """
     df = normalize_missing(df)
-    keys = row_key(df)
-    names = [f"k{i}" for i in range(len(keys))]
-    # maps can be grouped but not sorted
-    order = [n for n, f in zip(names, df.schema.fields) if not isinstance(f.dataType, T.MapType)]
-    groups = df.select(*keys).groupBy(*names).agg(F.count("*").alias("n_duplicates")).filter("n_duplicates > 1")
-    top = groups.orderBy(F.col("n_duplicates").desc(), *order).limit(k)
-    if not any(is_string(f.dataType) for f in df.schema.fields):
-        return top.toDF(*df.columns, "n_duplicates")
-    keyed = df.select(*[col(c).alias(f"v{i}") for i, c in enumerate(df.columns)], *keys)
-    maps = {n for n, f in zip(names, df.schema.fields) if isinstance(f.dataType, T.MapType)}
-
-    def comparable(side: str, name: str) -> Column:
-        c = F.col(f"{side}.{name}")
-        return F.array_sort(F.map_entries(c)) if name in maps else c  # maps themselves cannot be compared
-
-    same = reduce(lambda a, b: a & b, [comparable("t", n).eqNullSafe(comparable("r", n)) for n in names])
-    rows = keyed.alias("r").join(F.broadcast(top.alias("t")), same)  # k rows at most
-    whole = rows.groupBy(*[comparable("t", n).alias(n) for n in names]).agg(
-        *[F.first(f"v{i}").alias(f"v{i}") for i in range(len(names))], F.first("n_duplicates").alias("n_duplicates")
-    )
-    return whole.select(*[F.col(f"v{i}").alias(c) for i, c in enumerate(df.columns)], "n_duplicates")
+    order = [
+        (compact_key(F.col(f"v{i}")) if is_string(f.dataType) else F.col(f"v{i}"))
+        for i, f in enumerate(df.schema.fields) if "map<" not in f.dataType.simpleString()
+    ]
+    top = repeated_groups(df).orderBy(F.col("cnt").desc(), *order).limit(k)
+    return top.toDF(*df.columns, "n_duplicates")
 
 
 # --- alerts -----------------------------------------------------------------

@@ -16,9 +16,9 @@ from insight_spark.functions.columns import (
     name_at,
     normalize_missing,
     per_column,
-    row_key,
 )
 from insight_spark.functions.datetimes import best_format
+from insight_spark.operators.duplicates import repeated_groups
 from insight_spark.operators.frequency import column_counts, top_values
 
 ID_RATIO = 0.9
@@ -73,13 +73,12 @@ def missing_top(df: DataFrame, k: int = 20) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of equal rows; missing equals missing.
 
-    Map-side counting folds repeated rows before the shuffle, so a large group of
-    copies costs one row per task. Long texts are compared by digest.
+    Rows are counted by a digest of fixed width, and only rows whose digest repeats by their whole
+    content (see `duplicates`); a large group of copies folds to one row per task in both shuffles.
     """
-    df = normalize_missing(df)
-    key = row_key(df)
-    groups = df.select(*key).groupBy(*[f"k{i}" for i in range(len(key))]).agg(F.count("*").alias("cnt"))
-    return groups.agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).alias("duplicate_rows"))
+    if not df.columns:
+        return df.agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("duplicate_rows"))
+    return repeated_groups(df).agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def shape(df: DataFrame) -> DataFrame:
