@@ -21,6 +21,7 @@ from insight_spark.functions.columns import (
     per_column,
 )
 from insight_spark.functions.tables import small_table
+from insight_spark.operators.gram import gram_sums
 from insight_spark.operators.quantiles import RANGE_STATS, exact_quantiles
 
 MAX_BINS = 30
@@ -161,24 +162,34 @@ def pair_moments(df: DataFrame, pairs: Sequence[tuple[int, int]], exprs: dict[in
 
     A first pass takes count, mean, min and max of every column, unless `moments`
     brings them. Values are then centred, which makes plain sums numerically safe, and one scan
-    reduces all pairs to sums, however many there are. Complete columns that fit into one aggregate need a sum
-    of products per pair only; others become rows (pair, a, b) that fold inside their task, so that
-    pairs times tasks is all that is shuffled.
+    reduces all pairs to sums, however many there are: complete columns that fit into one aggregate need a sum
+    of products per pair; others are multiplied block by block of columns (see `gram`).
     """
     used = sorted({p for pair in pairs for p in pair})
     own = moments
     if own is None:
-        stats = {k: MOMENTS[k] for k in ("rows", "n", "mean", "min", "max")}
-        own = {r.position: r for r in per_column(df, [(p, str(p), exprs[p]) for p in used], stats, fields=6).collect()}
-    z = df.select(*[(exprs[p] - F.lit(_centre(own[p]))).alias(f"z{p}") for p in used])
+        stats = {k: MOMENTS[k] for k in ("rows", "n", "mean", "min", "max", "low", "high")}
+        own = {r.position: r for r in per_column(df, [(p, str(p), exprs[p]) for p in used], stats, fields=8).collect()}
     products = sum(x != y for x, y in pairs)
     if all(own[p].n == own[p].rows for p in used) and products + 2 * len(used) <= AGG_FIELDS:
+        z = df.select(*[(exprs[p] - F.lit(_centre(own[p]))).alias(f"z{p}") for p in used])
         sums = _complete_sums(z, pairs, used, own)
     else:
-        sums = _folded_sums(z, pairs)
+        filled = [(x, y) for x, y in pairs if own[x].n and own[y].n]
+        sums = gram_sums(df, exprs, filled, {p: _frame(own[p]) for p in used}) if filled else {}
     return {pair: (_pearson(sums.get(pair), *pair), sums[pair]["n"] if pair in sums else 0) for pair in pairs}
 
 
+def _frame(row) -> tuple[float, float]:
+    """Centre and scale that bring the finite values of a column into -1 to 1 (a constant one to 0)."""
+    if row.low is None:
+        return 0.0, 1.0
+    mean = row.mean if row.mean is not None and math.isfinite(row.mean) else row.low / 2 + row.high / 2
+    centre = row.low if row.low == row.high else mean
+    reach = max(abs(row.low / 2 - centre / 2), abs(row.high / 2 - centre / 2))
+    return centre, max(reach, sys.float_info.min) * 2 if reach <= sys.float_info.max / 2 else reach
+
+
 def _complete_sums(z: DataFrame, pairs: Sequence[tuple[int, int]], used: Sequence[int], own: dict) -> dict:
     aggs = [F.sum(f"z{p}").alias(f"s_{p}") for p in used]
     aggs += [F.sum(F.col(f"z{x}") * F.col(f"z{y}")).alias(f"xy_{x}_{y}") for x, y in pairs if x != y]
@@ -194,32 +205,6 @@ def _complete_sums(z: DataFrame, pairs: Sequence[tuple[int, int]], used: Sequenc
     }
 
 
-def _folded_sums(z: DataFrame, pairs: Sequence[tuple[int, int]]) -> dict:
-    """Sums of every pair that has complete rows, one row per pair on the driver."""
-    cells = [
-        F.struct(F.lit(i).alias("pair"), F.col(f"z{x}").alias("a"), F.col(f"z{y}").alias("b"))
-        for i, (x, y) in enumerate(pairs)
-    ]
-    folded = (
-        z.select(F.inline(F.array(*cells)))
-        .filter("a is not null and b is not null")
-        .groupBy("pair")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(F.col("a") * F.col("b")).alias("xy"),
-            F.sum("a").alias("sx"),
-            F.sum("b").alias("sy"),
-            F.sum(F.col("a") * F.col("a")).alias("sxx"),
-            F.sum(F.col("b") * F.col("b")).alias("syy"),
-            F.min("a").alias("lox"),
-            F.max("a").alias("hix"),
-            F.min("b").alias("loy"),
-            F.max("b").alias("hiy"),
-        )
-    )
-    return {pairs[r.pair]: r.asDict() for r in folded.collect()}
-
-
 def _centre(row) -> float:
     """Mean of a column; its only value when it is constant."""
     if row.n == 0:
@@ -228,7 +213,7 @@ def _centre(row) -> float:
 
 
 def _pearson(sums: dict | None, x: int, y: int) -> float | None:
-    if sums is None or sums["n"] < 2 or sums["lox"] == sums["hix"] or sums["loy"] == sums["hiy"]:
+    if sums is None or sums["n"] < 2 or sums.get("infinite") or sums["lox"] == sums["hix"] or sums["loy"] == sums["hiy"]:
         return None
     n = sums["n"]
     spread_x = sums["sxx"] - sums["sx"] * sums["sx"] / n
