@@ -25,7 +25,8 @@ from insight_spark.functions.columns import (
 from insight_spark.functions.datetimes import as_timestamp
 from insight_spark.functions.tables import small_table
 from insight_spark.operators.duplicates import repeated_groups
-from insight_spark.operators.frequency import column_counts, top_values, typed_frequencies, value_frequencies
+from insight_spark.operators.extremes import edge_counts
+from insight_spark.operators.frequency import column_counts, top_values, value_family, value_frequencies
 from insight_spark.operators.numeric import (
     MOMENTS,
     TINY,
@@ -215,27 +216,31 @@ def extreme_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10
     """(column, side, rank, value, exact, cnt): the k smallest and largest values with counts.
 
     Values are told apart, ordered and counted in their own type: `exact` writes out integers and decimals, of which
-    the double in `value` may have lost digits; it is NULL for floating values.
+    the double in `value` may have lost digits; it is NULL for floating values. No frequency table is made: tasks
+    send their k outermost values, and only rows at or beyond the bounds these give are counted (see `extremes`).
     """
     df = normalize_missing(df)
-    fields = [f for _, f in numeric_fields(df, cols)]
-    if not fields:
-        return small_table(df.sparkSession, [], EXTREMES_SCHEMA)
-    numbers = df.select(*[
-        col(f.name).cast("int").alias(f.name) if isinstance(f.dataType, T.BooleanType) else col(f.name) for f in fields
-    ])
+    families: dict[str, tuple[T.DataType, list[T.StructField]]] = {}
+    for _, f in numeric_fields(df, cols):
+        kind = value_family(T.IntegerType() if isinstance(f.dataType, T.BooleanType) else f.dataType)
+        families.setdefault(kind.json(), (kind, []))[1].append(f)
     parts = []
-    for freq in typed_frequencies(numbers):
+    for kind, fields in families.values():
+        floating = isinstance(kind, T.DoubleType)
+        # adding zero makes one value of both zeros
+        numbers = [col(f.name).cast("int").cast(kind) if isinstance(f.dataType, T.BooleanType) else col(f.name).cast(kind)
+                   for f in fields]
+        counted = edge_counts(
+            df.select(*[(c + F.lit(0.0) if floating else c).alias(f"e{i}") for i, c in enumerate(numbers)]), k)
         value = F.col("value")
-        floating = isinstance(freq.schema["value"].dataType, T.DoubleType)
         exact = F.lit(None).cast("string") if floating else value.cast("string")
         for side, order in (("smallest", value.asc()), ("largest", value.desc())):
-            rank = F.row_number().over(Window.partitionBy("position").orderBy(order))
-            parts.append(freq.withColumn("rank", rank).filter(F.col("rank") <= k).select(
-                name_at(F.col("position"), numbers.columns).alias("column"), F.lit(side).alias("side"), "rank",
+            rank = F.row_number().over(Window.partitionBy("i").orderBy(order))
+            parts.append(counted.withColumn("rank", rank).filter(F.col("rank") <= k).select(
+                name_at(F.col("i"), [f.name for f in fields]).alias("column"), F.lit(side).alias("side"), "rank",
                 value.cast("double").alias("value"), exact.alias("exact"), "cnt",
             ))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else small_table(df.sparkSession, [], EXTREMES_SCHEMA)
 
 
 # --- values, text, dates, urls ----------------------------------------------

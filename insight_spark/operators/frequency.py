@@ -28,7 +28,7 @@ from insight_spark.functions.datetimes import DATETIME_FORMATS, format_hits
 from insight_spark.functions.tables import small_table
 
 
-def _family(dt: T.DataType) -> T.DataType:
+def value_family(dt: T.DataType) -> T.DataType:
     if isinstance(dt, INTEGRAL):
         return T.LongType()
     if isinstance(dt, FLOATING):
@@ -44,7 +44,7 @@ def typed_values(df: DataFrame, cols: Sequence[str] | None = None, compact: bool
     """One frame (position, value) per type family, missing values included."""
     families: dict[str, tuple[T.DataType, list]] = {}
     for position, field in fields_of(df, cols):
-        family = _family(field.dataType)
+        family = value_family(field.dataType)
         families.setdefault(family.json(), (family, []))[1].append((position, field))
     frames = []
     for family, members in families.values():
