@@ -24,6 +24,33 @@ def _union(parts: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _exact_summary() -> str:
+    """Order statistics by row number, interpolated and written out as decimals."""
+    columns = {
+        "key": "CAST(l_orderkey + 9007199254740992 AS DECIMAL(24, 2))",
+        "price": "CAST(CAST(l_extendedprice AS DECIMAL(20, 2)) + 1000000000000000 AS DECIMAL(24, 2))",
+        "l_linenumber": "CAST(l_linenumber AS DECIMAL(24, 2))",
+    }
+    shares = {"min": 0, "p5": 5, "p25": 25, "p50": 50, "p75": 75, "p95": 95, "max": 100}
+
+    def at(q: int) -> str:
+        low, high, part = f"(n - 1) * {q} // 100", f"((n - 1) * {q} + 99) // 100", f"(n - 1) * {q} % 100"
+        a, b = (f"max(CASE WHEN i = {x} THEN v END)" for x in (low, high))
+        return f"{a} + ({b} - {a}) * CAST(max({part}) AS DECIMAL(3, 0)) * CAST(0.01 AS DECIMAL(3, 2))"
+
+    placed = "SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM"
+    parts = []
+    for c, sql in columns.items():
+        values = f"(SELECT {sql} AS v FROM lineitem)"
+        found = ", ".join(f"{at(q)} AS \"{name}\"" for name, q in shares.items())
+        distances = f"(SELECT abs(v - (SELECT {at(50)} FROM ({placed} {values}))) AS v FROM {values})"
+        for name in (*shares, "mad"):
+            source = f"(SELECT {at(50)} AS mad FROM ({placed} {distances}))" if name == "mad" else f"(SELECT {found} FROM ({placed} {values}))"
+            parts.append(f"SELECT '{c}' AS \"column\", '{name}' AS statistic, "
+                         f"regexp_replace(CAST(\"{name}\" AS VARCHAR), '\\.?0+$', '') AS exact FROM {source}")
+    return _union(parts)
+
+
 def _per_column(table: str, columns, select: str, where: str = "") -> str:
     """One SELECT per column; {c} is the column, {p} its place in `columns`, {t} its type."""
     types = {c: t for cols in COLUMNS.values() for c, t in cols.items()}
@@ -815,6 +842,7 @@ def _deep_oracles() -> dict[str, str]:
         for c in ("key", "price")
         for side, order in (("smallest", "ASC"), ("largest", "DESC"))
     ]), typed="SELECT l_orderkey + 9007199254740992 AS key, CAST(l_extendedprice AS DECIMAL(20, 2)) AS price FROM lineitem")
+    out["exact_summary"] = _exact_summary()
     out["deep_text_length"] = _per_column(
         "documents", ["text", "lang"],
         "'{c}' AS \"column\", count({c}) AS count, min(length({c})) AS min, max(length({c})) AS max, "

@@ -673,6 +673,14 @@ def deep_extreme_values(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("exact")
 
 
+def exact_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Integers that doubles cannot tell apart and decimals, whole columns."""
+    line = table(spark, sf, "lineitem")
+    key = (F.col("l_orderkey") + F.lit(2**53)).alias("key")
+    price = (F.col("l_extendedprice").cast("decimal(20, 2)") + F.lit(10**15)).cast("decimal(24, 2)").alias("price")
+    return numeric.exact_summary(line.select(key, price, "l_linenumber"), probs=(0.05, 0.25, 0.5, 0.75, 0.95))
+
+
 def deep_extreme_integers(spark: SparkSession, sf: str) -> DataFrame:
     """Integers that doubles cannot tell apart, beside decimals."""
     line = table(spark, sf, "lineitem")
@@ -773,7 +781,7 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     csv_na_tokens, normalize_columns, normalize_missing_values, sanitize_json, chart_csv, write_profile,
     deep_overview, deep_variable_types, deep_numeric, deep_histogram, deep_common_values,
     deep_common_texts, deep_duplicate_texts,
-    deep_extreme_values, deep_extreme_integers, deep_text_length, deep_word_counts, deep_char_counts, deep_datetime, deep_datetime_text, deep_cramers_v_keys,
+    exact_summary, deep_extreme_values, deep_extreme_integers, deep_text_length, deep_word_counts, deep_char_counts, deep_datetime, deep_datetime_text, deep_cramers_v_keys,
     deep_datetime_histogram, deep_url_parts, deep_spearman, deep_cramers_v, deep_interactions,
     deep_nullity_corr, deep_nullity_patterns, deep_samples, deep_duplicate_groups, deep_alerts,
     deep_profile,

@@ -30,16 +30,18 @@ from insight_spark.operators.frequency import column_counts, top_values, value_f
 from insight_spark.operators.numeric import (
     MOMENTS,
     TINY,
+    as_float,
     bin_number,
     binned_counts,
     correlation_matrix,
     describe_fields,
+    median_distances,
     numeric_fields,
     pair_correlations,
     value_ranges,
 )
 from insight_spark.operators.profile import column_roles, duplicate_rows, sample_rows
-from insight_spark.operators.quantiles import RANGE_STATS, exact_quantiles
+from insight_spark.operators.quantiles import RANGE_STATS, exact_quantiles, typed_columns
 from insight_spark.operators.timeseries import detect_format
 from insight_spark.sources.scratch import ensure_checkpoint_dir
 
@@ -158,19 +160,19 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     basics = per_column(df, columns, stats | RANGE_STATS, fields=27).collect()
     unique = {r.position: r.n_unique for r in column_counts(df, [f.name for _, f in fields]).collect()}
     ranges = {r.position: r.asDict() for r in basics}
-    quantiles = exact_quantiles(df, [(p, c) for p, _, c in columns], [0.05, 0.25, 0.5, 0.75, 0.95], ranges)
-    spread = [(p, F.abs(c - F.lit(quantiles[p][2]))) for p, _, c in columns if quantiles[p][2] is not None]
-    mads = exact_quantiles(df, spread, [0.5]) if spread else {}
+    typed = typed_columns(fields)
+    quantiles = exact_quantiles(df, typed, [0.05, 0.25, 0.5, 0.75, 0.95], ranges)
+    mads = exact_quantiles(df, median_distances(typed, {p: q[2] for p, q in quantiles.items()}), [0.5])
     rows = []
     for r in basics:
         n = r.finite + r.neg_inf + r.pos_inf
-        p5, p25, p50, p75, p95 = quantiles[r.position]
+        p5, p25, p50, p75, p95 = map(as_float, quantiles[r.position])
         std = None if r.variance is None else math.sqrt(r.variance)
         rows.append((
             r.column, n, r.rows - n, unique[r.position], r.neg_inf + r.pos_inf, r.n_zeros, r.n_negative,
             r.mean, std, r.variance, std / r.mean if std is not None and r.mean else None,
             r.min, r.max, r.max - r.min if n else None, r.total, p5, p25, p50, p75, p95,
-            p75 - p25 if n else None, mads[r.position][0] if r.position in mads else None,
+            p75 - p25 if n else None, as_float(mads[r.position][0]) if r.position in mads else None,
             _sample_skewness(r.skewness, n, r.variance), _sample_kurtosis(r.kurtosis, n, r.variance),
         ))
     return small_table(df.sparkSession, rows, NUMERIC_SCHEMA)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Sequence
+from decimal import Decimal
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -22,7 +23,7 @@ from insight_spark.functions.columns import (
 )
 from insight_spark.functions.tables import small_table
 from insight_spark.operators.gram import gram_sums
-from insight_spark.operators.quantiles import RANGE_STATS, exact_quantiles
+from insight_spark.operators.quantiles import RANGE_STATS, exact_quantiles, range_basics, typed_columns
 
 MAX_BINS = 30
 
@@ -55,8 +56,8 @@ def describe_fields(df: DataFrame) -> list[tuple[int, T.StructField]]:
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """count, mean, std, min, quartiles (linear interpolation) and max per column.
 
-    Quartiles are exact by repeated binning (see `quantiles`); `exact=False` takes
-    Spark's sketch instead and needs a single pass.
+    Quartiles are exact (see `quantiles`) and found in the column's own type, rounded to a double at the end
+    (`exact_summary` has them in full); `exact=False` takes Spark's sketch instead and needs a single pass.
     """
     df = normalize_missing(df)
     fields = describe_fields(df) if cols is None else numeric_fields(df, cols)
@@ -78,11 +79,9 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
             "max",
         )
     basics = per_column(df, columns, stats | RANGE_STATS, fields=13).collect()
-    quantiles = exact_quantiles(
-        df, [(p, c) for p, _, c in columns], probs, {r.position: r.asDict() for r in basics}
-    )
+    quantiles = exact_quantiles(df, typed_columns(fields), probs, {r.position: r.asDict() for r in basics})
     rows = [
-        (r.column, r["count"], r["mean"], r["std"], r["min"], *quantiles[r.position], r["max"])
+        (r.column, r["count"], r["mean"], r["std"], r["min"], *map(as_float, quantiles[r.position]), r["max"])
         for r in basics
     ]
     schema = (
@@ -92,6 +91,59 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
     return small_table(df.sparkSession, rows, schema)
 
 
+def as_float(x) -> float | None:
+    return None if x is None else float(x)
+
+
+EXACT_SCHEMA = "column string, statistic string, exact string"
+
+
+def exact_summary(df: DataFrame, cols: Sequence[str] | None = None,
+                  probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(column, statistic, exact): min, quantiles (p25, ...), max and mad of columns of integers and decimals.
+
+    Values are written out in full, without trailing zeros after the point. `mad` is the median distance from the median. Columns of
+    floating values are left out, as doubles say them already; a column without values has NULLs.
+    """
+    df = normalize_missing(df)
+    fields = numeric_fields(df, cols)
+    kept = [(p, f, c, kind) for (p, f), (_, c, kind) in zip(fields, typed_columns(fields))
+            if not isinstance(kind, T.DoubleType)]
+    basics = range_basics(df, [(p, c) for p, _, c, _ in kept]) if kept else {}
+    found = exact_quantiles(df, [(p, c, kind) for p, _, c, kind in kept], [0.0, *probs, 1.0, 0.5], basics)
+    spread = median_distances([(p, c, kind) for p, _, c, kind in kept], {p: q[-1] for p, q in found.items()})
+    mads = exact_quantiles(df, spread, [0.5])
+    names = ["min", *(f"p{round(q * 100, 6):g}" for q in probs), "max"]
+    rows = [(f.name, name, written_out(x)) for p, f, _, _ in kept
+            for name, x in zip([*names, "mad"], [*found[p][:-1], mads[p][0] if p in mads else None])]
+    return small_table(df.sparkSession, rows, EXACT_SCHEMA)
+
+
+def written_out(x) -> str | None:
+    """All digits of an exact number, without trailing zeros after the point."""
+    if x is None:
+        return None
+    text = f"{x:f}" if isinstance(x, Decimal) else str(x)
+    return (text.rstrip("0").rstrip(".") if "." in text else text) or "0"
+
+
+def median_distances(cols: Sequence[tuple[int, Column, T.DataType]], medians: dict) -> list[tuple[int, Column, T.DataType]]:
+    """Distances from the median, in a decimal type that holds them; doubles where 38 digits do not."""
+    out = []
+    for p, c, kind in cols:
+        middle = medians[p]
+        if middle is None:
+            continue
+        digits, scale = (kind.precision, kind.scale) if isinstance(kind, T.DecimalType) else (19, 0)
+        if isinstance(kind, T.DoubleType) or digits + 2 > 38:
+            out.append((p, F.abs(c.cast("double") - F.lit(float(middle))), T.DoubleType()))
+        else:
+            wide = T.DecimalType(digits + 2, scale + 1)  # a median lies at most half a unit beside the values
+            distance = c.cast(wide) - F.lit(Decimal(middle)).cast(wide)
+            out.append((p, F.abs(distance).cast(wide), wide))
+    return out
+
+
 MOMENTS = {
     "rows": lambda c: F.count("*"),
     "n": F.count,
