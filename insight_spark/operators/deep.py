@@ -162,7 +162,10 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     ranges = {r.position: r.asDict() for r in basics}
     typed = typed_columns(fields)
     quantiles = exact_quantiles(df, typed, [0.05, 0.25, 0.5, 0.75, 0.95], ranges)
-    mads = exact_quantiles(df, median_distances(typed, {p: q[2] for p, q in quantiles.items()}), [0.5])
+    medians = {p: q[2] for p, q in quantiles.items()}
+    # halves of such integers are doubles; results are doubles anyway
+    plain = [p for p, r in ranges.items() if r["finite"] and max(abs(r["low"]), abs(r["high"])) < 2**51]
+    mads = exact_quantiles(df, median_distances(typed, medians, plain), [0.5])
     rows = []
     for r in basics:
         n = r.finite + r.neg_inf + r.pos_inf

@@ -127,15 +127,17 @@ def written_out(x) -> str | None:
     return (text.rstrip("0").rstrip(".") if "." in text else text) or "0"
 
 
-def median_distances(cols: Sequence[tuple[int, Column, T.DataType]], medians: dict) -> list[tuple[int, Column, T.DataType]]:
-    """Distances from the median, in a decimal type that holds them; doubles where 38 digits do not."""
+def median_distances(cols: Sequence[tuple[int, Column, T.DataType]], medians: dict,
+                     plain: Sequence[int] = ()) -> list[tuple[int, Column, T.DataType]]:
+    """Distances from the median, in a decimal type that holds them; doubles where 38 digits do not, and for the
+    positions in `plain`."""
     out = []
     for p, c, kind in cols:
         middle = medians[p]
         if middle is None:
             continue
         digits, scale = (kind.precision, kind.scale) if isinstance(kind, T.DecimalType) else (19, 0)
-        if isinstance(kind, T.DoubleType) or digits + 2 > 38:
+        if p in plain or isinstance(kind, T.DoubleType) or digits + 2 > 38:
             out.append((p, F.abs(c.cast("double") - F.lit(float(middle))), T.DoubleType()))
         else:
             wide = T.DecimalType(digits + 2, scale + 1)  # a median lies at most half a unit beside the values

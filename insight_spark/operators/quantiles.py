@@ -1,9 +1,9 @@
 """Exact quantiles of many columns, in their own types, in a fixed number of passes.
 
 A sketch of each column (mergeable, a few thousand numbers a task) gives a bracket of values for each wanted rank. Where
-a bracket may still hold many rows, a second pass cuts it by a sketch of what lies inside. The last pass counts the
+a bracket may still hold many rows, further passes cut it to about 1/256 by a sketch of what lies inside. The last pass counts the
 distinct values inside the brackets and the rows between them, folded in the task, so that running sums give the
-exact value at each rank: two passes, or three from some 10^8 rows on, however many columns and ranks there
+exact value at each rank: two passes, three from 10^8 rows on, four from 10^10, however many columns and ranks there
 are. Values are compared, counted and interpolated as they are: integers and decimals never become doubles but
 in the sketches, which see them as distances from the smallest value. A rank that a sketch has missed is looked for
 again in a wider bracket.
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from insight_spark.functions.columns import INTEGRAL, as_double, col, finite, per_column
 from insight_spark.functions.tables import small_table
 
-#: Accuracy of the sketches, rows of a bracket that need no second cut, and parts of a bracket in that cut.
-ACCURACY, PICK_ROWS, BINS = 10_000, 1 << 18, 1024
+#: Accuracy of the first sketches, rows of a bracket that need no cut, and parts of a bracket in a cut.
+ACCURACY, PICK_ROWS, BINS = 2000, 1 << 18, 1024
 #: Integers beyond this, and decimals of more digits, are measured from the smallest value of their column.
 EXACT_DOUBLE, EXACT_DIGITS = 2**53, 15
 
@@ -135,7 +135,7 @@ def _cut(df: DataFrame, numbers: dict[int, _Numbers], brackets: list[_Bracket])
         x = numbers[b.position]
         inside = _within(x, b)
         aggs += [F.count_if(finite_of(x) < _lit(x, b.low)).alias(f"b{i}"), F.count_if(inside).alias(f"n{i}"),
-                 F.percentile_approx(F.when(inside, x.measured), shares, ACCURACY).alias(f"q{i}")]
+                 F.percentile_approx(F.when(inside, x.measured), shares, 4 * BINS).alias(f"q{i}")]
     found = df.agg(*aggs).first()
     out = []
     for i, b in enumerate(brackets):
@@ -174,18 +174,19 @@ def _counted(df: DataFrame, numbers: dict[int, _Numbers], brackets: list[_Bracke
         by_kind.setdefault(numbers[p].kind.simpleString(), []).append(p)
     picked = None
     for own in by_kind.values():
-        cells, starts, wanted = [], [], []
+        starts = [(p, numbers[p].below) for p in own]
+        wanted, slots = [], []
         for p in own:
-            x, mine, v = numbers[p], [b for b in brackets if b.position == p], F.col(f"v{p}")
-            slot = F.lit(2 * len(mine))
-            value = F.lit(None).cast(x.kind)
-            for i, b in reversed(list(enumerate(mine))):
-                slot = F.when(v < _lit(x, b.low), 2 * i).when(v <= _lit(x, b.high), 2 * i + 1).otherwise(slot)
-                value = F.when(v.between(_lit(x, b.low), _lit(x, b.high)), v).otherwise(value)
+            x, v = numbers[p], F.col(f"v{p}")
+            slot = F.lit(0)
+            for i, b in enumerate(b for b in brackets if b.position == p):
+                slot = slot + (v >= _lit(x, b.low)).cast("int") + (v > _lit(x, b.high)).cast("int")
                 wanted += [(p, 2 * i + 1, r) for r in b.ranks]
-            cells.append(F.struct(F.lit(p).alias("position"), F.when(v.isNotNull(), slot).alias("slot"), value.alias("value")))
-            starts.append((p, x.below))
+            slots.append(slot.alias(f"s{p}"))
         values = df.select(*[finite_of(numbers[p]).alias(f"v{p}") for p in own])
+        values = values.select("*", *slots)  # NULL for a missing value, odd inside a bracket
+        cells = [F.struct(F.lit(p).alias("position"), F.col(f"s{p}").alias("slot"),
+                          F.when(F.col(f"s{p}") % 2 == 1, F.col(f"v{p}")).alias("value")) for p in own]
         counts = values.select(F.inline(F.array(*cells))).filter("slot IS NOT NULL").groupBy("position", "slot", "value").agg(
             F.count("*").alias("cnt"))
         # as many rows a column as its brackets hold distinct values
@@ -219,8 +220,10 @@ def order_statistics(df: DataFrame, numbers: dict[int, _Numbers], ranks: dict[in
     margin = 3 / ACCURACY
     while left:
         brackets = _sketched(df, numbers, left, margin)
-        if max(2 * margin * numbers[b.position].n * len(b.ranks) for b in brackets) > PICK_ROWS:
+        rows = max(2 * margin * numbers[b.position].n * len(b.ranks) for b in brackets)
+        while rows > PICK_ROWS:
             brackets = _cut(df, numbers, brackets)
+            rows *= 4 / BINS  # the part of a rank, its neighbours and the sketch's error
         found |= _counted(df, numbers, brackets)
         left = {p: rest for p, own in left.items() if (rest := {r for r in own if (p, r) not in found})}
         margin *= 16
