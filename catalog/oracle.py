@@ -331,6 +331,10 @@ def _time_oracles() -> dict[str, str]:
         ["orders_strdate"], "SELECT count(try_strptime(o_orderdate, '%Y-%m-%d')) AS n_points FROM orders_strdate"
     )
     out["daily_mean"] = _with(gaps, listed, d=daily)
+    out["daily_mean_offsets"] = (
+        "SELECT CAST(o_orderdate AS DATE) + CAST(o_orderkey % 2 AS INTEGER) AS day, round(avg(o_totalprice), 6) AS o_totalprice "
+        "FROM orders GROUP BY 1 HAVING avg(o_totalprice) IS NOT NULL"
+    )
     out["daily_mean_by_key"] = _with(
         gaps,
         "SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 6) AS value FROM events_gaps "
@@ -588,21 +592,43 @@ RELABELLED = """
 NORMAL = "CASE WHEN lower(severity) IN ('risk', 'warning', 'opportunity', 'info') THEN lower(severity) ELSE 'info' END"
 
 
+def _plan() -> str:
+    """The plan of every table out of the types its columns really have."""
+    typed = _union([
+        f"SELECT '{d}' AS dataset, {p} AS position, '{c}' AS c, typeof(any_value({c})) AS t FROM {d}"
+        for d in DATASET_SQL for p, c in enumerate(COLUMNS[d])
+    ])
+    rules = ", ".join(f"({i}, '{pack}', '{why}', '{role}')" for i, (pack, why, role) in enumerate(
+        [(pack, why, {None: "any", "string": "categorical", "timestamp_ntz": "datetime", "number": "numeric"}[kind])
+         for pack, why, kind in PACKS]))
+    return f"""
+    WITH typed AS ({typed}), kinds AS (
+        SELECT *, CASE WHEN t = 'VARCHAR' THEN 'categorical' WHEN t LIKE 'TIMESTAMP%' OR t = 'DATE' THEN 'datetime'
+                       WHEN t LIKE '%INT' OR t IN ('INTEGER', 'DOUBLE', 'FLOAT', 'BOOLEAN') OR t LIKE 'DECIMAL%' THEN 'numeric'
+                  END AS kind FROM typed
+    ), tables AS (
+        SELECT dataset, count(*) AS columns, coalesce(bool_or(kind = 'datetime'), false) AS dated,
+               coalesce(bool_or(kind IN ('numeric', 'categorical')), false) AS plain,
+               coalesce(list(c ORDER BY position) FILTER (kind = 'categorical'), []) AS categorical,
+               coalesce(list(c ORDER BY position) FILTER (kind = 'numeric'), []) AS numeric,
+               list(c ORDER BY position) FILTER (kind = 'datetime') AS datetime
+        FROM kinds GROUP BY dataset
+    ), rules(place, pack, why, role) AS (VALUES {rules})
+    SELECT CAST(row_number() OVER (PARTITION BY dataset ORDER BY place) AS INTEGER) AS step, pack, why,
+           CASE WHEN dated AND len(numeric) > 0 THEN 'timeseries' WHEN plain THEN 'tabular' ELSE 'unknown' END AS dataset_type,
+           CASE role WHEN 'any' THEN '{{}}' WHEN 'categorical' THEN CAST(to_json({{'cols': categorical}}) AS VARCHAR)
+                     WHEN 'numeric' THEN CAST(to_json({{'cols': numeric}}) AS VARCHAR)
+                     ELSE CAST(to_json({{'ts_col': datetime[1], 'cols': numeric}}) AS VARCHAR) END AS params,
+           'Rule-based plan over ' || columns || ' columns.' AS notes, dataset
+    FROM tables, rules
+    WHERE role = 'any' OR role = 'categorical' AND len(categorical) > 0 OR role = 'numeric' AND len(numeric) > 0
+       OR role = 'datetime' AND dated
+    """
+
+
 def _catalogue_oracles() -> dict[str, str]:
     out = {}
-    steps = []
-    for d in DATASET_SQL:
-        types = set(COLUMNS[d].values())
-        wanted = [
-            (pack, why) for pack, why, kind in PACKS
-            if kind is None or kind in types or (kind == "number" and types & set(NUMERIC))
-        ]
-        steps += [
-            f"({i}, '{pack}', '{why}', '{_kind(d)}', '{d}')" for i, (pack, why) in enumerate(wanted, start=1)
-        ]
-    out["analysis_plan"] = (
-        f"SELECT * FROM (VALUES {', '.join(steps)}) AS plan(step, pack, why, dataset_type, dataset)"
-    )
+    out["analysis_plan"] = _plan()
     out["pack_run_log"] = _catalogue(RUN_LOG)
     out["skipped_reasons"] = _catalogue(
         "SELECT dataset, pack || ': ' || detail AS reason FROM log WHERE status = 'skipped'", log=RUN_LOG

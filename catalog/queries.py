@@ -258,6 +258,13 @@ def daily_mean(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_event_days(spark, sf), "value")
 
 
+def daily_mean_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Order dates as instants with offsets: 23:00 five hours west of UTC is the next day there, 04:00 at UTC is not."""
+    day, odd = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 2 == 1
+    at = F.concat(day, F.when(odd, "T23:00:00-05:00").otherwise("T04:00:00+00:00")).alias("at")
+    return rounded(ts.daily_mean(table(spark, sf, "orders").select(at, "o_totalprice"), "at", ["o_totalprice"]), "o_totalprice")
+
+
 def daily_mean_by_key(spark: SparkSession, sf: str) -> DataFrame:
     out = ts.daily_mean(events_gaps(spark, sf), "ts", ["value"], keys=["event_type"])
     return rounded(out, "value")
@@ -323,7 +330,9 @@ def analysis_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run_logs(spark: SparkSession, sf: str) -> DataFrame:
-    return _union([packs.pack_run_log(p) for p in _profiles(spark, sf)])
+    """Logs of real runs: all packs of all tables, written and counted."""
+    logs = packs.for_tables(spark, packs.pack_run_log, _profiles(spark, sf))
+    return _union(logs).select("dataset", "pack", "status", "detail")
 
 
 def pack_run_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,7 +352,7 @@ def run_packs(spark: SparkSession, sf: str) -> DataFrame:
         {"pack": "forecast"},
         {"pack": "numeric"},
     ]
-    return packs.run_packs(p, steps)["run_log"]
+    return packs.run_packs(p, steps)["run_log"].select("dataset", "pack", "status", "detail")
 
 
 def _charts(spark: SparkSession, sf: str) -> DataFrame:
@@ -772,7 +781,7 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     numeric_usable_columns, numeric_basic_stats, corr_columns, variance_rank, correlation_matrix,
     numeric_histogram, sample_rows_n, hyp_missingness, hyp_category_dominance, hyp_correlation,
     verify_hypotheses, hypothesis_candidates, hypotheses_from_json, ts_valid_rows, ts_points, daily_mean, daily_mean_by_key,
-    daily_head, daily_tail, daily_head_by_key, daily_tail_by_key, daily_line, rolling_7d, trend_first_last, trend_insight, analysis_plan,
+    daily_mean_offsets, daily_head, daily_tail, daily_head_by_key, daily_tail_by_key, daily_line, rolling_7d, trend_first_last, trend_insight, analysis_plan,
     pack_run_log, skipped_reasons, run_packs, charts_normalize, charts_flatten, charts_top3_per_pack,
     charts_top12, charts_by_tag, insights_table, insights_normalize, insights_by_confidence,
     insights_by_confidence_asc, insights_by_severity, insights_by_severity_filter, data_quality_notes,

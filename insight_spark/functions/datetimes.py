@@ -34,11 +34,20 @@ DATETIME_FORMATS = (
 )
 
 
+#: A time with its distance from UTC at the end.
+OFFSET = r"\d[T ]\d{1,2}(:\d{1,2}(:\d{1,2}([.]\d+)?)?)? ?(Z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)$"
+
+
 def parse_string(c: Column, format_no: int) -> Column:
+    """The wall-clock time a text says; one with an offset from UTC is an instant, read in the session's time zone."""
     pattern, fmt = DATETIME_FORMATS[format_no]
     text = F.trim(c)
     if fmt is None:
-        parsed = text.try_cast("timestamp_ntz")
+        # the cast knows +05:30 but not +0530, and wants seconds before an offset
+        whole = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+        whole = F.regexp_replace(whole, r"([T ]\d{1,2}:\d{1,2})( ?(Z|UTC|GMT|[+-]\d.*))$", "$1:00$2")
+        instant = whole.try_cast("timestamp").cast("timestamp_ntz")
+        parsed = F.when(text.rlike(OFFSET), instant).otherwise(text.try_cast("timestamp_ntz"))
     else:
         parsed = F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
     return F.when(text.rlike(pattern), parsed)

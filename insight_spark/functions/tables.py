@@ -23,7 +23,14 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
         pa.array([_plain(v, f.dataType) for v in values], type=arrow.field(i).type)
         for i, (values, f) in enumerate(zip(columns, struct.fields))
     ]
-    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=struct)
+    table = spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=struct)
+    table.rows_at_hand = len(rows)
+    return table
+
+
+def rows_at_hand(df: DataFrame) -> int | None:
+    """Number of rows of a table made by `small_table`, whose rows need no computing; None of any other."""
+    return df.__dict__.get("rows_at_hand")
 
 
 def _plain(value, dt: T.DataType):

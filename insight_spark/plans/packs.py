@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from insight_spark.functions.columns import normalize_missing
-from insight_spark.functions.tables import small_table
+from insight_spark.functions.columns import col, normalize_missing
+from insight_spark.functions.tables import rows_at_hand, small_table
 from insight_spark.operators.categorical import categorical, ranked_values
 from insight_spark.operators.hypotheses import Evidence, corr_candidates
 from insight_spark.operators.numeric import column_moments, matrix_pairs, numeric, pair_correlations
@@ -25,6 +28,7 @@ from insight_spark.operators.profile import (
     sample_rows,
 )
 from insight_spark.operators.timeseries import kept_daily, timeseries
+from insight_spark.sources.scratch import scratch_dir
 
 # fixed values: pack, reason, role that must be present, at most three before numeric
 PACKS = (
@@ -34,7 +38,7 @@ PACKS = (
     ("numeric", "Numeric columns detected; show distributions and correlations.", "numeric"),
 )
 
-LOG_SCHEMA = "dataset string, pack string, status string, detail string"
+LOG_SCHEMA = "dataset string, pack string, status string, detail string, tables int, rows bigint"
 
 
 @dataclass
@@ -127,36 +131,43 @@ def profile_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> list[Ta
 
 
 def analysis_plan(roles: DataFrame) -> DataFrame:
-    """(step, pack, why, dataset_type): snapshot, then the packs whose role occurs."""
+    """(step, pack, why, dataset_type, params, notes): snapshot, then the packs whose role occurs.
+
+    `params` is the JSON of what a pack is run with: the columns of its role (`cols`), for the time series also
+    the first datetime column (`ts_col`). A step may be changed there before `run_packs` gets the plan.
+    """
     has = {r: F.coalesce(F.bool_or(r), F.lit(False)) for r in ("categorical", "datetime", "numeric")}
+
+    def of(role: str) -> Column:
+        found = F.array_sort(F.collect_list(F.when(F.col(role), F.struct("position", "column"))))
+        return F.transform(found, lambda x: x["column"])
+
+    params = {
+        None: F.lit("{}"), "categorical": F.to_json(F.struct(of("categorical").alias("cols"))),
+        "numeric": F.to_json(F.struct(of("numeric").alias("cols"))),
+        "datetime": F.to_json(F.struct(F.get(of("datetime"), 0).alias("ts_col"), of("numeric").alias("cols"))),
+    }
     steps = [
-        F.when(has[role] if role else F.lit(True), F.struct(F.lit(pack).alias("pack"), F.lit(why).alias("why")))
+        F.when(has[role] if role else F.lit(True),
+               F.struct(F.lit(pack).alias("pack"), F.lit(why).alias("why"), params[role].alias("params")))
         for pack, why, role in PACKS
     ]
     wanted = F.filter(F.array(*steps), lambda s: s.isNotNull())
-    one = roles.agg(wanted.alias("steps"), dataset_type_of(has).alias("dataset_type"))
-    rows = one.select(F.posexplode("steps").alias("at", "s"), "dataset_type")
-    return rows.select((F.col("at") + 1).alias("step"), "s.pack", "s.why", "dataset_type")
+    notes = F.concat(F.lit("Rule-based plan over "), F.count("*").cast("string"), F.lit(" columns."))
+    one = roles.agg(wanted.alias("steps"), dataset_type_of(has).alias("dataset_type"), notes.alias("notes"))
+    rows = one.select(F.posexplode("steps").alias("at", "s"), "dataset_type", "notes")
+    return rows.select((F.col("at") + 1).alias("step"), "s.pack", "s.why", "dataset_type", "s.params", "notes")
 
 
-def pack_run_log(profile: TableProfile, packs: Sequence[str] | None = None,
-                 errors: dict[str, str] | None = None) -> DataFrame:
-    """(dataset, pack, status, detail): done, or skipped with the reason."""
-    return small_table(profile.df.sparkSession, _log(profile, packs, errors or {}), LOG_SCHEMA)
+def pack_run_log(profile: TableProfile, packs: Sequence[str] | None = None, path: str | None = None) -> DataFrame:
+    """(dataset, pack, status, detail, tables, rows) of a run of the named packs, by default the planned ones."""
+    return run_packs(profile, [{"pack": p} for p in (planned_packs(profile) if packs is None else packs)], path=path)["run_log"]
 
 
 def planned_packs(profile: TableProfile) -> list[str]:
     return [pack for pack, _, role in PACKS if role is None or profile.with_role(role)]
 
 
-def _log(profile: TableProfile, packs: Sequence[str] | None, errors: dict[str, str]) -> list[tuple]:
-    rows = []
-    for pack in planned_packs(profile) if packs is None else packs:
-        reason = f"Error: {errors[pack]}" if pack in errors else skip_reason(profile, pack)
-        rows.append((profile.dataset, pack, "skipped" if reason else "done", reason or "OK"))
-    return rows
-
-
 def skip_reason(profile: TableProfile, pack: str) -> str | None:
     numeric_cols = profile.with_role("numeric")
     first = profile.first_datetime
@@ -190,48 +201,88 @@ def run_errors(run_log: DataFrame) -> DataFrame:
 
 
 def run_packs(table: TableProfile | DataFrame, plan: DataFrame | Sequence[dict] | None = None,
-              order_by: Sequence[str] | None = None) -> dict:
-    """Run the packs of a plan in order; a failing pack does not stop the next one.
-
-    A plan is a list of steps {pack, params}, or the table of `analysis_plan`. The
-    result maps each pack to its tables, plus `run_log`. The time-series pack takes
-    the parameters ts_col, cols, keys and value; all packs run with defaults.
+              order_by: Sequence[str] | None = None, path: str | None = None) -> dict:
+    """Run the packs of a plan in order and write their tables; a failing pack does not stop the next one.
+
+    A plan is a list of steps {pack, params}, or the table of `analysis_plan`. The result maps each pack to its
+    tables, read back from below `path`, plus `run_log`. Without a path, tables that still have to be computed go
+    to a new folder in the session's shared one, and those whose few rows are at hand stay as they are. The log is
+    (dataset, pack, status, detail, tables, rows), filled in after the write of a pack's last table, so that a
+    pack which fails only when its rows are computed is logged with its error and gives no tables.
+    Parameters are a dict or its JSON: `cols` of the categorical and numeric packs, ts_col, cols, keys and value
+    of the time series; all packs run with defaults.
     """
     profile = table_profile(table) if isinstance(table, DataFrame) else table
+    spark = profile.df.sparkSession
     if plan is None:
         steps: list[dict] = [{"pack": p} for p in planned_packs(profile)]
     elif isinstance(plan, DataFrame):
-        steps = [{"pack": r.pack} for r in plan.orderBy("step").collect()]  # at most four rows
+        steps = [r.asDict() for r in plan.orderBy("step").collect()]  # at most four rows
     else:
         steps = [s for s in plan if s.get("pack")]
+    base = path or scratch_dir(spark)
     results: dict = {}
-    errors: dict[str, str] = {}
+    log: dict[str, tuple] = {}
     for step in steps:
         pack = step["pack"]
         try:
-            results[pack] = _run(profile, pack, step.get("params") or {}, order_by)
+            tables = _run(profile, pack, _params(step.get("params")), order_by)
+            written = for_tables(
+                spark, lambda t: _kept(t[1], None if path else rows_at_hand(t[1]), f"{base}/{uuid.uuid4().hex}-{t[0]}"),
+                list(tables.items()))
         except Exception as e:  # noqa: BLE001 - a pack may fail in any way, the next one still runs
-            errors[pack] = str(e)
-    done = list(dict.fromkeys(s["pack"] for s in steps))
-    results["run_log"] = pack_run_log(profile, done, errors)
+            results.pop(pack, None)
+            log[pack] = (profile.dataset, pack, "skipped", f"Error: {_reason(e)}", 0, None)
+            continue
+        results[pack] = {name: df for name, (df, _) in zip(tables, written)}
+        skipped = results[pack]["skip"].first() if "skip" in tables else None
+        status, detail = ("skipped", skipped.skipped) if skipped else ("done", "OK")
+        log[pack] = (profile.dataset, pack, status, detail, len(written), sum(n for _, n in written))
+    results["run_log"] = small_table(spark, list(log.values()), LOG_SCHEMA)
     return results
 
 
+def _params(given: dict | str | None) -> dict:
+    return json.loads(given) if isinstance(given, str) else given or {}
+
+
+def _kept(df: DataFrame, at_hand: int | None, path: str) -> tuple[DataFrame, int]:
+    """The table and its rows; it is written as Parquet, counted on the way and read back, unless its rows are at hand."""
+    if at_hand is not None:
+        return df, at_hand
+    plain = df.select(*[
+        (col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, (T.NullType, T.CalendarIntervalType)) else col(f.name))
+        for f in df.schema.fields
+    ])
+    seen = Observation()
+    plain.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path), seen.get["rows"]
+
+
+def _reason(error: Exception) -> str:
+    """First line of an error's message."""
+    return next(iter(str(error).strip().splitlines()), type(error).__name__)
+
+
 def _run(profile: TableProfile, pack: str, params: dict, order_by: Sequence[str] | None) -> dict[str, DataFrame]:
     df = profile.df
     if pack == "snapshot":
         return _snapshot(profile, order_by)
-    if skip_reason(profile, pack) is not None:
-        return {}
+    reason = skip_reason(profile, pack)
+    if reason is not None:
+        return {"skip": small_table(df.sparkSession, [(pack, reason)], "pack string, skipped string")}
     if pack == "categorical":
-        return categorical(df, profile.with_role("categorical"), profile.top_values)
+        cols = params.get("cols", profile.with_role("categorical"))
+        known = [r for r in profile.top_values if r.column in cols]
+        return categorical(df, cols, known if set(cols) <= set(profile.with_role("categorical")) else None)
     if pack == "timeseries":
         first = profile.first_datetime
-        given = {"ts_col": first.column, "cols": profile.with_role("numeric"), "format_no": first.format_no, **params}
-        return timeseries(df, **given)
-    return numeric(
-        df, profile.with_role("numeric"), profile.with_role("id_like"), profile.moments, profile.correlations
-    )
+        given = {"ts_col": first.column, "cols": profile.with_role("numeric"), **params}
+        return timeseries(df, **given, format_no=first.format_no if given["ts_col"] == first.column else None)
+    cols = params.get("cols", profile.with_role("numeric"))
+    known = cols == profile.with_role("numeric")
+    return numeric(df, cols, profile.with_role("id_like"), profile.moments if known else None,
+                   profile.correlations if known else None)
 
 
 def _snapshot(profile: TableProfile, order_by: Sequence[str] | None) -> dict[str, DataFrame]:

@@ -106,6 +106,37 @@ def test_failing_pack_does_not_stop_the_next(spark, rows):
     assert rows(packs.skipped_reasons(out["run_log"])) == [("d", "timeseries: Error: Column 's' is not numeric.")]
 
 
+def test_a_pack_that_fails_when_read_is_logged(spark, rows):
+    """The table can be planned and profiled; one of its values cannot be read any more when the packs run."""
+    good = spark.createDataFrame([(i % 7, f"c{i % 3}", None if i == 3 else 1) for i in range(50)], "a int, s string, b int")
+    roles = packs.table_profile(good, "d").columns
+    broken = good.withColumn("b", F.when(F.col("a") == 5, F.raise_error(F.lit("unreadable block")).cast("int")).otherwise(F.col("b")))
+    out = packs.run_packs(packs.TableProfile("d", broken, roles))
+    log = {r.pack: r for r in out["run_log"].collect()}
+    assert set(out) == {"categorical", "run_log"}
+    for pack in ("snapshot", "numeric"):
+        assert log[pack].status == "skipped" and log[pack].rows is None and "unreadable block" in log[pack].detail
+    assert (log["categorical"].status, log["categorical"].detail) == ("done", "OK")
+    errors = [r.error for r in packs.run_errors(out["run_log"]).collect()]
+    assert sorted(e[:20] for e in errors) == ["pack_error[numeric]:", "pack_error[snapshot]"]
+
+
+def test_log_counts_what_was_written(spark, tmp_path):
+    profile = profile_of(spark, [(DAY, 1.0 * i, "x") for i in range(5)], "t timestamp, a double, s string")
+    out = packs.run_packs(profile, path=str(tmp_path / "run"))
+    for r in out["run_log"].collect():
+        tables = out[r.pack]
+        assert (r.tables, r.rows) == (len(tables), sum(t.count() for t in tables.values()))
+        assert all("FileScan" in t._jdf.queryExecution().executedPlan().toString() for t in tables.values() if t.columns)
+    assert (tmp_path / "run").is_dir()
+
+
+def test_tables_of_odd_types_are_written(spark):
+    df = spark.sql("SELECT NULL AS nothing, make_interval(1, 2) AS span, map('a', 1) AS m, 1 AS i, 'x' AS `a b.c`")
+    log = packs.run_packs(packs.TableProfile("d", df, packs.table_profile(df.drop("span", "nothing"), "d").columns))["run_log"]
+    assert {r.pack: r.detail for r in log.collect()}["snapshot"] == "No missing values."
+
+
 def test_run_packs_from_the_plan_table(spark):
     profile = profile_of(spark, [(DAY, 1.0 * i, "x") for i in range(5)], "t timestamp, a double, s string")
     out = packs.run_packs(profile, packs.analysis_plan(profile.roles))

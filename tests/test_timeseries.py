@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from insight_spark.functions.columns import clamp01, safe_name, significant
+from insight_spark.operators import deep, profile
 from insight_spark.operators import timeseries as ts
 
 
@@ -108,3 +109,13 @@ def test_small_functions(spark):
         clamp01(F.lit(-2.0)).alias("lo"), safe_name(F.lit("a b/c")).alias("name"),
     ).first()
     assert tuple(r) == ("nan", "-inf", None, 1.0, 0.0, "a_b_c")
+
+
+def test_instants_with_offsets_fall_on_one_day(spark):
+    """One instant said in two ways, in daily means, ranges and roles."""
+    texts = ["2024-01-01T23:00:00-05:00", "2024-01-02T04:00:00+00:00", "2024-01-02T04:00Z", "2024-01-02T09:30:00+0530", "2024-01-02 04:00:00"]
+    df = spark.createDataFrame([(t, 1.0) for t in texts], "t string, v double")
+    assert [(str(r.day), r.v) for r in ts.daily_mean(df, "t", ["v"]).collect()] == [("2024-01-02", 1.0)]
+    found = deep.datetime_range(df, ["t"]).first()
+    assert str(found["min"]) == str(found["max"]) and str(found["min"]).startswith("2024-01-02")
+    assert [r.datetime for r in profile.column_roles(df).orderBy("position").collect()] == [True, False]
