@@ -36,7 +36,7 @@ LEAST, MOST_WORDS, TOP, SCALE = 30, 4, 2000, 2_000_000
 #: Bits of the bitmaps that tell tasks which words and prefixes count: 2 MB each, whatever the size of the corpus.
 FILTER_BITS = 1 << 24
 #: Bytes of text that a task tokenises at once.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 
 _CLASSES = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c in b" \t" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -77,6 +77,13 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
             yield lang, block
 
 
+def _sent(columns: list, names: list[str], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Columns as batches of few rows, so that neither side of the pipe holds many at once."""
+    batch = pa.RecordBatch.from_arrays(columns, names)
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _hashes(words: list[bytes], seed: int) -> np.ndarray:
     import xxhash
 
@@ -133,7 +140,7 @@ def _word_counts(texts: DataFrame, seed: int) -> DataFrame:
             for lang, block in _by_lang(b):
                 words, codes, _ = tokenize(block)
                 n = np.bincount(codes, minlength=len(words))
-                yield pa.RecordBatch.from_arrays(
+                yield from _sent(
                     [pa.repeat(lang, len(words)), pa.array(_hashes(words, seed)), pa.array(words, pa.binary()), pa.array(n)],
                     ["lang", "w1", "word", "a"])
 
@@ -154,7 +161,7 @@ def _pair_counts(texts: DataFrame, words: Filter, seed: int) -> DataFrame:
                 often = words.has(lang, h)[codes]
                 at = np.flatnonzero(joined[:-1] & often[:-1] & often[1:])
                 key, n = np.unique(codes[at] * len(distinct) + codes[at + 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
+                yield from _sent(
                     [pa.repeat(lang, len(key)), pa.array(h[key // len(distinct)]), pa.array(h[key % len(distinct)]), pa.array(n)],
                     ["lang", "w1", "w2", "a"])
 
