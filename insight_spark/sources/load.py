@@ -200,23 +200,37 @@ def _fits(c: Column, look_for: str | None) -> Column:
 # --- JSON -------------------------------------------------------------------
 
 
+def _broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.schema(T.StructType([T.StructField("value", T.StringType())])).text(path)
+    return lines.filter((F.trim("value") != "") & F.try_parse_json("value").isNull())
+
+
+def _raise_if_lines(spark: SparkSession, path: str, broken: DataFrame) -> str:
+    """The first line of a document; where it is an object of its own the others should be, too."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first().value
+    if _is_object(first):
+        raise ValueError(f"{broken.count()} lines are not JSON: {path}")
+    return first
+
+
 def _read_json(spark: SparkSession, path: str, schema) -> DataFrame:
     """JSON Lines; files whose first line is not a whole object hold one document each and are read as a whole.
 
-    A broken line among others raises ValueError. A .json file of a single line may also hold whole columns.
+    A broken line among others raises ValueError, with a given schema as well. A .json file of a single line may
+    also hold whole columns.
     """
     if schema is not None:
-        return spark.read.schema(schema).json(path)
+        broken = _broken_lines(spark, path)
+        if broken.isEmpty():
+            return spark.read.schema(schema).json(path)
+        _raise_if_lines(spark, path, broken)
+        return spark.read.schema(schema).json(path, multiLine=True)
     reader = spark.read.option("columnNameOfCorruptRecord", BROKEN)
     df = reader.json(path)
     if BROKEN not in df.columns:
-        alone = path.lower().endswith(".json") and len(df.limit(2).collect()) == 1
+        alone = path.lower().endswith(".json") and df.limit(2).count() == 1
         return _from_columns(df) if alone else df
-    first = spark.read.text(path).filter(F.trim("value") != "").first().value
-    if _is_object(first):
-        broken = spark.read.schema(T.StructType([T.StructField("value", T.StringType())])).text(path)
-        broken = broken.filter((F.trim("value") != "") & F.try_parse_json("value").isNull())
-        raise ValueError(f"{broken.count()} lines are not JSON: {path}")
+    first = _raise_if_lines(spark, path, _broken_lines(spark, path))
     document = reader.json(path, multiLine=True)
     if BROKEN in document.columns:
         raise ValueError(f"Not valid JSON: {path}")

@@ -214,3 +214,18 @@ def test_json_columns_on_one_line_or_many(spark, tmp_path, rows):
     labelled = {"a": {str(i): i for i in range(300)}, "b": {str(i): f"v{i}" for i in range(300)}}
     got = load_table(spark, _write(tmp_path, "labels.json", json.dumps(labelled)))
     assert sorted(tuple(r) for r in got.collect()) == [(i, f"v{i}") for i in range(300)]
+
+
+def test_broken_json_line_with_a_schema(spark, tmp_path):
+    path = tmp_path / "t.jsonl"
+    path.write_text('{"a": 1}\n\n{bad\n{"a": 2}\n')
+    with pytest.raises(ValueError, match="1 lines are not JSON"):
+        load_table(spark, str(path), schema="a int")
+    path.write_text('{"a": 1}\n\n{"a": "x"}\n')
+    assert sorted((r.a for r in load_table(spark, str(path), schema="a int").collect()), key=repr) == [1, None]
+
+
+def test_json_document_with_a_schema(spark, tmp_path):
+    path = tmp_path / "t.json"
+    path.write_text('[\n  {"a": 1},\n  {"a": 2}\n]\n')
+    assert sorted(r.a for r in load_table(spark, str(path), schema="a int").collect()) == [1, 2]
