@@ -466,14 +466,14 @@ def overview_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_markdown_lines(spark: SparkSession, sf: str) -> DataFrame:
-    profiles = packs.profile_tables(spark, {d: DATASETS[d](spark, sf) for d in ("orders", "customer")})
+    profiles = _profiles(spark, sf)
     logs = packs.for_tables(spark, lambda p: packs.run_packs(p)["run_log"], profiles)
     found = packs.for_tables(spark, insights.insights_table, profiles)
     errors = _union([packs.run_errors(log) for log in logs])
     overview = _union([
         insights.overview_metrics(p, i, errors) for p, i in zip(profiles, found)
     ])
-    notes = _union([insights.data_quality_notes(p) for p in profiles])
+    notes = _union(packs.for_tables(spark, insights.data_quality_notes, profiles))
     return report.report_lines(overview, _union(found), notes, errors)
 
 
