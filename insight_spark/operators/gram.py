@@ -13,7 +13,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 #: Columns of one block, and rows of a batch multiplied at once.
 BLOCK, ROWS = 64, 8192
