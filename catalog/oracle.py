@@ -136,6 +136,13 @@ def _profile_oracles() -> dict[str, str]:
         + " AS datetime FROM orders_strdate HAVING count(*) >= 0"
         for c, t in COLUMNS["orders"].items()
     ]))
+    first = "(SELECT {c} FROM orders_strdate WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 50)"
+    out["datetime_roles_probe"] = _with(["orders_strdate"], _union([
+        f"SELECT '{c}' AS \"column\", "
+        + (parsed.format(c=c) if t == "string" or c == "o_orderdate" else "false")
+        + f" AS datetime FROM {first.format(c=c)} HAVING count(*) >= 0"
+        for c, t in COLUMNS["orders"].items()
+    ]))
     unique = "'{c}' AS \"column\", count(DISTINCT {c}) AS n_unique, count(*) AS n_rows"
     out["id_like_columns"] = _with(
         [], 'SELECT * FROM u WHERE n_unique > 20 AND n_unique / greatest(n_rows, 1) > 0.9',

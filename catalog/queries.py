@@ -95,6 +95,11 @@ def datetime_roles(spark: SparkSession, sf: str) -> DataFrame:
     return profile.datetime_roles(orders_strdate(spark, sf))
 
 
+def datetime_roles_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """Roles by the first 50 values of each column, in order of the key."""
+    return profile.datetime_roles(orders_strdate(spark, sf), probe=50, order_by=["o_orderkey"])
+
+
 def id_like_columns(spark: SparkSession, sf: str) -> DataFrame:
     return profile.id_like_columns(table(spark, sf, "customer"))
 
@@ -106,7 +111,7 @@ def id_like_categorical(spark: SparkSession, sf: str) -> DataFrame:
 def dataset_type(spark: SparkSession, sf: str) -> DataFrame:
     parts = []
     for name, make in DATASETS.items():
-        kind = profile.dataset_type(profile.column_roles(make(spark, sf)))
+        kind = profile.dataset_type(profile.kind_roles(make(spark, sf)))
         parts.append(kind.select(F.lit(name).alias("dataset"), "dataset_type"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -324,7 +329,7 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def analysis_plan(spark: SparkSession, sf: str) -> DataFrame:
     plans = []
     for name, make in DATASETS.items():
-        plan = packs.analysis_plan(profile.column_roles(make(spark, sf)))
+        plan = packs.analysis_plan(profile.kind_roles(make(spark, sf)))
         plans.append(plan.withColumn("dataset", F.lit(name)))
     return _union(plans)
 
@@ -775,7 +780,7 @@ def deep_profile(spark: SparkSession, sf: str) -> DataFrame:
 REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     schema_profile, missing_by_column, missing_top20, missing_total, shape, duplicate_rows,
     duplicate_rows_text, n_unique, n_unique_text, n_unique_approx, value_frequencies, column_roles,
-    datetime_roles, id_like_columns, id_like_categorical, dataset_type, top_categoricals,
+    datetime_roles, datetime_roles_probe, id_like_columns, id_like_categorical, dataset_type, top_categoricals,
     numeric_summary, sample_rows, snapshot_skip, categorical_top10, categorical_id_insights,
     categorical_chart_columns, categorical_distribution, categorical_summary, categorical_notes,
     numeric_usable_columns, numeric_basic_stats, corr_columns, variance_rank, correlation_matrix,

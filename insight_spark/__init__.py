@@ -10,6 +10,7 @@ from insight_spark.operators.profile import (
     column_roles,
     dataset_type,
     duplicate_rows,
+    kind_roles,
     missing_total,
     schema_profile,
     snapshot,
@@ -40,7 +41,7 @@ __all__ = [
     "analysis_plan", "categorical", "chart_entries", "charts_by_tag", "charts_cap", "charts_flatten",
     "charts_normalize", "column_roles", "compare", "correlation_matrix", "data_quality_notes", "dataset_type",
     "deep_profile", "duplicate_rows", "hypotheses_from_json", "hypothesis_candidates", "insights_filter",
-    "insights_normalize", "insights_sort", "insights_table", "load_table", "missing_total", "n_unique", "numeric",
+    "insights_normalize", "insights_sort", "insights_table", "kind_roles", "load_table", "missing_total", "n_unique", "numeric",
     "numeric_histogram", "numeric_summary", "overview_metrics", "profile_tables", "report_lines", "run_errors",
     "run_packs", "schema_profile", "snapshot", "table_profile", "timeseries", "to_report_json", "top_categoricals",
     "top_values", "value_frequencies", "verify_hypotheses", "write_chart_csv", "write_profile", "write_report_lines",

@@ -70,6 +70,14 @@ def best_format(hits: Column, non_null: Column) -> Column:
     return choice
 
 
+def aggregated_format(c: Column) -> Column:
+    """`best_format` of a column of texts, as one aggregate of fixed width."""
+    choice = F.when(F.lit(False), F.lit(None))
+    for i in range(len(DATETIME_FORMATS)):
+        choice = choice.when(F.count(parse_string(c, i)) > F.count(c) * PARSE_SHARE, F.lit(i))
+    return choice
+
+
 def choose_format(hits: Sequence[int], non_null: int) -> int | None:
     """The format a column is read with: the one `best_format` names; below the share, where only a caller who
     names the column gets here, the one with most hits."""

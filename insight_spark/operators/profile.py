@@ -17,7 +17,8 @@ from insight_spark.functions.columns import (
     normalize_missing,
     per_column,
 )
-from insight_spark.functions.datetimes import best_format
+from insight_spark.functions.datetimes import DATETIME_FORMATS, aggregated_format, best_format
+from insight_spark.functions.tables import small_table
 from insight_spark.operators.duplicates import repeated_groups
 from insight_spark.operators.frequency import column_counts, top_values
 
@@ -162,9 +163,37 @@ def roles_of(df: DataFrame, counts: DataFrame) -> DataFrame:
     return described
 
 
-def datetime_roles(df: DataFrame) -> DataFrame:
+def kind_roles(df: DataFrame, probe: int | None = None, order_by: Sequence[str] | None = None) -> DataFrame:
+    """(column, position, dtype, numeric, categorical, datetime, format_no): the roles that need no distinct counts.
+
+    The schema decides all but string columns, and only those are read: each folds to its number of values and of
+    those that each datetime format parses, a fixed width per task. With `probe` and `order_by` only the first
+    `probe` non-missing values of a column count.
+    """
+    found = [
+        (f.name, position, f.dataType.simpleString(), is_numeric(f.dataType), False, is_datetime(f.dataType), None)
+        for position, f in fields_of(df) if not is_string(f.dataType)
+    ]
+    kinds = "column string, position int, dtype string, numeric boolean, categorical boolean, datetime boolean, format_no int"
+    out = small_table(df.sparkSession, found, kinds)
+    texts = [(position, f.name) for position, f in fields_of(df) if is_string(f.dataType)]
+    types = [f.dataType.simpleString() for f in df.schema.fields]
+    if probe and order_by:
+        first = [(df.filter(col(n).isNotNull()).orderBy(*map(col, order_by)).limit(probe), [(p, n)]) for p, n in texts]
+    else:
+        first = [(df, texts)] if texts else []
+    stats = {"format_no": lambda c: aggregated_format(c).cast("int")}
+    for rows, wanted in first:
+        dated = per_column(rows, [(p, n, col(n)) for p, n in wanted], stats, fields=len(DATETIME_FORMATS) + 1)
+        out = out.unionByName(dated.select(
+            "column", "position", name_at(F.col("position"), types).alias("dtype"), F.lit(False).alias("numeric"),
+            F.col("format_no").isNull().alias("categorical"), F.col("format_no").isNotNull().alias("datetime"), "format_no"))
+    return out
+
+
+def datetime_roles(df: DataFrame, probe: int | None = None, order_by: Sequence[str] | None = None) -> DataFrame:
     """(column, datetime) for every column."""
-    return column_roles(df).select("column", "datetime")
+    return kind_roles(df, probe, order_by).select("column", "datetime")
 
 
 def id_like_columns(df: DataFrame) -> DataFrame:

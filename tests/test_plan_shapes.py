@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog.inputs import lineitem_nulls, table
 from insight_spark.operators import categorical, deep, numeric, profile, timeseries
 from insight_spark.operators.frequency import top_values
+from insight_spark.plans import packs
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,3 +114,11 @@ def test_spearman_folds_before_a_shuffle_join(spark, monkeypatch):
     plan = plan_of(found)
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan or "BroadcastHashJoin" in plan
     assert plan.count("partial_count(1)") >= 1
+
+
+def test_the_plan_reads_and_shuffles_no_numeric_column(spark):
+    for name in ("lineitem", "orders"):
+        plan = plan_of(packs.analysis_plan(profile.kind_roles(table(spark, SF, name))))
+        read = ",".join(line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema: " in line)
+        assert "string" in read and "bigint" not in read and "double" not in read
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan

@@ -181,3 +181,19 @@ def test_normalize_missing_keeps_types(spark):
     df = spark.createDataFrame([(NAN, NAN, 1)], "f float, d double, i int")
     clean = normalize_missing(df)
     assert clean.dtypes == df.dtypes and tuple(clean.first()) == (None, None, 1)
+
+
+def test_kinds_are_those_of_the_whole_roles(spark):
+    df = spark.sql("""SELECT id, CAST(id AS string) AS s, date_format(timestamp'2024-01-01' + make_interval(0, 0, 0, id), 'yyyy-MM-dd') AS d,
+        CAST(NULL AS string) AS n, current_date() AS t, id > 3 AS b, array(id) AS a, CASE WHEN id < 6 THEN 'x' ELSE '2024/1/2' END AS m
+        FROM range(10) AS r(id)""")
+    kinds = ["column", "position", "dtype", "numeric", "categorical", "datetime", "format_no"]
+
+    def sort(t):
+        return sorted((tuple(r) for r in t.select(*kinds).collect()), key=lambda r: r[1])
+
+    assert sort(profile.kind_roles(df)) == sort(profile.column_roles(df))
+    empty = df.filter("id < 0")
+    assert sort(profile.kind_roles(empty)) == sort(profile.column_roles(empty))
+    numbers = df.select("id", "b")
+    assert sort(profile.kind_roles(numbers)) == sort(profile.column_roles(numbers))
