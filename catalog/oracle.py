@@ -760,6 +760,11 @@ def _source_oracles() -> dict[str, str]:
         "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n, lang FROM documents")
     out["scan_jsonl"] = "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer"
     out["scan_json_document"] = "SELECT * REPLACE (CAST(s_nationkey AS BIGINT) AS s_nationkey) FROM supplier"
+    out["scan_json_columns"] = "SELECT * REPLACE (CAST(s_nationkey AS BIGINT) AS s_nationkey) FROM supplier"
+    out["scan_jsonl_bad_line"] = "SELECT count(*) || ' lines' AS broken FROM customer WHERE c_custkey % 7 = 3"
+    out["scan_csv_mixed_headers"] = (
+        "SELECT CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE n_regionkey END AS BIGINT) AS a, "
+        "CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey ELSE n_nationkey END AS BIGINT) AS b FROM nation")
     out["csv_na_tokens"] = _with(
         ["lineitem_nulls"],
         "SELECT 'bigint' AS type_l_orderkey, 'bigint' AS type_l_linenumber, 'double' AS type_l_tax, "

@@ -577,6 +577,45 @@ def scan_json_document(spark: SparkSession, sf: str) -> DataFrame:
     return load.load_table(spark, path).select(*rows.columns)
 
 
+def scan_json_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as documents of whole columns by row label, 500 rows a document, read back as rows."""
+    path = scratch_dir(spark) + "/supplier.json"
+    rows = table(spark, sf, "supplier")
+    labelled = [
+        F.map_from_entries(F.collect_list(F.struct(F.col("s_suppkey").cast("string"), c))).alias(c) for c in rows.columns]
+    columns = rows.groupBy((F.col("s_suppkey") / 500).cast("int").alias("part")).agg(*labelled)
+    documents = columns.select("part", F.to_json(F.struct(*rows.columns), {"pretty": "true"}).alias("value"))
+    documents.write.partitionBy("part").text(path)
+    return load.load_table(spark, path).select(*rows.columns)
+
+
+def scan_jsonl_bad_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as JSON lines, some of them cut short: loading tells how many."""
+    path = scratch_dir(spark) + "/customer.jsonl"
+    rows = table(spark, sf, "customer")
+    line = F.to_json(F.struct(*rows.columns))
+    cut = F.when(F.col("c_custkey") % 7 == 3, F.left(line, F.lit(12))).otherwise(line)
+    rows.select(cut.alias("value")).write.text(path)
+    try:
+        load.load_table(spark, path)
+    except ValueError as e:
+        return rows.limit(1).select(F.lit(str(e).split(" are not JSON")[0]).alias("broken"))
+    raise AssertionError("broken lines were read")
+
+
+def scan_csv_mixed_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations in two files whose headers differ in order: refused without a schema, by position with one."""
+    path = scratch_dir(spark) + "/nation.csv"
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    nation.filter("n_nationkey % 2 = 0").write.csv(path, header=True)
+    nation.filter("n_nationkey % 2 = 1").select("n_regionkey", "n_nationkey").write.mode("append").csv(path, header=True)
+    try:
+        load.load_table(spark, path)
+    except ValueError:
+        return load.load_table(spark, path, schema="a bigint, b bigint")
+    raise AssertionError("files with different headers were read")
+
+
 def csv_na_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """A numeric column holding NA texts stays numeric."""
     path = scratch_dir(spark) + "/lineitem.csv"
@@ -792,6 +831,7 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     insights_by_confidence_asc, insights_by_severity, insights_by_severity_filter, data_quality_notes,
     overview_metrics, report_markdown_lines, compare_metrics, compare_top_missing, compare_errors,
     load_dispatch, scan_csv, scan_csv_multiline, scan_csv_latin1, scan_parquet, scan_jsonl, scan_json_document,
+    scan_json_columns, scan_jsonl_bad_line, scan_csv_mixed_headers,
     csv_na_tokens, normalize_columns, normalize_missing_values, sanitize_json, chart_csv, write_profile,
     deep_overview, deep_variable_types, deep_numeric, deep_histogram, deep_common_values,
     deep_common_texts, deep_duplicate_texts,

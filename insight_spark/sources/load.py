@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 from operator import add
 from pathlib import PurePosixPath
@@ -205,12 +206,11 @@ def _broken_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter((F.trim("value") != "") & F.try_parse_json("value").isNull())
 
 
-def _raise_if_lines(spark: SparkSession, path: str, broken: DataFrame) -> str:
-    """The first line of a document; where it is an object of its own the others should be, too."""
+def _raise_if_lines(spark: SparkSession, path: str, broken: DataFrame) -> None:
+    """Where the first line is an object of its own, the others should be, too."""
     first = spark.read.text(path).filter(F.trim("value") != "").first().value
     if _is_object(first):
         raise ValueError(f"{broken.count()} lines are not JSON: {path}")
-    return first
 
 
 def _read_json(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -226,15 +226,20 @@ def _read_json(spark: SparkSession, path: str, schema) -> DataFrame:
         _raise_if_lines(spark, path, broken)
         return spark.read.schema(schema).json(path, multiLine=True)
     reader = spark.read.option("columnNameOfCorruptRecord", BROKEN)
-    df = reader.json(path)
-    if BROKEN not in df.columns:
-        alone = path.lower().endswith(".json") and df.limit(2).count() == 1
-        return _from_columns(df) if alone else df
-    first = _raise_if_lines(spark, path, _broken_lines(spark, path))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    if not path.lower().endswith(".json") or lines.limit(2).count() != 1:
+        df = reader.json(path)
+        if BROKEN not in df.columns:
+            return df
+        _raise_if_lines(spark, path, _broken_lines(spark, path))
+    return _read_columns(spark, path) or _read_whole(reader, path)
+
+
+def _read_whole(reader, path: str) -> DataFrame:
     document = reader.json(path, multiLine=True)
     if BROKEN in document.columns:
         raise ValueError(f"Not valid JSON: {path}")
-    return _from_columns(document) if first.lstrip().startswith("{") else document
+    return document
 
 
 def _is_object(line: str) -> bool:
@@ -244,21 +249,37 @@ def _is_object(line: str) -> bool:
         return False
 
 
-def _from_columns(document: DataFrame) -> DataFrame:
-    """Rows of an object that holds whole columns, as arrays or by row label; else unchanged."""
-    fields = document.schema.fields
-    if fields and all(isinstance(f.dataType, T.ArrayType) for f in fields):
-        return document.select(F.inline(F.arrays_zip(*[col(c) for c in document.columns])))
-    if not fields or not all(isinstance(f.dataType, T.StructType) for f in fields):
-        return document
-
-    def labelled(f: T.StructField) -> Column:
-        """Values by row label; without a common type they stay as they are written."""
-        kinds = {x.dataType.simpleString() for x in f.dataType.fields}
-        kind = kinds.pop() if len(kinds) == 1 else "double" if kinds <= {"bigint", "double"} else "string"
-        return F.from_json(F.to_json(col(f.name), {"ignoreNullFields": "false"}), f"map<string,{kind}>")
-
-    maps = document.select(*[labelled(f).alias(f.name) for f in fields])
-    labels = F.array_distinct(F.concat(*[F.map_keys(col(c)) for c in maps.columns]))
-    rows = maps.select("*", F.explode(labels).alias("__label"))
-    return rows.select(*[F.try_element_at(col(c), F.col("__label")).alias(c) for c in maps.columns])
+def _read_columns(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows of objects that hold whole columns, as arrays or by row label; None of any other document.
+
+    Documents are parsed as variants, so that a label is a row from the start and never a field of a schema. The
+    driver sees one row per column.
+    """
+    whole = spark.read.text(path, wholetext=True).filter(F.trim("value") != "")
+    docs = whole.select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("doc"))
+    columns = docs.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer()))
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^(ARRAY|OBJECT)<", 1)
+    names = columns.groupBy("key").agg(F.min(kind).alias("low"), F.max(kind).alias("high")).collect()
+    kinds = {k for r in names for k in (r.low, r.high)}
+    # no key: an array, a single value, or a text that is not JSON
+    if any(r.key is None for r in names) or kinds not in ({"ARRAY"}, {"OBJECT"}):
+        return None
+    parts = columns.select("file", F.col("key").alias("name"), F.col("value").alias("part"))
+    cells = parts.lateralJoin(spark.tvf.variant_explode(F.col("part").outer())).filter("pos IS NOT NULL")
+    cells = cells.select("file", "name", "pos", F.coalesce("key", F.col("pos").cast("string")).alias("label"), "value")
+    types = {r.name: _ddl(r.kind) for r in cells.groupBy("name").agg(F.schema_of_variant_agg("value").alias("kind")).collect()}
+
+    def cell(name: str) -> Column:
+        value = F.variant_get("value", "$", types.get(name, "string"))
+        return F.first(F.when(F.col("name") == name, value), ignorenulls=True)
+
+    wanted = sorted(r.key for r in names)
+    rows = cells.groupBy("file", "label").agg(
+        F.min("pos").alias("pos"), *[cell(n).alias(f"c{i}") for i, n in enumerate(wanted)])
+    return rows.orderBy("file", "pos").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(wanted)])
+
+
+def _ddl(kind: str) -> str:
+    """Type of a column whose values have this variant schema; without a common type they stay as they are written."""
+    kind = re.sub(r"DECIMAL\(\d+,([1-9]\d*)\)", "DOUBLE", kind)
+    return re.sub("VOID|VARIANT", "STRING", kind.replace("OBJECT<", "STRUCT<"))

@@ -229,3 +229,29 @@ def test_json_document_with_a_schema(spark, tmp_path):
     path = tmp_path / "t.json"
     path.write_text('[\n  {"a": 1},\n  {"a": 2}\n]\n')
     assert sorted(r.a for r in load_table(spark, str(path), schema="a int").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("labels", [15, 1500])
+def test_json_labels_are_rows_not_fields(spark, tmp_path, labels):
+    n = range(labels)
+    columns = {
+        "i": {f"r{k}": k for k in n}, "d": {f"r{k}": k + 0.5 if k % 2 else k for k in n}, "s": {f"r{k}": f"v {k}" for k in n},
+        "m": {f"r{k}": "x" if k % 2 else k for k in n}, "z": {f"r{k}": None for k in n}, "a": {"r1": [1, 2], "extra": None},
+    }
+    want = sorted([(None if k != 1 else [1, 2], k + 0.5 * (k % 2), k, "x" if k % 2 else str(k), f"v {k}", None) for k in n]
+                  + [(None,) * 6], key=repr)
+    for indent in (None, 1):
+        df = load_table(spark, _write(tmp_path, f"labels{indent}.json", json.dumps(columns, indent=indent)))
+        assert df.dtypes == [("a", "array<bigint>"), ("d", "double"), ("i", "bigint"), ("m", "string"), ("s", "string"), ("z", "string")]
+        assert sorted((tuple(r) for r in df.collect()), key=repr) == want
+
+
+def test_json_documents_that_hold_no_columns(spark, tmp_path, rows):
+    assert rows(load_table(spark, _write(tmp_path, "one.json", '{"a": 1, "b": [2]}'))) == [(1, [2])]
+    assert rows(load_table(spark, _write(tmp_path, "list.json", '[{"a": 1}, {"a": 2}]'))) == [(1,), (2,)]
+    _write(tmp_path, "many.json/1.json", '{"a": [1, 2], "b": ["x"]}')
+    _write(tmp_path, "many.json/2.json", '{"a": {"k": 3}, "b": {"k": "z"}}')
+    assert load_table(spark, str(tmp_path / "many.json")).count() == 2
+    _write(tmp_path, "both.json/1.json", '{\n"a": [1, 2], "b": ["x"]}')
+    _write(tmp_path, "both.json/2.json", '{\n"a": [3], "b": []}')
+    assert rows(load_table(spark, str(tmp_path / "both.json"))) == [(1, "x"), (2, None), (3, None)]
