@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 from functools import reduce
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insight_spark.functions.columns import AGG_FIELDS, chunks, col, normalize_missing
+from insight_spark.sources.records import ends_open, records
+from insight_spark.sources.scratch import scratch_dir
 
 # fixed values: file suffix to format
 SUFFIXES = {".csv": "csv", ".parquet": "parquet", ".jsonl": "json", ".ndjson": "json", ".json": "json"}
@@ -31,6 +34,12 @@ INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
 REPLACEMENT = "�"
 
+# encodings whose line breaks, commas and quotes are the bytes of ASCII
+BYTEWISE = ("utf-8", "utf8", "us-ascii", "ascii", "iso-8859-1", "latin-1", "latin1", "windows-1252", "cp1252")
+
+# texts of headers that are compared; files seldom have more than one
+HEADERS = 1000
+
 # columns of the reader for rows it could not read as they are
 BROKEN = "__broken_row"
 
@@ -41,8 +50,8 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T
 
     A `schema` saves the pass that infers types. With encoding "auto" a CSV that is
     not valid UTF-8 is read as latin-1 as a whole. `multiline` allows line breaks in quoted CSV
-    fields, at the price of one task per file; by default it is set where lines with an odd number
-    of quotes show that they occur. Without a schema nothing is lost or swapped silently: CSV rows with
+    fields, at the price of a pass that finds and writes the records; by default it is set where a line ends
+    inside a quoted field. Without a schema nothing is lost or swapped silently: CSV rows with
     more fields than the header, files with another header, and broken JSON lines raise ValueError.
     """
     fmt = fmt or format_of(path)
@@ -83,6 +92,10 @@ def _read_csv(spark: SparkSession, path: str, schema, encoding: str, multiline:
     charset = "UTF-8" if encoding == "auto" else encoding
     if multiline is None:
         multiline = has_open_quotes(spark, path)
+    if multiline and charset.lower() in BYTEWISE and not has_lone_returns(spark, path):
+        df = _read_records(spark, path, schema, encoding)
+        if df is not None:
+            return df
     reader = spark.read.option("escape", '"').option("multiLine", multiline)
     if schema is not None:
         df = reader.schema(schema).csv(path, header=True, encoding=charset)
@@ -130,10 +143,49 @@ def column_names(header: list[str | None]) -> list[str]:
     return names
 
 
+def _read_records(spark: SparkSession, path: str, schema, encoding: str) -> DataFrame | None:
+    """CSV with line breaks inside quotes: records are found by many tasks a file, written, and parsed one by one.
+
+    None where no file has a header.
+    """
+    stored = f"{scratch_dir(spark)}/records"
+    records(spark, path).write.parquet(stored)
+    kept = spark.read.parquet(stored)
+    text = F.col("value").cast("string")
+    if encoding == "auto" and not kept.filter(~F.is_valid_utf8(text)).limit(1).isEmpty():
+        text = F.decode("value", "ISO-8859-1")
+    elif encoding.lower() not in ("auto", "utf-8", "utf8"):
+        text = F.decode("value", encoding)
+    headers = kept.filter("header").select(F.make_valid_utf8(text)).distinct().limit(HEADERS).collect()
+    if not headers:
+        return None
+    seen = [next(csv.reader([h[0].removesuffix("\r")])) for h in headers]
+    names = column_names(seen[0])
+    by_name = schema is None and names == seen[0]
+    if by_name and any(h != names for h in seen):
+        raise ValueError(f"The files have different headers: {path}")
+    body = kept.filter("NOT header").select(F.make_valid_utf8(F.rtrim(text, F.lit("\r"))).alias("value"))
+    fields = T.StructType([T.StructField(n, T.StringType()) for n in names]) if schema is None else (
+        schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))
+    n = len(fields)
+    ddl = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)) + f", c{n} string"
+    parsed = body.select(F.from_csv("value", ddl, {"escape": '"', "multiLine": "true"}).alias("r"))
+    df = parsed.select(*[F.col(f"r.c{i}").alias(f.name) for i, f in enumerate(fields)], F.col(f"r.c{n}").alias(BROKEN))
+    if schema is not None:
+        return df.select(*[col(f.name) for f in fields])
+    types, _ = infer_types(blank_missing(df), None, BROKEN)
+    return blank_missing(df).select(*[types[c](col(c)).alias(c) for c in names])
+
+
 def has_open_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether any line has an odd number of quotes, as a line break inside a quoted field leaves them."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
+    """Whether any line ends inside a quoted field; quotes elsewhere in a field do not count."""
+    return not spark.read.text(path).filter(ends_open(F.col("value"))).limit(1).isEmpty()
+
+
+def has_lone_returns(spark: SparkSession, path: str) -> bool:
+    """Whether there are carriage returns that are not part of a line's end; only a whole-file reader tells what they are."""
+    inside = F.contains(F.rtrim("value", F.lit("\r")), F.lit("\r"))
+    return not spark.read.text(path, lineSep="\n").filter(inside).limit(1).isEmpty()
 
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
