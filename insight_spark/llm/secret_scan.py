@@ -16,7 +16,7 @@ import random
 import re
 import string
 import uuid
-from bisect import bisect
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,10 +38,10 @@ MASK = "[SECRET]"
 AROUND = 48
 
 KEY = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)"
-BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
+MARK = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
 BARE, DIGIT = re.compile(r"[A-Za-z0-9+/_~.-]{16,}={0,2}"), re.compile("[0-9]")
 SIGN, BEFORE = re.compile("[:=]"), re.compile(rf"(?i)(?:^|[^a-z]){KEY}[\"']?\s{{0,3}}$")
-VALUE = re.compile(r"\s{0,3}[\"']?([^\s\"'<>]{6,})")
+VALUE = re.compile(r"\s{0,3}(?:[\"']([^\s\"'<>]{6,})|([^\s\"'<>;&]{6,}))")  # unquoted ones end at ; and &
 GOOD = re.compile(rf"(?i){KEY}|bearer|private|aws|login|signing")
 BAD = re.compile(r"(?i)\b(?:commit|sha\d*|md5|checksum|digest|hash|uuid|guid|etag|version|revision|example|sample|"
                  r"placeholder|dummy|test|build|image|isbn|phone|order|card|id)\b")
@@ -105,20 +105,45 @@ def features(value: str, before: str, after: str, is_set: bool, words: Dictionar
     ]
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Private key blocks: from the first BEGIN mark to the next END mark, each mark read once."""
+    out, begin = [], None
+    for mark in MARK.finditer(text) if "-----BEGIN" in text else ():
+        if mark[1] == "BEGIN":
+            begin = mark.start() if begin is None else begin
+        elif begin is not None:
+            out.append((begin, mark.end()))
+            begin = None
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, set by a key word) of every candidate value: private key blocks, values that a key word is set to,
-    and other runs of 16 or more key characters with a digit. They do not overlap; in this order one goes before another."""
-    found = [(*m.span(), False) for m in BLOCK.finditer(text)] if "-----BEGIN" in text else []
+    and other runs of 16 or more key characters with a digit. They may overlap; each span is one candidate."""
+    found = dict.fromkeys(key_blocks(text), False)
     for sign in SIGN.finditer(text):
         if BEFORE.search(text[max(0, sign.start() - 24) : sign.start()]) and (m := VALUE.match(text, sign.end())):
-            found.append((*m.span(1), True))
-    found += [(*m.span(), False) for m in BARE.finditer(text) if DIGIT.search(m[0])]
-    taken: list[tuple[int, int, bool]] = []  # in order of place
-    for x in found:
-        k = bisect(taken, x)
-        if (k == 0 or taken[k - 1][1] <= x[0]) and (k == len(taken) or x[1] <= taken[k][0]):
-            taken.insert(k, x)
-    return taken
+            found[m.span(m.lastindex)] = True
+    for m in BARE.finditer(text):
+        if DIGIT.search(m[0]):
+            found.setdefault(m.span(), False)
+    return [(i, j, is_set) for (i, j), is_set in found.items()]
+
+
+def settled(found: list[tuple[int, int, float]], threshold: float) -> list[tuple[int, int, float]]:
+    """In order of place: the confirmed candidates that lie in no other confirmed one, and the rejected ones that
+    overlap none of these."""
+    kept: list[tuple[int, int, float]] = []
+    for x in sorted((x for x in found if x[2] >= threshold), key=lambda x: (x[0], -x[1])):
+        if not kept or x[1] > kept[-1][1]:
+            kept.append(x)
+    starts = [x[0] for x in kept]
+
+    def free(i: int, j: int) -> bool:
+        k = bisect_left(starts, j)  # ends rise with starts, so the last that starts before j reaches farthest
+        return k == 0 or kept[k - 1][1] <= i
+
+    return sorted(kept + [x for x in found if x[2] < threshold and free(x[0], x[1])])
 
 
 def example_findings(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int, int, int]]:
@@ -244,8 +269,8 @@ def fit(spark: SparkSession, words_path: str, findings: DataFrame | None = None,
     return Forest(trees, words_path)
 
 
-def _found(texts: list[str], forest: Forest, words: Dictionary) -> list[list[tuple[int, int, float]]]:
-    """Of each text the candidates (start, end, probability)."""
+def _found(texts: list[str], forest: Forest, words: Dictionary, threshold: float = THRESHOLD) -> list[list[tuple[int, int, float]]]:
+    """Of each text the settled candidates (start, end, probability); all candidates are scored before overlaps count."""
     spans, rows = [], []
     for k, t in enumerate(texts):
         for i, j, is_set in candidates(t):
@@ -255,11 +280,13 @@ def _found(texts: list[str], forest: Forest, words: Dictionary) -> list[list[tup
     if rows:
         for (k, i, j), p in zip(spans, forest.probability(np.array(rows))):
             out[k].append((i, j, float(p)))
-    return out
+    return [settled(found, threshold) for found in out]
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
-    """All candidates of all documents: doc_id, start, end (code points), value_sha256, probability, is_secret.
+    """Candidates of all documents: doc_id, start, end (code points), value_sha256, probability, is_secret.
+
+    Every candidate is scored; left out are those inside a secret, and rejected ones that overlap a secret.
 
     Null and empty texts have none; rows of a repeated doc_id each give theirs; the value itself is not returned.
     """
@@ -269,7 +296,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataF
             texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             rows = [
                 (doc, i, j, hashlib.sha256(t[i:j].encode()).hexdigest(), p, p >= threshold)
-                for doc, t, found in zip(ids, texts, _found(texts, forest, words)) for i, j, p in found
+                for doc, t, found in zip(ids, texts, _found(texts, forest, words, threshold)) for i, j, p in found
             ]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
@@ -289,10 +316,15 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, mask:
         for texts in batches:
             known = [t or "" for t in texts]
             out = []
-            for t, old, found in zip(known, texts, _found(known, forest, words)):
-                for i, j, p in reversed(found):
-                    if p >= threshold:
-                        t = t[:i] + mask + t[j:]
+            for t, old, found in zip(known, texts, _found(known, forest, words, threshold)):
+                spans: list[list[int]] = []
+                for i, j, p in found:
+                    if p >= threshold and spans and i < spans[-1][1]:
+                        spans[-1][1] = j  # overlapping secrets share a mask
+                    elif p >= threshold:
+                        spans.append([i, j])
+                ends = [0, *(j for _, j in spans)]
+                t = "".join(t[e:i] + mask for e, (i, _) in zip(ends, spans)) + t[ends[-1]:]
                 out.append(old if old is None else t)
             yield pd.Series(out, dtype=object)
 
