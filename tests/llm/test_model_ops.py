@@ -227,8 +227,6 @@ def test_overlaps_are_settled_among_secrets():
 
 
 def test_settled_equals_brute_force():
-    import random
-
     rng = random.Random(3)
     for _ in range(500):
         found = list({(i, i + rng.randint(1, 12)): rng.random() for i in (rng.randint(0, 40) for _ in range(rng.randint(0, 15)))}.items())
