@@ -1,5 +1,25 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+#: A turn takes 23 code points beside its escaped role and text; an example is all turns up to one of the assistant.
+OP4 = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)
+), sized AS (
+    SELECT *, 23 + length(role || text) + length(regexp_replace(role || text, '[^\\<\[]', '', 'g')) AS size FROM turns
+), placed AS (
+    SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+           sum(size) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS prefix
+    FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(prefix) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
 #: Damage by crc32 bit by bit, then a dynamic program over rows: states 0 to 3 are nothing, s, u and a.
 OP13 = r"""
 WITH RECURSIVE keyed AS (
@@ -153,4 +173,4 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM texts LEFT JOIN kept USING (row)
 """
 
-ORACLES = {"op11_suffix_dedup": OP11, "op12_collocations": OP12, "op13_conversation_repair": OP13}
+ORACLES = {"op4_chat_format": OP4, "op11_suffix_dedup": OP11, "op12_collocations": OP12, "op13_conversation_repair": OP13}
